@@ -10,8 +10,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from ..functions.expr import rnd
+from ..operators import clean as C
+from ..operators import features as M
+from ..operators import profile as P
 from ..operators import retention as R
-from ..sources import customer_period_from_orders
+from ..sources import customer_period_from_orders, loan_like, test_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,7 +55,139 @@ RETENTION: dict[str, Query] = {
 }
 
 
+def _loans(fn) -> Query:
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(loan_like(spark, sf_dir))
+    q.__doc__ = fn.__doc__
+    return q
+
+
+def _orders(fn) -> Query:
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(test_table(spark, sf_dir, "orders"))
+    q.__doc__ = fn.__doc__
+    return q
+
+
+# Rows shown by the inspection filters (the reference's ``head()`` of a sorted frame).
+INSPECT_COLUMNS = ["loan_id", "annual_income", "verified_income", "emp_title"]
+
+
+def _numeric_no_split(df: DataFrame) -> list[str]:
+    return [c for c in P.numeric_columns(df) if c != "split_bucket"]
+
+
+def unverified_top_income(raw: DataFrame) -> DataFrame:
+    """C1 + G1: unverified incomes above the IQR upper fence, top 5."""
+    fence = P.upper_fence(raw, "annual_income")
+    return C.top_rows(raw.filter((F.col("annual_income") > fence)
+                                 & (F.col("verified_income") == C.UNVERIFIED)),
+                      "annual_income", 5, "loan_id").select(*INSPECT_COLUMNS)
+
+
+def extreme_income(raw: DataFrame) -> DataFrame:
+    """C2 + G1: incomes above the outlier cut, top 5."""
+    return C.top_rows(raw.filter(F.col("annual_income") > C.INCOME_MAX), "annual_income", 5,
+                      "loan_id").select(*INSPECT_COLUMNS)
+
+
+def _after_outliers(raw: DataFrame) -> DataFrame:
+    df = C.drop_columns(raw, C.LEAKAGE_COLUMNS + ["issue_month"])
+    df = C.binarize_column(df, "emp_length", C.TENURE_CUTOFF, "emp_length1")
+    return C.remove_outliers(df, "annual_income", C.INCOME_MAX)
+
+
+def _standardized(raw: DataFrame) -> DataFrame:
+    p = M.prepare_loans(raw)
+    return p.df.select(M.KEY, M.SPLIT_COLUMN, *[rnd(c).alias(c) for c in p.numericals])
+
+
+def _shrunk(raw: DataFrame) -> DataFrame:
+    df = M.cleaned_split(raw)
+    _, _, cats = M.feature_columns(df)
+    shr = M.fit_shrink(df.filter(~F.col(M.SPLIT_COLUMN)), cats)
+    return shr.transform(df).select(M.KEY, M.SPLIT_COLUMN, *cats)
+
+
+def _encoded(raw: DataFrame) -> DataFrame:
+    p = M.prepare_loans(raw)
+    return p.df.select(M.KEY, M.SPLIT_COLUMN, *p.categoricals)
+
+
+def _prepared(raw: DataFrame) -> DataFrame:
+    p = M.prepare_loans(raw)
+    return p.df.select(M.KEY, M.LABEL, *[rnd(c).alias(c) if c in p.numericals else F.col(c)
+                                         for c in p.features], M.SPLIT_COLUMN)
+
+
+def _top_categories(raw: DataFrame) -> DataFrame:
+    df = M.cleaned_split(raw)
+    _, _, cats = M.feature_columns(df)
+    return P.top_values(df.filter(~F.col(M.SPLIT_COLUMN)), cats, M.TOP_CATEGORIES)
+
+
+def _with_year(orders: DataFrame) -> DataFrame:
+    return orders.select(F.year("o_orderdate").cast("int").alias("year"), "o_totalprice")
+
+
+LOANS: dict[str, Query] = {
+    "table_profile": _loans(P.table_profile),
+    "value_counts": _loans(lambda d: P.value_counts(d, ["state", "issue_month"])),
+    "value_shares": _loans(lambda d: P.value_counts(d, ["emp_length", "homeownership"], normalize=True)),
+    "binarize_tenure": _loans(lambda d: C.binarize_column(d, "emp_length", C.TENURE_CUTOFF, "emp_length1",
+                                                          drop_source=False)
+                              .select("loan_id", "emp_length", "emp_length1")),
+    "unverified_top_income": _loans(unverified_top_income),
+    "extreme_income": _loans(extreme_income),
+    "remove_outliers": _loans(lambda d: C.remove_outliers(d, "annual_income", C.INCOME_MAX)
+                              .select("loan_id", "annual_income")),
+    "drop_mostly_zero": _loans(lambda d: C.mostly_zero_report(_after_outliers(d), C.MOSTLY_ZERO_COLUMNS)),
+    "zero_share": _loans(lambda d: P.zero_shares(_after_outliers(d),
+                                                 [c for c in C.MOSTLY_ZERO_COLUMNS if c in d.columns])),
+    "resolve_joint": _loans(lambda d: C.resolve_pairs(d, "application_type", C.INDIVIDUAL, C.SINGLE_COLUMNS,
+                                                      C.JOINT_COLUMNS)
+                            .select("loan_id", *C.SINGLE_COLUMNS)),
+    "missing_report": _loans(lambda d: P.missing_shares(C.loans_before_imputation(d))),
+    "zero_counts": _loans(lambda d: P.zero_counts(C.loans_before_imputation(d), C.MONTHS_COLUMNS)),
+    "mode_values": _loans(lambda d: P.modes(C.loans_before_imputation(d), C.MODE_FILL_COLUMNS)),
+    "impute_constant": _loans(lambda d: C.impute_constant(
+        C.loans_before_imputation(d), {**{c: 0 for c in C.ZERO_FILL_COLUMNS}, "emp_title": C.OTHER})
+        .select("loan_id", *C.ZERO_FILL_COLUMNS, "emp_title")),
+    "impute_mode": _loans(lambda d: C.impute_mode(C.loans_before_imputation(d), C.MODE_FILL_COLUMNS)
+                          .select("loan_id", *C.MODE_FILL_COLUMNS)),
+    "completeness_gate": _loans(lambda d: P.completeness(C.loans_cleaned(d))),
+    "ratio_feature": _loans(lambda d: C.add_ratio(d, "satis_pr_cred_lines", "num_satisfactory_accounts",
+                                                  "open_credit_lines").select("loan_id", "satis_pr_cred_lines")),
+    "describe_text": _loans(lambda d: P.describe_text(C.loans_cleaned(d),
+                                                      P.text_columns(C.loans_cleaned(d), exclude=("loan_id",)))),
+    "correlation_matrix": _loans(lambda d: P.correlations(C.loans_cleaned(d), _numeric_no_split(C.loans_cleaned(d)))),
+    "target_correlation": _loans(lambda d: P.target_correlation(
+        C.loans_cleaned(d), [c for c in _numeric_no_split(C.loans_cleaned(d)) if c != M.LABEL], M.LABEL)),
+    "mean_by_grade": _loans(lambda d: P.means_by(C.loans_with_ratio(d), "grade",
+                                                 _numeric_no_split(C.loans_with_ratio(d)))),
+    "mean_by_subgrade": _loans(lambda d: P.means_by(C.loans_with_ratio(d), "sub_grade",
+                                                    _numeric_no_split(C.loans_with_ratio(d)))),
+    "top_categories": _loans(_top_categories),
+    "train_test_split": _loans(lambda d: M.split(d).select(M.KEY, M.SPLIT_COLUMN)),
+    "standardize": _loans(_standardized),
+    "shrink_categories": _loans(_shrunk),
+    "label_encode": _loans(_encoded),
+    "loan_prepared": _loans(_prepared),
+}
+
+ORDERS: dict[str, Query] = {
+    "describe_numeric": _orders(lambda o: P.describe_numeric(o, ["o_totalprice"])),
+    "iqr_fence": _orders(lambda o: P.iqr_fence(o, "o_totalprice")),
+    "histogram": _orders(lambda o: P.histogram(o, "o_totalprice", 50)),
+    "density_curve": _orders(lambda o: P.density(o, "o_totalprice")),
+    "normal_fit": _orders(lambda o: P.normal_fit(o, "o_totalprice", 50)),
+    "box_stats": _orders(lambda o: P.box_stats(_with_year(o), "o_totalprice", by="year")),
+}
+
+
 def all_queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     out.update(RETENTION)
+    out.update(LOANS)
+    out.update(ORDERS)
     return out

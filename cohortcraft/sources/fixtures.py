@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.expr import bucket_hash
 from .tables import test_table
 
 MONEY = "decimal(18,2)"
@@ -45,13 +46,6 @@ def customer_period_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customer_period(orders, "o_custkey", F.year("o_orderdate"), "o_totalprice")
 
 
-def split_hash(key: Column) -> Column:
-    """0..99 bucket from the first 32 bits of md5(key).  Same value in DuckDB as
-    ``cast('0x'||substr(md5(k),1,8) as bigint) % 100``; stable under any
-    repartitioning, unlike ``randomSplit``."""
-    return (F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint") % 100)
-
-
 def loan_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loans-shaped table, one row per line item (FIXTURES.md §2).
 
@@ -77,7 +71,7 @@ def loan_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.concat_ws("-", *[F.col(c).cast("string") for c in
                              ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")])
     b = b.select(
-        key.alias("loan_id"), split_hash(key).alias("h"),
+        key.alias("loan_id"), bucket_hash(key).alias("h"),
         F.expr("cast(round(l_discount*100) as int) % 7").alias("g"),
         (F.col("l_linenumber") % 5 + 1).alias("sg"),
         "l_extendedprice", "l_tax", "l_quantity", "l_linenumber", "l_returnflag", "p_name", "p_size",
