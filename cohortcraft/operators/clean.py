@@ -9,6 +9,7 @@ only jobs a step may start itself are one-row parameter aggregations
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -117,7 +118,9 @@ def loans_before_imputation(raw: DataFrame) -> DataFrame:
 def loans_cleaned(raw: DataFrame) -> DataFrame:
     """All cleaning: months-since columns 0-filled, inquiry months and
     verification filled with their modes, job title with 'other'."""
-    df = loans_before_imputation(raw)
+    # Read three times (two mode subqueries and the result): persisted, so the
+    # join behind ``raw`` runs once.  Lost blocks are recomputed from lineage.
+    df = loans_before_imputation(raw).persist(StorageLevel.MEMORY_AND_DISK)
     df = impute_constant(df, {c: 0 for c in ZERO_FILL_COLUMNS})
     df = impute_mode(df, MODE_FILL_COLUMNS)
     return impute_constant(df, {"emp_title": OTHER})

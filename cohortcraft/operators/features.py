@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -158,7 +159,8 @@ def prepare_loans(raw: DataFrame) -> Prepared:
     (clean.loans_with_ratio), split, standardisation of numeric columns,
     shrinking and label-encoding of text columns, each fitted on training
     rows only.  Label codes are not scaled (encoding comes after scaling)."""
-    df = cleaned_split(raw)
+    # Three fits and the result read the cleaned rows: persist them once.
+    df = cleaned_split(raw).persist(StorageLevel.MEMORY_AND_DISK)
     feats, nums, cats = feature_columns(df)
     train = df.filter(~F.col(SPLIT_COLUMN))
     std = fit_standardize(train, nums)

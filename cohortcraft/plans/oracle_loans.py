@@ -314,3 +314,63 @@ SELECT f.year, f.n, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6)
        (SELECT count(*) FROM o WHERE o.year = f.year AND NOT (x BETWEEN lf AND uf)) AS n_outliers
 FROM f""",
 }
+
+# --- one-feature ridge (encoded sub_grade), penalty by 10-fold CV ------------
+# Sums per fold, training = total - fold, closed form w = Sxy / (Sxx + alpha)
+# on centred sums, fold R^2 = 1 - SSE/SST from the fold's own sums.
+RIDGE1 = ENC + """,
+d AS (
+ SELECT s3.loan_id, s3.is_test, CAST(enc.sub_grade AS DOUBLE) AS x, s3.interest_rate AS y,
+        CAST('0x'||substr(md5(s3.loan_id),1,8) AS BIGINT) % 100 AS bucket
+ FROM s3 JOIN enc ON enc.loan_id = s3.loan_id),
+fs AS (
+ SELECT bucket % 10 AS fold, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x*x) AS sxx, sum(x*y) AS sxy,
+        sum(y*y) AS syy
+ FROM d WHERE NOT is_test GROUP BY 1),
+tot AS (SELECT sum(n) AS n, sum(sx) AS sx, sum(sy) AS sy, sum(sxx) AS sxx, sum(sxy) AS sxy, sum(syy) AS syy FROM fs),
+al AS (SELECT CAST(unnest([0.1, 1.0, 10.0]) AS DOUBLE) AS alpha),
+fit AS (
+ SELECT al.alpha, fs.*,
+        ((tot.sxy - fs.sxy) - (tot.sx - fs.sx) * (tot.sy - fs.sy) / (tot.n - fs.n))
+        / ((tot.sxx - fs.sxx) - (tot.sx - fs.sx) * (tot.sx - fs.sx) / (tot.n - fs.n) + al.alpha) AS w,
+        (tot.sx - fs.sx) / (tot.n - fs.n) AS mx, (tot.sy - fs.sy) / (tot.n - fs.n) AS my
+ FROM al, fs, tot),
+cv AS (
+ SELECT alpha, avg(1 - (syy - 2*b*sy - 2*w*sxy + n*b*b + 2*b*w*sx + w*w*sxx) / (syy - sy*sy/n)) AS r2
+ FROM (SELECT *, my - w*mx AS b FROM fit) GROUP BY alpha),
+best AS (SELECT alpha FROM cv ORDER BY r2 DESC, alpha LIMIT 1),
+model AS (
+ SELECT best.alpha, (tot.sxy - tot.sx*tot.sy/tot.n) / (tot.sxx - tot.sx*tot.sx/tot.n + best.alpha) AS w,
+        tot.sx / tot.n AS mx, tot.sy / tot.n AS my
+ FROM best, tot),
+m1 AS (SELECT alpha, w, my - w*mx AS b FROM model)"""
+
+SQL.update({
+    "ridge_one_feature": _w(RIDGE1, """
+SELECT alpha, round(w, 6) AS coefficient, round(b, 6) AS intercept FROM m1"""),
+    "ridge_predict": _w(RIDGE1, """
+SELECT d.loan_id, d.is_test, round(m1.b + m1.w * d.x, 6) AS prediction FROM d, m1"""),
+    "regression_metrics": _w(RIDGE1, """
+SELECT CASE WHEN d.is_test THEN 'test' ELSE 'train' END AS split,
+       round(sqrt(sum((d.y - (m1.b + m1.w*d.x)) * (d.y - (m1.b + m1.w*d.x))) / count(*)), 6) AS rmse,
+       round(1 - sum((d.y - (m1.b + m1.w*d.x)) * (d.y - (m1.b + m1.w*d.x)))
+                 / (sum(d.y*d.y) - sum(d.y)*sum(d.y)/count(*)), 6) AS r2
+FROM d, m1 GROUP BY 1"""),
+    "learning_curve": _w(RIDGE1 + """,
+bs AS (SELECT bucket, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x*x) AS sxx, sum(x*y) AS sxy, sum(y*y) AS syy
+       FROM d WHERE NOT is_test GROUP BY bucket),
+cum AS (SELECT bucket, sum(n) OVER w AS n, sum(sx) OVER w AS sx, sum(sy) OVER w AS sy, sum(sxx) OVER w AS sxx,
+               sum(sxy) OVER w AS sxy, sum(syy) OVER w AS syy
+        FROM bs WINDOW w AS (ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+te AS (SELECT count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x*x) AS sxx, sum(x*y) AS sxy, sum(y*y) AS syy
+       FROM d WHERE is_test),
+cf AS (SELECT cum.*, (sxy - sx*sy/n) / (sxx - sx*sx/n + (SELECT alpha FROM m1)) AS w FROM cum WHERE n >= 2),
+cm AS (SELECT *, sy/n - w*sx/n AS b FROM cf)""",
+"""
+SELECT CAST(cm.n AS BIGINT) AS n_train,
+       round(sqrt(greatest(cm.syy - 2*cm.b*cm.sy - 2*cm.w*cm.sxy + cm.n*cm.b*cm.b + 2*cm.b*cm.w*cm.sx
+                           + cm.w*cm.w*cm.sxx, 0) / cm.n), 6) AS train_rmse,
+       round(sqrt(greatest(te.syy - 2*cm.b*te.sy - 2*cm.w*te.sxy + te.n*cm.b*cm.b + 2*cm.b*cm.w*te.sx
+                           + cm.w*cm.w*te.sxx, 0) / te.n), 6) AS test_rmse
+FROM cm, te"""),
+})

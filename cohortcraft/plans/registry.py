@@ -18,6 +18,7 @@ from ..operators import features as M
 from ..operators import profile as P
 from ..operators import retention as R
 from ..sources import customer_period_from_orders, loan_like, test_table
+from . import loan_models as LM
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -185,9 +186,28 @@ ORDERS: dict[str, Query] = {
 }
 
 
+MODELS: dict[str, Query] = {
+    "ridge_one_feature": _loans(LM.ridge_one_feature),
+    "ridge_predict": _loans(LM.ridge_predict),
+    "regression_metrics": _loans(LM.ridge_metrics),
+    "learning_curve": _loans(LM.learning_curve_one),
+    "learning_curve_all": _loans(LM.learning_curve_all),
+    "ridge_cv": _loans(LM.ridge_cv_table),
+    "ridge_coefficients": _loans(LM.ridge_coefficients),
+    "random_forest_metrics": _loans(LM.forest_metrics),
+    "gbt_metrics": _loans(LM.gbt_metrics),
+    "forest_one_feature_metrics": _loans(LM.forest_one_feature_metrics),
+    "feature_importance": _loans(LM.feature_importance),
+    "model_summary": _loans(LM.model_summary),
+    "forest_grid": _loans(LM.forest_grid),
+    "gbt_grid": _loans(LM.gbt_grid),
+}
+
+
 def all_queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     out.update(RETENTION)
     out.update(LOANS)
     out.update(ORDERS)
+    out.update(MODELS)
     return out

@@ -44,7 +44,7 @@ def build_session(master: str | None = None, app: str = "cohortcraft",
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     if master and master.startswith("local"):
         conf.setdefault("spark.ui.enabled", "false")
-        conf.setdefault("spark.driver.memory", "8g")
+        conf.setdefault("spark.driver.memory", "16g")
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
