@@ -16,8 +16,9 @@ Plan shape of every metric (``summary`` in particular):
    period, so no window partition is large.
 3. The per-row result is grouped by (period, lag_period, lead_period) with a
    partial aggregate: at most P^3 groups for P periods, whatever the number
-   of customers.  All classification against the *observed* period spine
-   happens on that tiny table, so the big rows are never joined.
+   of customers.  All classification against the *observed* period spine,
+   the period totals and the spine itself come from that tiny table, so the
+   big rows are scanned once and never joined.
 
 "Previous" is the previous *observed* period and "next" the next observed
 one (a returner after a gap period is new again; a customer who skips the
@@ -104,58 +105,74 @@ def transitions(cp: DataFrame, period_name: str = "year") -> DataFrame:
         "prev_period", "next_period", "is_new", "is_existing", "is_lost_next")
 
 
-def _step_groups(cp: DataFrame) -> DataFrame:
-    """Customer rows reduced to (period, lag_period, lead_period) groups,
-    joined with the spine and classified.  At most P^3 rows."""
-    g = (_customer_steps(cp)
-         .groupBy("period", "lag_period", "lead_period")
-         .agg(F.count(F.lit(1)).alias("n"),
-              F.sum("revenue").alias("rev"),
-              F.sum("lag_revenue").alias("lag_rev")))
-    return _flags(g.join(period_spine(cp), "period"))
-
-
-def _current_metrics(groups: DataFrame) -> DataFrame:
-    """New / existing metrics, labelled with the current period."""
-    zero_money = F.lit(0).cast("decimal(38,2)")
-    new = F.col("is_new")
-    ex = F.col("is_existing")
-    return groups.groupBy("period").agg(
-        F.sum(F.when(new, F.col("n")).otherwise(0)).alias("new_customers"),
-        F.coalesce(F.sum(F.when(new, F.col("rev"))), zero_money).alias("new_cust_revenue"),
-        F.sum(F.when(ex, F.col("n")).otherwise(0)).alias("existing_customers"),
-        F.coalesce(F.sum(F.when(ex, F.col("rev"))), zero_money).alias("current_revenue_exist_cust"),
-        F.coalesce(F.sum(F.when(ex, F.col("lag_rev"))), zero_money).alias("prev_revenue_exist_cust"))
-
-
-def _lost_metrics(groups: DataFrame) -> DataFrame:
-    """Lost customers, labelled with the next observed period (the period
-    in which they are missing)."""
-    lost = F.col("is_lost_next")
-    return (groups.filter(lost)
-                  .groupBy(F.col("next_period").alias("period"))
-                  .agg(F.sum("n").alias("lost_customers"),
-                       F.sum("rev").alias("lost_cust_revenue")))
+def _step_table(cp: DataFrame) -> DataFrame:
+    """The only pass over customer rows that the period metrics need:
+    lag/lead per customer, then rows reduced to (period, lag_period,
+    lead_period, known) groups with their count and revenue sums - at most
+    2 x P^3 rows whatever the number of customers.
+
+    NULL customers stay in this pass (``known`` = false): after the grain
+    aggregation they are one row per period, i.e. one window partition of at
+    most P rows, so keeping them costs nothing and lets the period totals
+    come from the same table instead of a second scan.
+    """
+    w = Window.partitionBy("customer").orderBy("period")
+    steps = cp.select(
+        "period", "revenue", F.col("customer").isNotNull().alias("known"),
+        F.lag("period").over(w).alias("lag_period"),
+        F.lag("revenue").over(w).alias("lag_revenue"),
+        F.lead("period").over(w).alias("lead_period"))
+    return (steps.groupBy("period", "lag_period", "lead_period", "known")
+                 .agg(F.count(F.lit(1)).alias("n"),
+                      F.sum("revenue").alias("rev"),
+                      F.sum("lag_revenue").alias("lag_rev")))
 
 
 def _assembled(cp: DataFrame) -> DataFrame:
-    """Spine x period totals x current metrics x lost metrics (all tiny)."""
-    groups = _step_groups(cp)
-    spine = period_spine(cp).join(by_period(cp), "period")
-    zero_money = F.lit(0).cast("decimal(38,2)")
-    s = (spine.join(_current_metrics(groups), "period", "left")
-              .join(_lost_metrics(groups), "period", "left"))
-    fill_n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
-    fill_m = lambda c: F.coalesce(F.col(c), zero_money)
-    return s.select(
-        "period", "prev_period", "next_period", "net_revenue", "total_customers", "n_rows",
-        fill_n("new_customers").alias("new_customers"),
-        fill_m("new_cust_revenue").alias("new_cust_revenue"),
-        fill_n("existing_customers").alias("existing_customers"),
-        fill_m("current_revenue_exist_cust").alias("current_revenue_exist_cust"),
-        fill_m("prev_revenue_exist_cust").alias("prev_revenue_exist_cust"),
-        fill_n("lost_customers").alias("lost_customers"),
-        fill_m("lost_cust_revenue").alias("lost_cust_revenue"))
+    """Every period metric from the step table in one chain, no joins.
+
+    RANGE frames over the (tiny, single-partition) step table give each row
+    the previous and next *observed* period.  Each row then emits two
+    records: one labelled with its own period (totals, new and existing
+    customers) and one labelled with the next observed period (customers
+    lost there); a single ``groupBy(label)`` adds them up.  The period's own
+    previous period travels along as ``label_prev`` (for the record labelled
+    with the next period it is the row's own period).
+    """
+    t = _step_table(cp)
+    before = Window.orderBy("period").rangeBetween(Window.unboundedPreceding, -1)
+    after = Window.orderBy("period").rangeBetween(1, Window.unboundedFollowing)
+    t = _flags(t.withColumn("prev_period", F.max("period").over(before))
+                .withColumn("next_period", F.min("period").over(after)))
+    money = "decimal(38,2)"
+    none_m = F.lit(None).cast(money)
+    zero_n = F.lit(0).cast("bigint")
+    known, n, rev = F.col("known"), F.col("n").cast("bigint"), F.col("rev").cast(money)
+    new, ex, lost = known & F.col("is_new"), known & F.col("is_existing"), known & F.col("is_lost_next")
+    cur = F.struct(F.col("period").alias("label"), F.col("prev_period").alias("label_prev"),
+                   rev.alias("net_revenue"), F.when(known, n).otherwise(zero_n).alias("total_customers"),
+                   F.when(new, n).otherwise(zero_n).alias("new_customers"),
+                   F.when(new, rev).otherwise(none_m).alias("new_cust_revenue"),
+                   F.when(ex, n).otherwise(zero_n).alias("existing_customers"),
+                   F.when(ex, rev).otherwise(none_m).alias("current_revenue_exist_cust"),
+                   F.when(ex, F.col("lag_rev").cast(money)).otherwise(none_m).alias("prev_revenue_exist_cust"),
+                   zero_n.alias("lost_customers"), none_m.alias("lost_cust_revenue"))
+    nxt = F.struct(F.col("next_period").alias("label"), F.col("period").alias("label_prev"),
+                   none_m.alias("net_revenue"), zero_n.alias("total_customers"), zero_n.alias("new_customers"),
+                   none_m.alias("new_cust_revenue"), zero_n.alias("existing_customers"),
+                   none_m.alias("current_revenue_exist_cust"), none_m.alias("prev_revenue_exist_cust"),
+                   F.when(lost, n).otherwise(zero_n).alias("lost_customers"),
+                   F.when(lost, rev).otherwise(none_m).alias("lost_cust_revenue"))
+    rows = t.select(F.inline(F.array(cur, nxt))).filter(F.col("label").isNotNull())
+    zero_m = F.lit(0).cast(money)
+    summed = lambda c: F.coalesce(F.sum(c), zero_m).alias(c)
+    counted = lambda c: F.sum(c).cast("bigint").alias(c)
+    return rows.groupBy(F.col("label").alias("period")).agg(
+        F.max("label_prev").alias("prev_period"),
+        F.sum("net_revenue").alias("net_revenue"),
+        counted("total_customers"), counted("new_customers"), summed("new_cust_revenue"),
+        counted("existing_customers"), summed("current_revenue_exist_cust"),
+        summed("prev_revenue_exist_cust"), counted("lost_customers"), summed("lost_cust_revenue"))
 
 
 SUMMARY_COLUMNS = ["net_revenue", "new_cust_revenue", "exist_cust_growth",
