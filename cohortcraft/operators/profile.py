@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expr import corr_pairwise, rnd
+from ..functions.linalg import grouped_gram
 
 
 # --- schema helpers (B12, B13, E20) --------------------------------------
@@ -222,10 +223,55 @@ def upper_fence(df: DataFrame, col: str, k: float = 1.5, approx: bool = False) -
 
 # --- E16, E17, E8: bivariate ------------------------------------------------
 
+def _column_checks(df: DataFrame, cols: list[str]):
+    """One pass: NULL count, mean, min and max of every column."""
+    aggs = []
+    for i, c in enumerate(cols):
+        x = F.col(c).cast("double")
+        aggs += [F.count_if(x.isNull()).alias(f"z{i}"), F.avg(x).alias(f"m{i}"),
+                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+    r = df.agg(*aggs).first()
+    nulls = sum(r[f"z{i}"] for i in range(len(cols)))
+    means = [float(r[f"m{i}"] or 0.0) for i in range(len(cols))]
+    const = [r[f"lo{i}"] is None or r[f"lo{i}"] == r[f"hi{i}"] for i in range(len(cols))]
+    return nulls, means, const
+
+
+def _corr_matrix(df: DataFrame, cols: list[str]):
+    """k x k Pearson matrix (None for constant columns) when no value is
+    NULL; None when some are (then the pairwise SQL path is used)."""
+    nulls, means, const = _column_checks(df, cols)
+    if nulls:
+        return None
+    m = grouped_gram(df, cols, shift=means)[0]      # centred cross products
+    k = len(cols)
+    out = [[None] * k for _ in range(k)]
+    for i in range(k):
+        for j in range(k):
+            if not (const[i] or const[j]):
+                out[i][j] = float(m[i, j] / math.sqrt(m[i, i] * m[j, j]))
+    return out
+
+
+def _corr_rows(spark, rows, schema):
+    return spark.createDataFrame(rows, schema)
+
+
 def correlations(df: DataFrame, cols: list[str]) -> DataFrame:
     """Pearson correlation of every ordered pair (long form:
-    var1, var2, corr), pairwise non-NULL; the p(p+1)/2 distinct pairs are
-    computed in one aggregation and mirrored."""
+    var1, var2, corr).
+
+    Without NULLs (the reference computes it after imputation): two passes -
+    column means, then the centred cross-product matrix from per-task numpy
+    partials (``functions.linalg``); the k^2 results become a small frame.
+    With NULLs: pairwise-complete correlations, all pairs in one SQL
+    aggregation.  A constant column gives NULL (pandas: NaN).
+    """
+    mat = _corr_matrix(df, cols)
+    if mat is not None:
+        rows = [(a, b, None if mat[i][j] is None else round(mat[i][j], 6))
+                for i, a in enumerate(cols) for j, b in enumerate(cols)]
+        return _corr_rows(df.sparkSession, rows, "var1 string, var2 string, corr double")
     pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
     row = df.agg(*[corr_pairwise(cols[i], cols[j]).alias(f"r{i}_{j}") for i, j in pairs])
     structs = []
@@ -239,7 +285,12 @@ def correlations(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def target_correlation(df: DataFrame, cols: list[str], target: str) -> DataFrame:
-    """Correlation of each column with the target."""
+    """Correlation of each column with the target (one column of E16)."""
+    mat = _corr_matrix(df, list(cols) + [target])
+    if mat is not None:
+        k = len(cols)
+        rows = [(c, None if mat[i][k] is None else round(mat[i][k], 6)) for i, c in enumerate(cols)]
+        return _corr_rows(df.sparkSession, rows, "column_name string, corr double")
     row = df.agg(*[corr_pairwise(c, target).alias(f"r{i}") for i, c in enumerate(cols)])
     return _rows(row, [F.struct(F.lit(c).alias("column_name"), rnd(F.col(f"r{i}")).alias("corr"))
                        for i, c in enumerate(cols)])

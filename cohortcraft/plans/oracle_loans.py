@@ -94,8 +94,8 @@ CLEAN_NUMS = ["interest_rate", "term", "loan_amount", "months_since_90d_late", "
 STD = S3 + """,
 st AS (SELECT """ + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in NUMS) + """
        FROM s3 WHERE NOT is_test),
-std AS (SELECT s3.loan_id, s3.is_test, """ + ", ".join(
-    f"(CAST({c} AS DOUBLE) - m_{c}) / CASE WHEN s_{c} = 0 THEN 1 ELSE s_{c} END AS {c}" for c in NUMS) + """
+std AS (SELECT s3.* REPLACE (""" + ", ".join(
+    f"(CAST({c} AS DOUBLE) - m_{c}) / CASE WHEN s_{c} = 0 THEN 1 ELSE s_{c} END AS {c}" for c in NUMS) + """)
         FROM s3, st)"""
 
 TOPS = """,
@@ -108,12 +108,14 @@ tops AS (
  SELECT column_name, value, n, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value) AS rk
  FROM cat_counts)"""
 
-SHRUNK = S3 + TOPS + """,
+# Row-wise from here on (the key is not unique at every scale): each stage
+# replaces columns of the previous one instead of joining on the key.
+SHRUNK = STD + TOPS + """,
 shr AS (
- SELECT loan_id, is_test, """ + ", ".join(
+ SELECT std.* REPLACE (""" + ", ".join(
     f"CASE WHEN {c} IN (SELECT value FROM tops WHERE column_name = '{c}' AND rk <= 15) THEN {c} ELSE 'other' END AS {c}"
-    for c in CATS) + """
- FROM s3)"""
+    for c in CATS) + """)
+ FROM std)"""
 
 ENC = SHRUNK + """,
 labels AS (
@@ -121,11 +123,11 @@ labels AS (
  FROM (UNPIVOT (SELECT """ + ", ".join(CATS) + """ FROM shr WHERE NOT is_test)
        ON """ + ", ".join(CATS) + """ INTO NAME column_name VALUE value)),
 enc AS (
- SELECT loan_id, is_test, """ + ", ".join(
+ SELECT shr.* REPLACE (""" + ", ".join(
     f"CAST(CASE WHEN {c} IN (SELECT value FROM labels WHERE column_name = '{c}') "
     f"THEN (SELECT count(*) FROM labels WHERE column_name = '{c}' AND value < shr.{c}) "
     f"ELSE (SELECT count(*) FROM labels WHERE column_name = '{c}') END AS INTEGER) AS {c}"
-    for c in CATS) + """
+    for c in CATS) + """)
  FROM shr)"""
 
 
@@ -232,14 +234,12 @@ FROM (SELECT column_name, value, count(*) AS n
             INTO NAME column_name VALUE value)
       GROUP BY 1, 2)
 GROUP BY column_name"""),
-    "correlation_matrix": _w(S2, """
-SELECT a.name AS var1, b.name AS var2,
-       round(CASE WHEN var_pop(a.v) = 0 OR var_pop(b.v) = 0 THEN NULL ELSE corr(a.v, b.v) END, 6) AS corr
-FROM (SELECT loan_id, name, CAST(v AS DOUBLE) AS v FROM (UNPIVOT (SELECT loan_id, """ + ", ".join(CLEAN_NUMS) + """ FROM s2)
-      ON """ + ", ".join(CLEAN_NUMS) + """ INTO NAME name VALUE v)) a
-JOIN (SELECT loan_id, name, CAST(v AS DOUBLE) AS v FROM (UNPIVOT (SELECT loan_id, """ + ", ".join(CLEAN_NUMS) + """ FROM s2)
-      ON """ + ", ".join(CLEAN_NUMS) + """ INTO NAME name VALUE v)) b ON a.loan_id = b.loan_id
-GROUP BY 1, 2"""),
+    "correlation_matrix": _w(S2 + """,
+cm AS (SELECT """ + ", ".join(
+        f"CASE WHEN var_pop({a}) = 0 OR var_pop({b}) = 0 THEN NULL ELSE corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) END"
+        f" AS \"{a}|{b}\"" for a in CLEAN_NUMS for b in CLEAN_NUMS) + """ FROM s2)""", """
+SELECT split_part(name, '|', 1) AS var1, split_part(name, '|', 2) AS var2, round(v, 6) AS corr
+FROM cm UNPIVOT INCLUDE NULLS (v FOR name IN (COLUMNS(*)))"""),
     "target_correlation": _w(S2, "SELECT * FROM (" + "\nUNION ALL ".join(
         f"SELECT '{c}' AS column_name, round(CASE WHEN var_pop({c}) = 0 THEN NULL "
         f"ELSE corr(CAST({c} AS DOUBLE), interest_rate) END, 6) AS corr FROM s2"
@@ -255,12 +255,10 @@ SELECT column_name, value, n, CAST(rk AS INTEGER) AS rank FROM tops WHERE rk <=
     "train_test_split": _w("", """
 SELECT loan_id, CAST('0x'||substr(md5(loan_id),1,8) AS BIGINT) % 100 < 20 AS is_test FROM raw"""),
     "standardize": _w(STD, "SELECT loan_id, is_test, " + ", ".join(f"{_r(c)} AS {c}" for c in NUMS) + " FROM std"),
-    "shrink_categories": _w(SHRUNK, "SELECT * FROM shr"),
-    "label_encode": _w(ENC, "SELECT * FROM enc"),
-    "loan_prepared": _w(STD + ENC[len(S3):], """
-SELECT s3.loan_id, s3.interest_rate, """ + ", ".join(f"{_r('std.' + c)} AS {c}" for c in NUMS) + ", " +
-        ", ".join(f"enc.{c}" for c in CATS) + """, s3.is_test
-FROM s3 JOIN std ON std.loan_id = s3.loan_id JOIN enc ON enc.loan_id = s3.loan_id"""),
+    "shrink_categories": _w(SHRUNK, "SELECT loan_id, is_test, " + ", ".join(CATS) + " FROM shr"),
+    "label_encode": _w(ENC, "SELECT loan_id, is_test, " + ", ".join(CATS) + " FROM enc"),
+    "loan_prepared": _w(ENC, "SELECT loan_id, interest_rate, " + ", ".join(f"{_r(c)} AS {c}" for c in NUMS)
+                        + ", " + ", ".join(CATS) + ", is_test FROM enc"),
     # --- orders.o_totalprice profiles -------------------------------------
     "describe_numeric": """
 SELECT 'o_totalprice' AS column_name, count(o_totalprice) AS count, round(avg(o_totalprice), 6) AS mean,
@@ -320,9 +318,9 @@ FROM f""",
 # on centred sums, fold R^2 = 1 - SSE/SST from the fold's own sums.
 RIDGE1 = ENC + """,
 d AS (
- SELECT s3.loan_id, s3.is_test, CAST(enc.sub_grade AS DOUBLE) AS x, s3.interest_rate AS y,
-        CAST('0x'||substr(md5(s3.loan_id),1,8) AS BIGINT) % 100 AS bucket
- FROM s3 JOIN enc ON enc.loan_id = s3.loan_id),
+ SELECT loan_id, is_test, CAST(sub_grade AS DOUBLE) AS x, interest_rate AS y,
+        CAST('0x'||substr(md5(loan_id),1,8) AS BIGINT) % 100 AS bucket
+ FROM enc),
 fs AS (
  SELECT bucket % 10 AS fold, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x*x) AS sxx, sum(x*y) AS sxy,
         sum(y*y) AS syy
