@@ -143,27 +143,106 @@ def _quantiles(c: Column, probs, approx: bool, accuracy: int = 10000) -> Column:
     return F.percentile(c, arr)
 
 
+# Rows per (group, quantile) that the exact method ranks in one task are
+# about 4 n / SKETCH_ACCURACY; 1e6 keeps that at ~4e6 for n = 1e12.
+SKETCH_ACCURACY = 1_000_000
+
+
+def exact_quantiles(df: DataFrame, col: str, probs, by: list[str] | None = None,
+                    accuracy: int = SKETCH_ACCURACY) -> DataFrame:
+    """Exact quantiles with linear interpolation (the semantics of SQL
+    ``percentile`` / ``quantile_cont`` and pandas) that scale with the data.
+
+    ``percentile`` keeps every distinct value of a group in the one task that
+    finishes the group; this does not:
+
+    1. one aggregation per group: ``n`` and sketch quantiles
+       (``percentile_approx``, rank error <= n/accuracy) just below and above
+       each target, which bracket the target's value;
+    2. per group and target, the rows strictly below the bracket are counted
+       and only the rows inside it (about 4n/accuracy) are ranked by value,
+       which gives the values at sorted positions floor/ceil((n-1)p).
+
+    Returns ``by`` columns plus ``q`` (array of doubles, one per ``probs``)
+    and ``n``.
+    """
+    by = list(by or [])
+    probs = [float(p) for p in probs]
+    m = 2.0 / accuracy
+    edges = []
+    for p in probs:
+        edges += [max(0.0, p - m), min(1.0, p + m)]
+    x = F.col(col).cast("double")
+    data = df.select(*by, x.alias("__x")).filter(F.col("__x").isNotNull())
+    keys = by or ["__all"]
+    if not by:
+        data = data.withColumn("__all", F.lit(0))
+    bounds = data.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("__n"),
+        F.percentile_approx("__x", F.array(*[F.lit(e) for e in edges]), accuracy).alias("__b"))
+    targets = F.array(*[F.struct(F.lit(i).alias("qi"), F.lit(p).alias("p"),
+                                 F.col("__b")[2 * i].alias("lo"), F.col("__b")[2 * i + 1].alias("hi"))
+                        for i, p in enumerate(probs)])
+    joined = data.join(bounds, keys).select(*keys, "__x", "__n", F.inline(targets))
+    # Counts around the bracket; the nearest values just outside it cover a
+    # target one rank beyond either edge (margins below one rank, small n).
+    lo_x, hi_x = F.col("__x") < F.col("lo"), F.col("__x") > F.col("hi")
+    edge = joined.groupBy(*keys, "qi").agg(
+        F.count_if(lo_x).alias("below"), F.count_if(~hi_x).alias("le_hi"),
+        F.max(F.when(lo_x, F.col("__x"))).alias("max_below"),
+        F.min(F.when(hi_x, F.col("__x"))).alias("min_above"))
+    inside = joined.filter(~lo_x & ~hi_x)
+    w = Window.partitionBy(*keys, "qi").orderBy("__x")
+    ranked = inside.withColumn("__r", F.row_number().over(w)).join(edge, keys + ["qi"])
+    pos = F.col("below") + F.col("__r") - 1
+    h = (F.col("__n") - 1) * F.col("p")
+    picked = ranked.groupBy(*keys, "qi").agg(
+        F.first("__n").alias("n"), F.first(h - F.floor(h)).alias("frac"),
+        F.first(F.floor(h)).alias("k0"), F.first(F.ceil(h)).alias("k1"),
+        F.first("below").alias("below"), F.first("le_hi").alias("le_hi"),
+        F.first("max_below").alias("max_below"), F.first("min_above").alias("min_above"),
+        F.max(F.when(pos == F.floor(h), F.col("__x"))).alias("w0"),
+        F.max(F.when(pos == F.ceil(h), F.col("__x"))).alias("w1"))
+
+    def at(k: str, w_: str):
+        return F.coalesce(F.col(w_), F.when(F.col(k) == F.col("below") - 1, F.col("max_below")),
+                          F.when(F.col(k) == F.col("le_hi"), F.col("min_above")))
+    picked = picked.select(*keys, "qi", "n", "frac", at("k0", "w0").alias("v0"), at("k1", "w1").alias("v1"))
+    q = picked.select(*keys, "qi", "n", (F.col("v0") + F.col("frac") * (F.col("v1") - F.col("v0"))).alias("v"))
+    out = q.groupBy(*keys).agg(F.first("n").alias("n"),
+                               F.array_sort(F.collect_list(F.struct("qi", "v"))).alias("__qs"))
+    out = out.select(*keys, "n", F.transform("__qs", lambda e: e["v"]).alias("q"))
+    return out.drop("__all") if not by else out
+
+
 def describe_numeric(df: DataFrame, cols: list[str], approx: bool = False) -> DataFrame:
     """Count, mean, std (sample), min, 25%, 50%, 75%, max per column.
 
-    Quartiles are exact (linear interpolation, as pandas); ``df.summary()``
-    is not used because its quartiles are approximate.  ``approx=True``
-    switches to ``percentile_approx`` for columns with very many distinct
-    values.
+    Quartiles are exact with linear interpolation, as pandas (``exact_quantiles``;
+    ``df.summary()`` is not used: its quartiles are approximate).
+    ``approx=True`` uses sketch quartiles (one pass).  The moments of all
+    columns come from one aggregation.
     """
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
-                 _quantiles(x, (0.25, 0.5, 0.75), approx).alias(f"q{i}")]
-    row = df.agg(*aggs)
-    return _rows(row, [F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("count"),
-                                rnd(F.col(f"m{i}")).alias("mean"), rnd(F.col(f"s{i}")).alias("std"),
-                                F.col(f"lo{i}").alias("min"), rnd(F.col(f"q{i}")[0]).alias("q25"),
-                                rnd(F.col(f"q{i}")[1]).alias("q50"), rnd(F.col(f"q{i}")[2]).alias("q75"),
-                                F.col(f"hi{i}").alias("max"))
-                       for i, c in enumerate(cols)])
+                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+    stats = _rows(df.agg(*aggs), [F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("count"),
+                                           rnd(F.col(f"m{i}")).alias("mean"), rnd(F.col(f"s{i}")).alias("std"),
+                                           F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"))
+                                  for i, c in enumerate(cols)])
+    parts = []
+    for c in cols:
+        q = (exact_quantiles(df, c, (0.25, 0.5, 0.75)).select("q") if not approx else
+             df.agg(_quantiles(F.col(c).cast("double"), (0.25, 0.5, 0.75), True).alias("q")))
+        parts.append(q.select(F.lit(c).alias("column_name"), rnd(F.col("q")[0]).alias("q25"),
+                              rnd(F.col("q")[1]).alias("q50"), rnd(F.col("q")[2]).alias("q75")))
+    qs = parts[0]
+    for p_ in parts[1:]:
+        qs = qs.unionByName(p_)
+    return stats.join(qs, "column_name", "left").select(
+        "column_name", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def missing_shares(df: DataFrame, only_missing: bool = True) -> DataFrame:
@@ -207,9 +286,15 @@ def completeness(df: DataFrame) -> DataFrame:
         F.coalesce(F.col("n_columns_missing"), F.lit(0)).cast("bigint").alias("n_columns_missing"))
 
 
+def _q(df: DataFrame, col: str, probs, approx: bool) -> DataFrame:
+    if approx:
+        return df.agg(_quantiles(F.col(col).cast("double"), probs, True).alias("q"))
+    return exact_quantiles(df, col, probs).select("q")
+
+
 def iqr_fence(df: DataFrame, col: str, k: float = 1.5, approx: bool = False) -> DataFrame:
     """q1, q3, iqr, lower = q1 - k*iqr, upper = q3 + k*iqr (one row)."""
-    q = df.agg(_quantiles(F.col(col).cast("double"), (0.25, 0.75), approx).alias("q"))
+    q = _q(df, col, (0.25, 0.75), approx)
     iqr = F.col("q")[1] - F.col("q")[0]
     return q.select(rnd(F.col("q")[0]).alias("q1"), rnd(F.col("q")[1]).alias("q3"), rnd(iqr).alias("iqr"),
                     rnd(F.col("q")[0] - k * iqr).alias("lower"), rnd(F.col("q")[1] + k * iqr).alias("upper"))
@@ -217,7 +302,7 @@ def iqr_fence(df: DataFrame, col: str, k: float = 1.5, approx: bool = False) ->
 
 def upper_fence(df: DataFrame, col: str, k: float = 1.5, approx: bool = False) -> Column:
     """E14 upper fence as a scalar-subquery Column (unrounded)."""
-    q = df.agg(_quantiles(F.col(col).cast("double"), (0.25, 0.75), approx).alias("q"))
+    q = _q(df, col, (0.25, 0.75), approx)
     return q.select((F.col("q")[1] + k * (F.col("q")[1] - F.col("q")[0])).alias("u")).scalar()
 
 
@@ -379,7 +464,10 @@ def box_stats(df: DataFrame, col: str, by: str | None = None, k: float = 1.5,
         df, keys = df.withColumn("__all", F.lit(0)), ["__all"]
     else:
         keys = [by]
-    q = df.groupBy(*keys).agg(F.count(x).alias("n"), _quantiles(x, (0.25, 0.5, 0.75), approx).alias("q"))
+    if approx:
+        q = df.groupBy(*keys).agg(F.count(x).alias("n"), _quantiles(x, (0.25, 0.5, 0.75), True).alias("q"))
+    else:
+        q = exact_quantiles(df, col, (0.25, 0.5, 0.75), by=keys)
     q = q.select(*keys, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
                  F.col("q")[2].alias("q3"))
     q = q.withColumn("iqr", F.col("q3") - F.col("q1")) \

@@ -64,9 +64,21 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
     return nan_to_null(df)
 
 
-def test_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's parquet tables."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Repartition a scan that has fewer partitions than the cluster has
+    cores (a file written as one parquet row group is read by one task, and
+    broadcast joins would keep all following work in that task).  Inputs
+    with many row groups already have enough partitions and are returned
+    unchanged, so no shuffle is added at scale."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)
+
+
+def test_table(spark: SparkSession, sf_dir: str, name: str, min_partitions: int | None = None) -> DataFrame:
+    """One of the driver's parquet tables, spread over the cores (``spread``)."""
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"), min_partitions)
 
 
 def register_test_views(spark: SparkSession, sf_dir: str, names=TEST_TABLES) -> None:

@@ -1,0 +1,9 @@
+"""Streaming.
+
+The analyses this library reproduces are batch only: they read a finished
+customer-by-period table and a finished loans table, and have no source,
+watermark, window over event time, state or late-data handling.  No
+streaming operator is built.  All operators are plain DataFrame functions,
+so they can run on the micro-batch DataFrame of ``foreachBatch`` if a caller
+needs them on a stream.
+"""

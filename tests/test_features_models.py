@@ -120,3 +120,15 @@ def test_prepared_loans_sf0001(spark):
     for c in p.categoricals:
         assert p.df.agg(F.max(c)).first()[0] <= 15
     assert p.df.select([F.count_if(F.col(c).isNull()) for c in p.features]).first() == tuple([0] * len(p.features))
+
+
+def test_tree_learning_curve(spark):
+    rng = np.random.default_rng(9)
+    X = rng.normal(size=(400, 2))
+    y = np.where(X[:, 0] > 0, 2.0, -2.0) + 0.1 * rng.normal(size=400)
+    df = M.split(spark.createDataFrame([(str(i), float(a), float(b), float(t)) for i, ((a, b), t)
+                                        in enumerate(zip(X, y))], "loan_id string, a double, b double, label double"))
+    data = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df)
+    curve = N.tree_learning_curve(N.forest(numTrees=3, maxDepth=3), data, "loan_id", "is_test", sizes=3)
+    assert len(curve) == 3 and curve[0][0] < curve[1][0] < curve[2][0]
+    assert curve[-1][0] == df.filter(~F.col("is_test")).count()

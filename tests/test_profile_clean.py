@@ -107,3 +107,34 @@ def test_table_profile(spark):
     assert p["i"]["dtype_family"] == "integer" and p["s"]["n_non_null"] == 1 and p["d"]["n_rows"] == 2
     assert P.numeric_columns(df) == ["i", "d"] and P.text_columns(df) == ["s"]
     assert math.isclose(P.means_by(df.fillna(0), "i", ["d"]).count(), 2)
+
+
+def test_exact_quantiles_match_numpy_with_small_sketch(spark):
+    import numpy as np
+    rng = np.random.default_rng(11)
+    vals = np.round(rng.lognormal(3, 1, size=3000), 1)       # many ties
+    groups = rng.integers(0, 3, size=3000)
+    df = spark.createDataFrame([(int(g), float(v)) for g, v in zip(groups, vals)], "g int, x double")
+    probs = (0.0, 0.25, 0.5, 0.75, 0.9, 1.0)
+    # accuracy 200: the sketch alone would be off by up to 1/200 in rank
+    got = {r["g"]: r["q"] for r in P.exact_quantiles(df, "x", probs, by=["g"], accuracy=200).collect()}
+    for g in range(3):
+        want = np.quantile(vals[groups == g], probs)          # linear interpolation
+        assert np.allclose(got[g], want, rtol=0, atol=1e-9)
+    one = P.exact_quantiles(df, "x", (0.5,), accuracy=100).first()
+    assert abs(one["q"][0] - np.quantile(vals, 0.5)) < 1e-9 and one["n"] == 3000
+
+
+def test_exact_quantiles_small_groups_fine_sketch(spark):
+    import numpy as np
+    rng = np.random.default_rng(2)
+    rows, want = [], {}
+    probs = (0.1, 0.25, 0.5, 0.75, 0.9)
+    for g, n in enumerate([1, 2, 3, 7, 100, 2286]):
+        v = rng.normal(size=n).round(3)
+        rows += [(g, float(x)) for x in v]
+        want[g] = np.quantile(v, probs)
+    df = spark.createDataFrame(rows, "g int, x double")
+    got = {r["g"]: r["q"] for r in P.exact_quantiles(df, "x", probs, by=["g"]).collect()}
+    for g, w in want.items():
+        assert np.allclose(got[g], w, atol=1e-9), g
