@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import bucket_hash
@@ -103,14 +103,36 @@ class LabelEncoder:
         return df.withColumns({c: self.code(c).cast("int") for c in self.labels})
 
 
+@dataclass
+class TableEncoder:
+    """M6 for columns with too many labels to inline: a (column_name, value,
+    code) table - codes by ``dense_rank`` in byte order within each column -
+    joined back once per column (AQE picks broadcast or sort-merge and splits
+    skewed values).  Same codes as ``LabelEncoder``."""
+    codes: DataFrame
+    sizes: dict
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        for c, size in self.sizes.items():
+            t = self.codes.filter(F.col("column_name") == c).select(
+                F.col("value").alias(c), F.col("code").alias("__code"))
+            df = (df.join(t, c, "left")
+                    .withColumn(c, F.coalesce(F.col("__code"), F.lit(size)).cast("int"))
+                    .drop("__code"))
+        return df
+
+
+# Label lists up to this size are put into the plan as literal maps; larger
+# ones are encoded by a join (``TableEncoder``).
 MAX_LITERAL_LABELS = 100_000
 
 
-def fit_encode(train: DataFrame, cols) -> LabelEncoder:
-    """Distinct training values per column.  Used after ``fit_shrink``, so
-    at most top+1 labels per column; the bound is checked and a column with
-    more labels than ``MAX_LITERAL_LABELS`` raises rather than pulling an
-    unbounded list into the driver (use StringIndexer there)."""
+def fit_encode(train: DataFrame, cols):
+    """Distinct training values per column, sorted by bytes.  After
+    ``fit_shrink`` a column has at most top+1 labels and the lists are
+    inlined; a column set with more than ``MAX_LITERAL_LABELS`` labels per
+    column is encoded through a join instead (nothing unbounded reaches the
+    driver)."""
     cols = list(cols)
     labels: dict = {c: [] for c in cols}
     if not cols:
@@ -118,7 +140,11 @@ def fit_encode(train: DataFrame, cols) -> LabelEncoder:
     distinct = profile._long(train, cols).distinct()
     rows = distinct.limit(MAX_LITERAL_LABELS * len(cols) + 1).collect()
     if len(rows) > MAX_LITERAL_LABELS * len(cols):
-        raise ValueError("too many distinct labels for a literal encoding; shrink first")
+        w = Window.partitionBy("column_name").orderBy(F.col("value").cast("binary"))
+        codes = distinct.withColumn("code", F.dense_rank().over(w) - 1)
+        sizes = {r["column_name"]: r["n"] for r in
+                 distinct.groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).collect()}
+        return TableEncoder(codes, {c: sizes.get(c, 0) for c in cols})
     for r in rows:
         labels[r["column_name"]].append(r["value"])
     return LabelEncoder({c: sorted(v, key=lambda s: s.encode("utf-8")) for c, v in labels.items()})

@@ -232,15 +232,16 @@ def describe_numeric(df: DataFrame, cols: list[str], approx: bool = False) -> Da
                                            rnd(F.col(f"m{i}")).alias("mean"), rnd(F.col(f"s{i}")).alias("std"),
                                            F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"))
                                   for i, c in enumerate(cols)])
-    parts = []
-    for c in cols:
-        q = (exact_quantiles(df, c, (0.25, 0.5, 0.75)).select("q") if not approx else
-             df.agg(_quantiles(F.col(c).cast("double"), (0.25, 0.5, 0.75), True).alias("q")))
-        parts.append(q.select(F.lit(c).alias("column_name"), rnd(F.col("q")[0]).alias("q25"),
-                              rnd(F.col("q")[1]).alias("q50"), rnd(F.col("q")[2]).alias("q75")))
-    qs = parts[0]
-    for p_ in parts[1:]:
-        qs = qs.unionByName(p_)
+    # All columns' quartiles in one pipeline: (column_name, value) rows,
+    # quantiles grouped by column_name.
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"),
+                                                 F.col(c).cast("double").alias("value")) for c in cols])))
+    if approx:
+        qs = long.groupBy("column_name").agg(_quantiles(F.col("value"), (0.25, 0.5, 0.75), True).alias("q"))
+    else:
+        qs = exact_quantiles(long, "value", (0.25, 0.5, 0.75), by=["column_name"])
+    qs = qs.select("column_name", rnd(F.col("q")[0]).alias("q25"), rnd(F.col("q")[1]).alias("q50"),
+                   rnd(F.col("q")[2]).alias("q75"))
     return stats.join(qs, "column_name", "left").select(
         "column_name", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 

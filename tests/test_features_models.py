@@ -132,3 +132,13 @@ def test_tree_learning_curve(spark):
     curve = N.tree_learning_curve(N.forest(numTrees=3, maxDepth=3), data, "loan_id", "is_test", sizes=3)
     assert len(curve) == 3 and curve[0][0] < curve[1][0] < curve[2][0]
     assert curve[-1][0] == df.filter(~F.col("is_test")).count()
+
+
+def test_table_encoder_matches_literal_encoder(spark, monkeypatch):
+    df = spark.createDataFrame([("b",), ("B",), ("a",), ("é",), ("a",), (None,)], "c string")
+    lit_codes = [r["c"] for r in M.fit_encode(df, ["c"]).transform(df.withColumn("i", F.monotonically_increasing_id())).orderBy("i").collect()]
+    monkeypatch.setattr(M, "MAX_LITERAL_LABELS", 1)
+    enc = M.fit_encode(df, ["c"])
+    assert isinstance(enc, M.TableEncoder)
+    got = [r["c"] for r in enc.transform(df.withColumn("i", F.monotonically_increasing_id())).orderBy("i").collect()]
+    assert got == lit_codes == [2, 0, 1, 3, 1, 4]
