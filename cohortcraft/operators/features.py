@@ -42,6 +42,7 @@ class Standardizer:
     is not used: it divides by the sample std."""
     means: dict = field(default_factory=dict)
     stds: dict = field(default_factory=dict)
+    n_rows: int = 0              # training rows seen by the fit
 
     def transform(self, df: DataFrame) -> DataFrame:
         return df.withColumns({
@@ -51,13 +52,12 @@ class Standardizer:
 
 def fit_standardize(train: DataFrame, cols) -> Standardizer:
     cols = list(cols)
-    if not cols:
-        return Standardizer()
-    row = train.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)],
+    row = train.agg(F.count(F.lit(1)).alias("__n"),
+                    *[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)],
                     *[F.stddev_pop(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)]
                     ).first()
     return Standardizer({c: float(row[f"m{i}"]) for i, c in enumerate(cols)},
-                        {c: float(row[f"s{i}"] or 0.0) for i, c in enumerate(cols)})
+                        {c: float(row[f"s{i}"] or 0.0) for i, c in enumerate(cols)}, int(row["__n"]))
 
 
 @dataclass
@@ -66,6 +66,7 @@ class Shrinker:
     'other' (in training and test alike; unseen test values too)."""
     tops: dict = field(default_factory=dict)
     other: str = clean.OTHER
+    kept: dict = field(default_factory=dict)     # training rows keeping their value
 
     def transform(self, df: DataFrame) -> DataFrame:
         return df.withColumns({
@@ -77,10 +78,25 @@ def fit_shrink(train: DataFrame, cols, top: int = TOP_CATEGORIES) -> Shrinker:
     """At most ``top`` rows per column come back (``top_values``)."""
     cols = list(cols)
     tops: dict = {c: [] for c in cols}
+    kept: dict = {c: 0 for c in cols}
     if cols:
-        for r in profile.top_values(train, cols, top).select("column_name", "value").collect():
+        for r in profile.top_values(train, cols, top).select("column_name", "value", "n").collect():
             tops[r["column_name"]].append(r["value"])
-    return Shrinker(tops)
+            kept[r["column_name"]] += r["n"]
+    return Shrinker(tops, kept=kept)
+
+
+def encoder_after_shrink(shr: Shrinker, n_train: int) -> "LabelEncoder":
+    """M6 labels without another pass: after shrinking, a column's training
+    values are its kept top values plus 'other' when any training row (NULL
+    included) was outside them."""
+    labels = {}
+    for c, vals in shr.tops.items():
+        s = set(vals)
+        if shr.kept.get(c, 0) < n_train:
+            s.add(shr.other)
+        labels[c] = sorted(s, key=lambda v: v.encode("utf-8"))
+    return LabelEncoder(labels)
 
 
 @dataclass
@@ -191,7 +207,7 @@ def prepare_loans(raw: DataFrame) -> Prepared:
     train = df.filter(~F.col(SPLIT_COLUMN))
     std = fit_standardize(train, nums)
     shr = fit_shrink(train, cats)
-    enc = fit_encode(shr.transform(train), cats)
+    enc = encoder_after_shrink(shr, std.n_rows)
     out = enc.transform(shr.transform(std.transform(df)))
     out = out.select(KEY, LABEL, *feats, SPLIT_COLUMN)
     return Prepared(out, feats, nums, cats, std, shr, enc)

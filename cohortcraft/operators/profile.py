@@ -393,11 +393,17 @@ def _range(df: DataFrame, col: str) -> DataFrame:
     return df.agg(F.min(F.col(col).cast("double")).alias("lo"), F.max(F.col(col).cast("double")).alias("hi"))
 
 
+def _scalars(stats: DataFrame) -> Column:
+    """A one-row aggregate as one struct-valued scalar subquery (evaluated
+    once however many of its fields the plan uses)."""
+    return stats.select(F.struct(*stats.columns).alias("s")).scalar()
+
+
 def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
     """L1: equal-width bins between min and max (the max falls in the last
     bin): bin, lo, hi, n.  min/max come from scalar subqueries."""
-    r = _range(df, col)
-    lo, hi = r.select("lo").scalar(), r.select("hi").scalar()
+    r = _scalars(_range(df, col))
+    lo, hi = r["lo"], r["hi"]
     width = (hi - lo) / bins
     x = F.col(col).cast("double")
     b = F.least(F.floor(F.try_divide(x - lo, width)), F.lit(bins - 1))
@@ -419,8 +425,8 @@ def density(df: DataFrame, col: str, grid: int = 100, bins: int = 1000, places:
     x = F.col(col).cast("double")
     stats = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.stddev_samp(x).alias("sd"),
                    F.count(x).alias("n"))
-    lo, hi = stats.select("lo").scalar(), stats.select("hi").scalar()
-    sd, n = stats.select("sd").scalar(), stats.select("n").scalar()
+    st = _scalars(stats)
+    lo, hi, sd, n = st["lo"], st["hi"], st["sd"], st["n"]
     width = (hi - lo) / bins
     h = sd * F.pow(n.cast("double"), -0.2)
     b = F.coalesce(F.least(F.floor(F.try_divide(x - lo, width)), F.lit(bins - 1)), F.lit(0)).cast("int")
@@ -441,11 +447,10 @@ def normal_fit(df: DataFrame, col: str, bins: int = 50, places: int = 12) -> Dat
     """L3: maximum-likelihood normal (mean, population std) evaluated at the
     histogram's bin centres: bin, x, pdf, mu, sigma."""
     x = F.col(col).cast("double")
-    st = df.agg(F.avg(x).alias("mu"), F.stddev_pop(x).alias("sigma"))
-    mu, sigma = st.select("mu").scalar(), st.select("sigma").scalar()
+    st = _scalars(df.agg(F.avg(x).alias("mu"), F.stddev_pop(x).alias("sigma"),
+                         F.min(x).alias("lo"), F.max(x).alias("hi")))
+    mu, sigma, lo, hi = st["mu"], st["sigma"], st["lo"], st["hi"]
     h = histogram(df, col, bins)
-    r = _range(df, col)
-    lo, hi = r.select("lo").scalar(), r.select("hi").scalar()
     width = (hi - lo) / bins
     centre = lo + (F.col("bin") + 0.5) * width
     z = (centre - mu) / sigma
