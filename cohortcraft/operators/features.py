@@ -138,6 +138,25 @@ class TableEncoder:
         return df
 
 
+def distributed_codes(distinct: DataFrame) -> DataFrame:
+    """0-based rank of each distinct (column_name, value) in byte order of
+    the value within its column, without one task per column: the pairs are
+    range-partitioned and sorted, each range numbers its own rows, and
+    per-range counts (a table of ranges x columns) give the offsets."""
+    n = max(distinct.sparkSession.sparkContext.defaultParallelism, 1)
+    keyed = distinct.withColumn("__b", F.col("value").cast("binary"))
+    ranged = (keyed.repartitionByRange(n, "column_name", "__b")
+                   .withColumn("__pid", F.spark_partition_id()))
+    counts = ranged.groupBy("__pid", "column_name").agg(F.count(F.lit(1)).alias("__c"))
+    before = Window.partitionBy("column_name").orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__pid", "column_name",
+                            F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__off"))
+    local = Window.partitionBy("__pid", "column_name").orderBy("__b")
+    return (ranged.withColumn("__r", F.row_number().over(local))
+                  .join(offsets, ["__pid", "column_name"])
+                  .select("column_name", "value", (F.col("__off") + F.col("__r") - 1).alias("code")))
+
+
 # Label lists up to this size are put into the plan as literal maps; larger
 # ones are encoded by a join (``TableEncoder``).
 MAX_LITERAL_LABELS = 100_000
@@ -156,8 +175,7 @@ def fit_encode(train: DataFrame, cols):
     distinct = profile._long(train, cols).distinct()
     rows = distinct.limit(MAX_LITERAL_LABELS * len(cols) + 1).collect()
     if len(rows) > MAX_LITERAL_LABELS * len(cols):
-        w = Window.partitionBy("column_name").orderBy(F.col("value").cast("binary"))
-        codes = distinct.withColumn("code", F.dense_rank().over(w) - 1)
+        codes = distributed_codes(distinct)
         sizes = {r["column_name"]: r["n"] for r in
                  distinct.groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).collect()}
         return TableEncoder(codes, {c: sizes.get(c, 0) for c in cols})

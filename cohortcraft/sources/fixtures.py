@@ -58,11 +58,14 @@ def loan_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = test_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_discount", "l_tax", "l_returnflag")
-    pa = test_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_retailprice")
-    od = test_table(spark, sf_dir, "orders").select(
+    # Only the probe side is spread over the cores; the other sides are
+    # either broadcast (small) or shuffled for the join anyway.
+    dim = lambda name: test_table(spark, sf_dir, name, min_partitions=1)
+    pa = dim("part").select("p_partkey", "p_name", "p_size", "p_retailprice")
+    od = dim("orders").select(
         "o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", "o_orderstatus", "o_orderdate")
-    cu = test_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal")
-    na = test_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    cu = dim("customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal")
+    na = dim("nation").select("n_nationkey", "n_name")
 
     b = (li.join(pa, li.l_partkey == pa.p_partkey)
            .join(od, li.l_orderkey == od.o_orderkey)

@@ -142,3 +142,13 @@ def test_table_encoder_matches_literal_encoder(spark, monkeypatch):
     assert isinstance(enc, M.TableEncoder)
     got = [r["c"] for r in enc.transform(df.withColumn("i", F.monotonically_increasing_id())).orderBy("i").collect()]
     assert got == lit_codes == [2, 0, 1, 3, 1, 4]
+
+
+def test_distributed_codes_match_sorted_order(spark):
+    vals = [f"v{i:04d}" for i in range(500)] + ["B", "a", "é"]
+    rows = [("x", v) for v in vals] + [("y", v) for v in vals[:37]]
+    d = spark.createDataFrame(rows, "column_name string, value string")
+    got = {(r["column_name"], r["value"]): r["code"] for r in M.distributed_codes(d).collect()}
+    for col, vs in (("x", vals), ("y", vals[:37])):
+        for i, v in enumerate(sorted(vs, key=lambda s: s.encode("utf-8"))):
+            assert got[(col, v)] == i
