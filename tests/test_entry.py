@@ -38,3 +38,16 @@ def test_some_queries_match_oracle_sf0001(spark, key):
     want = sorted(tuple(r[names.index(c)] for c in cols) for r in rel.fetchall())
     norm = lambda rows: [tuple(float(v) if hasattr(v, "as_tuple") else v for v in r) for r in rows]
     assert norm(got) == norm(want)
+
+
+@pytest.mark.skipif(not os.path.exists(SF001), reason="test data")
+@pytest.mark.parametrize("key", ["top_categories", "describe_text", "box_stats", "label_encode", "learning_curve"])
+def test_result_independent_of_partition_count(spark, key):
+    base = None
+    for n in (1, 16):
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        spark.catalog.clearCache()
+        got = sorted(tuple(r) for r in E.queries()[key](spark, SF001).collect())
+        base = base or got
+        assert got == base
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
