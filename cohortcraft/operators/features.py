@@ -143,7 +143,10 @@ def distributed_codes(distinct: DataFrame) -> DataFrame:
     the value within its column, without one task per column: the pairs are
     range-partitioned and sorted, each range numbers its own rows, and
     per-range counts (a table of ranges x columns) give the offsets."""
-    n = max(distinct.sparkSession.sparkContext.defaultParallelism, 1)
+    try:
+        n = max(distinct.sparkSession.sparkContext.defaultParallelism, 1)
+    except Exception:  # noqa: BLE001  (Spark Connect)
+        n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
     keyed = distinct.withColumn("__b", F.col("value").cast("binary"))
     ranged = (keyed.repartitionByRange(n, "column_name", "__b")
                    .withColumn("__pid", F.spark_partition_id()))

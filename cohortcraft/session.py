@@ -49,7 +49,10 @@ def build_session(master: str | None = None, app: str = "cohortcraft",
     for k, v in conf.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    try:
+        spark.sparkContext.setLogLevel("ERROR")
+    except Exception:  # noqa: BLE001  (Spark Connect)
+        pass
     return spark
 
 
@@ -72,14 +75,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     ``checkpointInterval`` use it.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001  (Spark Connect: the server owns the folder)
+        sc = None
+    if not path and sc is not None:
+        path = sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
         path = tempfile.mkdtemp(prefix="cohortcraft-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if path.startswith("/") and not os.path.isdir(path):
         os.makedirs(path, exist_ok=True)
-    spark.sparkContext.setCheckpointDir(path)
+    if sc is not None:
+        sc.setCheckpointDir(path)
     return path
 
 

@@ -70,8 +70,11 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     broadcast joins would keep all following work in that task).  Inputs
     with many row groups already have enough partitions and are returned
     unchanged, so no shuffle is added at scale."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:  # needs the classic API (not available under Spark Connect)
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= target:
+            return df
+    except Exception:  # noqa: BLE001
         return df
     return df.repartition(target)
 
