@@ -51,3 +51,17 @@ def test_result_independent_of_partition_count(spark, key):
         base = base or got
         assert got == base
     spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+@pytest.mark.skipif(not os.path.exists(SF001), reason="test data")
+def test_model_summary_bounds_sf0001(spark):
+    """SURVEY §5.4: all-feature models beat the one-feature forest on test R^2,
+    and every model beats the mean (R^2 > 0)."""
+    rows = {r["metric"]: r for r in E.queries()["model_summary"](spark, SF001).collect()}
+    assert set(rows) == {"Train_RMSE", "Test_RMSE", "Train_R2", "Test_R2"}
+    t = rows["Test_R2"]
+    for m in ("linear_ridge", "random_forest", "boosted_trees", "simplified_random_forest"):
+        assert t[m] > 0
+    for m in ("linear_ridge", "random_forest", "boosted_trees"):
+        assert t[m] > t["simplified_random_forest"]
+    assert rows["Train_RMSE"]["random_forest"] <= rows["Test_RMSE"]["random_forest"]
