@@ -491,3 +491,18 @@ def box_stats(df: DataFrame, col: str, by: str | None = None, k: float = 1.5,
                       rnd("iqr").alias("iqr"), rnd("lower_fence").alias("lower_fence"),
                       rnd("upper_fence").alias("upper_fence"), rnd("whisker_low").alias("whisker_low"),
                       rnd("whisker_high").alias("whisker_high"), "n_outliers")
+
+
+# Names of the planned API.
+missing = missing_shares
+zeros = zero_shares
+complete = completeness
+
+
+def describe(df: DataFrame, cols: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """E9 + E10 (``describe(include='all')``): the numeric report and the
+    text report of ``cols`` (default: all columns)."""
+    cols = cols or df.columns
+    nums = [c for c in numeric_columns(df) if c in cols]
+    texts = [c for c in text_columns(df) if c in cols]
+    return (describe_numeric(df, nums) if nums else None, describe_text(df, texts) if texts else None)
