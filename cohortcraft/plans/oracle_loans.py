@@ -195,7 +195,8 @@ SELECT loan_id,
        CASE WHEN application_type = 'individual' THEN debt_to_income ELSE debt_to_income_joint END AS debt_to_income
 FROM raw"""),
     "missing_report": _w(S1, """
-SELECT column_name, n_missing, round(CAST(n_missing AS DOUBLE) * 100 / (SELECT count(*) FROM s1), 6) AS pct_missing
+SELECT column_name, CAST(n_missing AS BIGINT) AS n_missing,
+       round(CAST(n_missing AS DOUBLE) * 100 / (SELECT count(*) FROM s1), 6) AS pct_missing
 FROM (UNPIVOT (SELECT """ + ", ".join(f"count_if({c} IS NULL) AS {c}" for c in [
         "loan_id", "split_bucket", "interest_rate", "grade", "sub_grade", "term", "loan_amount", "state",
         "emp_title", "homeownership", "annual_income", "verified_income", "debt_to_income",
@@ -204,9 +205,9 @@ FROM (UNPIVOT (SELECT """ + ", ".join(f"count_if({c} IS NULL) AS {c}" for c in [
       ON COLUMNS(*) INTO NAME column_name VALUE n_missing)
 WHERE n_missing > 0"""),
     "zero_counts": _w(S1, """
-SELECT 'months_since_90d_late' AS column_name, count_if(months_since_90d_late = 0) AS n_zero FROM s1
-UNION ALL SELECT 'months_since_last_delinq', count_if(months_since_last_delinq = 0) FROM s1
-UNION ALL SELECT 'months_since_last_credit_inquiry', count_if(months_since_last_credit_inquiry = 0) FROM s1"""),
+SELECT 'months_since_90d_late' AS column_name, CAST(count_if(months_since_90d_late = 0) AS BIGINT) AS n_zero FROM s1
+UNION ALL SELECT 'months_since_last_delinq', CAST(count_if(months_since_last_delinq = 0) AS BIGINT) FROM s1
+UNION ALL SELECT 'months_since_last_credit_inquiry', CAST(count_if(months_since_last_credit_inquiry = 0) AS BIGINT) FROM s1"""),
     "mode_values": _w(S1 + MODES, """
 SELECT 'months_since_last_credit_inquiry' AS column_name, CAST(m_inq AS VARCHAR) AS mode FROM modes
 UNION ALL SELECT 'verified_income', m_ver FROM modes"""),
@@ -227,7 +228,7 @@ SELECT n = 0 AS complete, CAST(n AS BIGINT) AS n_columns_missing FROM (
 SELECT loan_id, coalesce(CAST(num_satisfactory_accounts AS DOUBLE) / nullif(open_credit_lines, 0), 0) AS satis_pr_cred_lines
 FROM raw"""),
     "describe_text": _w(S2, """
-SELECT column_name, sum(n) AS count, count(*) AS "unique",
+SELECT column_name, CAST(sum(n) AS BIGINT) AS count, count(*) AS "unique",
        arg_min(value, struct_pack(a := -n, b := value)) AS top, max(n) AS freq
 FROM (SELECT column_name, value, count(*) AS n
       FROM (UNPIVOT (SELECT """ + ", ".join(CATS) + """ FROM s2) ON """ + ", ".join(CATS) + """
