@@ -242,7 +242,8 @@ def describe_numeric(df: DataFrame, cols: list[str], approx: bool = False) -> Da
         qs = exact_quantiles(long, "value", (0.25, 0.5, 0.75), by=["column_name"])
     qs = qs.select("column_name", rnd(F.col("q")[0]).alias("q25"), rnd(F.col("q")[1]).alias("q50"),
                    rnd(F.col("q")[2]).alias("q75"))
-    return stats.join(qs, "column_name", "left").select(
+    # one row per described column on both sides: bounded by the schema, not the data
+    return stats.join(F.broadcast(qs), "column_name", "left").select(
         "column_name", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
