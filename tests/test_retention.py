@@ -120,3 +120,19 @@ def test_loyalty_and_rollup(spark):
     assert loy[2]["n_customers"] == 1 and loy[1]["pct_customers"] == 50.0
     roll = {r["year"]: r for r in R.revenue_rollup(cp).collect()}
     assert roll[None]["is_total"] and roll[None]["net_revenue"] == 9.0 and roll[1]["net_revenue"] == 8.0
+
+
+def test_long_metrics_equal_the_single_metric_tables(spark):
+    cp = cp_frame(spark, [("a", 1, 1.0), ("a", 3, 4.0), ("b", 1, 2.0), ("b", 2, 5.0), ("c", 2, 7.0),
+                          ("c", 3, 1.5), (None, 2, 9.0)])
+    long = {(r["year"], r["metric"]): r["value"] for r in R.metrics_long(cp).collect()}
+    singles = {
+        "new_cust_revenue": R.new_customer_revenue(cp), "exist_cust_growth": R.existing_customer_growth(cp),
+        "lost_cust_revenue": R.attrition_revenue(cp), "new_customers": R.new_customers(cp),
+        "lost_customers": R.lost_customers(cp)}
+    n = 0
+    for metric, df in singles.items():
+        for r in df.collect():
+            assert long[(r["year"], metric)] == float(r[metric])
+            n += 1
+    assert n == len(long) == 10
