@@ -21,3 +21,15 @@ def test_csv_with_pandas_index_column(spark, tmp_path):
 def test_preview_is_ordered(spark):
     df = spark.range(100).withColumn("v", F.col("id") % 7)
     assert [r["id"] for r in preview(df, 5, ["id"]).collect()] == [0, 1, 2, 3, 4]
+
+
+def test_spread_only_when_fewer_partitions_than_cores(spark):
+    from cohortcraft.sources import spread
+    cores = spark.sparkContext.defaultParallelism
+    one = spark.range(100).coalesce(1)
+    assert spread(one).rdd.getNumPartitions() == cores
+    many = spark.range(100).repartition(cores + 3)
+    same = spread(many)
+    assert same.rdd.getNumPartitions() == cores + 3
+    assert same is many                      # unchanged: no shuffle added
+    assert sorted(r[0] for r in spread(one).collect()) == list(range(100))
