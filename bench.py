@@ -55,14 +55,21 @@ def main() -> None:
     only = [k for k in os.environ.get("BENCH_QUERIES", "").split(",") if k]
     spark = build_session(f"local[{cpus}]", app="cohortcraft-bench", shuffle_partitions=2 * cpus)
     qs = all_queries()
-    times: dict[str, float] = {}
+    times: dict[str, float | None] = {}
+    failed: list[str] = []
     for key in only or HEADLINE:
         fn = qs[key]
-        run_once(spark, fn, sf_dir)
-        times[key] = round(statistics.median(run_once(spark, fn, sf_dir) for _ in range(reps)), 3)
+        try:
+            run_once(spark, fn, sf_dir)
+            times[key] = round(statistics.median(run_once(spark, fn, sf_dir) for _ in range(reps)), 3)
+        except Exception as e:  # noqa: BLE001  (report the key, keep measuring the rest)
+            times[key] = None
+            failed.append(key)
+            print(f"{key} failed: {type(e).__name__}: {str(e)[:200]}", file=sys.stderr)
     sf = os.path.basename(sf_dir).replace("sf", "")
-    print(json.dumps({"metric": "sum_of_median_query_seconds", "value": round(sum(times.values()), 3),
-                      "unit": "sec", "queries": times, "sf": sf, "cpus": cpus}))
+    total = round(sum(t for t in times.values() if t is not None), 3)
+    print(json.dumps({"metric": "sum_of_median_query_seconds", "value": total, "unit": "sec",
+                      "queries": times, "failed": failed, "sf": sf, "cpus": cpus}))
     spark.stop()
 
 
