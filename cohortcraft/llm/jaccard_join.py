@@ -43,8 +43,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import discard, distinct, slices, words_of, written
+from .common import discard, distinct, release, slices, written
 
 WORDS = 5
 #: Jaccard threshold as a fraction, 80 / 100.
@@ -135,15 +136,22 @@ def set_key(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes(), len(shingles)) - (1 << 63)
 
 
+def bitmap(shingles: np.ndarray) -> bytes:
+    """BITS bits, set where a shingle falls."""
+    bits = np.zeros(BITS, np.uint8)
+    bits[(shingles >> np.uint64(20)) % np.uint64(BITS)] = 1
+    return np.packbits(bits).tobytes()
+
+
 def _table(columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
 # --- passes over the texts ---------------------------------------------------
 def _keys(docs: DataFrame) -> DataFrame:
-    """Rows (kind 0: doc_id, sid, n) per document and (kind 1: shingle, n) per frequent shingle and chunk."""
+    """Rows (kind 0: doc_id, sid, n, bitmap) per document and (kind 1: shingle, n) per frequent shingle and chunk."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    id_type = pa.int64() if kind == "bigint" else None
+    id_type = to_arrow_type(docs.schema["doc_id"].dataType)
 
     def frequent(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         found = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
@@ -155,17 +163,19 @@ def _keys(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, size, seen = WordHashes(), [], 0, set()
 
-        def rows(kinds, ids, sids, ns):
-            return _table({"kind": pa.array(kinds, pa.int32()), "doc_id": ids, "sid": pa.array(sids, pa.int64()), "n": pa.array(ns, pa.int32())})
+        def rows(kinds, ids, sids, ns, maps):
+            return _table({"kind": pa.array(kinds, pa.int32()), "doc_id": ids, "sid": pa.array(sids, pa.int64()),
+                           "n": pa.array(ns, pa.int32()), "bitmap": maps})
 
         def flush():
             s, c = frequent(held)
-            return rows(np.ones(len(s), np.int32), pa.nulls(len(s), id_type or pa.int64()), s.view(np.int64), c.astype(np.int32))
+            return rows(np.ones(len(s), np.int32), pa.nulls(len(s), id_type), s.view(np.int64), c.astype(np.int32), pa.nulls(len(s), pa.binary()))
 
         for batch in slices(batches):
             sets = shingle_sets(batch.column(1).to_pylist(), hashes)
             sids = [set_key(s) for s in sets]
-            yield rows(np.zeros(len(sets), np.int32), batch.column(0), np.array(sids, np.int64), np.array([len(s) for s in sets], np.int32))
+            yield rows(np.zeros(len(sets), np.int32), batch.column(0), np.array(sids, np.int64), np.array([len(s) for s in sets], np.int32),
+                       pa.array(map(bitmap, sets), pa.binary()))
             for sid, s in zip(sids, sets, strict=True):
                 if len(s) and sid not in seen:  # copies inside a chunk count once
                     seen.add(sid)
@@ -177,7 +187,7 @@ def _keys(docs: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"kind int, doc_id {kind}, sid long, n int")
+    return docs.select("doc_id", "text").mapInArrow(run, f"kind int, doc_id {kind}, sid long, n int, bitmap binary")
 
 
 class Order:
@@ -258,31 +268,25 @@ def light_links(docs: DataFrame, boundary: int) -> DataFrame:
 
 
 def _sets(texts: DataFrame) -> DataFrame:
-    """Rows (sid, n, bitmap, shingles) of the sets of the given texts (sid, text)."""
+    """Rows (sid, shingles) of the sets of the given texts (sid, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in slices(batches):
-            sids, ns, maps, blobs = [], [], [], []
+            sids, blobs = [], []
             for sid, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), hashes), strict=True):
-                if set_key(s) != sid:
-                    continue
-                bits = np.zeros(BITS, np.uint8)
-                bits[(s >> np.uint64(20)) % np.uint64(BITS)] = 1
-                sids.append(sid)
-                ns.append(len(s))
-                maps.append(np.packbits(bits).tobytes())
-                blobs.append(s.tobytes())
-            yield _table({"sid": pa.array(sids, pa.int64()), "n": pa.array(ns, pa.int32()), "bitmap": pa.array(maps, pa.binary()),
-                          "shingles": pa.array(blobs, pa.binary())})
+                if set_key(s) == sid:
+                    sids.append(sid)
+                    blobs.append(s.tobytes())
+            yield _table({"sid": pa.array(sids, pa.int64()), "shingles": pa.array(blobs, pa.binary())})
 
-    return texts.mapInArrow(run, "sid long, n int, bitmap binary, shingles binary")
+    return texts.mapInArrow(run, "sid long, shingles binary").dropDuplicates(["sid"])
 
 
 def _needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return -(-NUM * (a + b) // (DEN + NUM))
 
 
-def _possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _possible(pairs: DataFrame, elements: DataFrame) -> DataFrame:
     """The pairs (a, b) whose bitmaps allow a link: each bit of one set only is a shingle the other lacks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 16384):
@@ -291,13 +295,16 @@ def _possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             most = np.minimum(na - np.bitwise_count(a & ~b).sum(1), nb - np.bitwise_count(b & ~a).sum(1))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(most >= _needed(na, nb)))
 
-    small = sets.select("sid", "n", "bitmap")
+    small = elements.select("sid", "n", "bitmap")
     both = pairs.join(small.toDF("a", "na", "ma"), "a").join(small.toDF("b", "nb", "mb"), "b")
     return both.select("a", "b", "na", "nb", "ma", "mb").mapInArrow(run, "a long, b long")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that reach the threshold, by comparing whole sets."""
+def _linked(pairs: DataFrame, elements: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that reach the threshold: first by bitmaps, then by comparing whole sets.
+
+    Only the texts of sets that are in such a pair are cut into shingles again.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
             good = []
@@ -307,9 +314,14 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 good.append(DEN * shared >= NUM * (len(both) - shared))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    whole = sets.select("sid", "shingles")
-    both = pairs.join(whole.toDF("a", "sa"), "a").join(whole.toDF("b", "sb"), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    pairs = written(_possible(pairs, elements), "pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(elements.select("sid", "doc_id"), "sid")
+    sets = _sets(docs.select("doc_id", "text").join(asked, "doc_id").select("sid", "text"))
+    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    links = written(both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), "links")
+    discard(pairs)
+    release(docs.sparkSession)
+    return links
 
 
 # --- components --------------------------------------------------------------
@@ -349,14 +361,15 @@ def join_components(docs: DataFrame) -> DataFrame:
     sizes = {r["n"]: r["count"] for r in ids.filter(F.col("n").between(1, MAX_LIGHT)).groupBy("n").count().collect()}
     boundary = choose_boundary(sizes)
 
-    # Lists that two different sets share.
-    postings = _postings(docs, order, boundary)
-    shared = (postings.groupBy("shingle").agg(F.min("sid").alias("least"), F.max("sid").alias("most")).filter("least <> most").select("shingle"))
+    elements = written(first.filter("kind = 0 and n > 0 and doc_id is not null").groupBy("sid").agg(
+        F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.min("doc_id").alias("doc_id")), "elements")
+
+    # Lists that two sets share (a copy in another task may list a set twice, which does no harm).
+    postings = written(_postings(docs, order, boundary), "postings")
+    shared = postings.groupBy("shingle").count().filter("count > 1").select("shingle")
     lists = written(postings.join(shared, "shingle"), "lists")
-    # Their sets, from one document each.
-    members = ids.join(lists.select("sid").distinct(), "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id")).filter("doc_id is not null")
-    texts = docs.select("doc_id", "text").join(members, "doc_id").select("sid", "text")
-    sets = written(_sets(texts).dropDuplicates(["sid"]), "sets")
+    discard(postings)
+    release(spark)
 
     # Each set against the most typical set it shares lists with: the one with most shared places.
     weight = lists.groupBy("sid").agg((F.count("*") / F.first("n")).alias("weight"))
@@ -366,7 +379,9 @@ def join_components(docs: DataFrame) -> DataFrame:
              .filter((DEN * F.least("n", "na") >= NUM * F.greatest("n", "na")) & (F.greatest("n", "na") > boundary))
              .groupBy("a", F.col("sid").alias("b")).agg(F.count("*").alias("times")))
     tried = meets.groupBy("b").agg(F.max(F.struct("times", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-    links = written(light_links(docs, boundary).unionAll(_linked(tried, sets)) if boundary else _linked(tried, sets), "stars")
+    links = _linked(tried, elements, docs)
+    if boundary:
+        links = written(links.unionAll(light_links(docs, boundary)), "links")
     labels = components(links)
 
     # What is left: pairs of a list in different components so far.
@@ -383,8 +398,8 @@ def join_components(docs: DataFrame) -> DataFrame:
                                          & (F.col("b_n") > boundary))
              .groupBy(F.col("a_sid").alias("a"), F.col("b_sid").alias("b"))
              .agg(F.max(room - needed).alias("slack")).filter("slack >= 0").select("a", "b"))
-    more = written(_linked(_possible(pairs, sets), sets), "links")
-    labels = written(components(links.unionAll(more)), "labels")
+    more = _linked(pairs, elements, docs)
+    labels = components(links.unionAll(more))
 
     # Back to documents.
     labelled = ids.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
@@ -392,7 +407,8 @@ def join_components(docs: DataFrame) -> DataFrame:
     out = labelled.join(smallest, "label", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    discard(lists, own, sets, links, more)
+    discard(lists, own, elements, links, more)
+    release(spark)
     return out
 
 
