@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,11 @@ SPACES = b" \t\n\r\x0b\x0c"
 SLICE = 512
 
 
+@lru_cache(1)
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="cohortcraft-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
@@ -31,20 +36,35 @@ def shared_folder(spark: SparkSession) -> str:
     master = spark.conf.get("spark.master", "")
     if not (master == "local" or master.startswith("local[")):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = tempfile.mkdtemp(prefix="cohortcraft-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    return _local_folder()
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Drops an execution's shuffle files when it ends, instead of when the driver collects its handles.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back.
+
+    The shuffle files behind it go at once, so that they don't add up from
+    step to step of a long job.
+    """
+    spark = df.sparkSession
+    path = new_folder(spark, name)
+    before = spark.conf.get(CLEAN_UP, None)
+    try:
+        spark.conf.set(CLEAN_UP, "true")
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN_UP)
+        else:
+            spark.conf.set(CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(*frames: DataFrame) -> None:
@@ -58,16 +78,6 @@ def discard(*frames: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished jobs.
-
-    It drops them when the driver collects the handles, which on a driver
-    with little garbage may be never; the files would add up from step to step.
-    """
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import discard, distinct, release, slices, written
+from .common import discard, distinct, slices, written
 
 WORDS = 5
 #: Jaccard threshold as a fraction, 80 / 100.
@@ -149,7 +149,7 @@ def _table(columns: dict) -> pa.RecordBatch:
 
 # --- passes over the texts ---------------------------------------------------
 def _keys(docs: DataFrame) -> DataFrame:
-    """Rows (kind 0: doc_id, sid, n, bitmap) per document and (kind 1: shingle, n) per frequent shingle and chunk."""
+    """Rows (kind 0: doc_id, sid, n, bitmap and a small set itself) per document and (kind 1: shingle, n) per frequent shingle and chunk."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     id_type = to_arrow_type(docs.schema["doc_id"].dataType)
 
@@ -163,19 +163,19 @@ def _keys(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, size, seen = WordHashes(), [], 0, set()
 
-        def rows(kinds, ids, sids, ns, maps):
-            return _table({"kind": pa.array(kinds, pa.int32()), "doc_id": ids, "sid": pa.array(sids, pa.int64()),
-                           "n": pa.array(ns, pa.int32()), "bitmap": maps})
+        def rows(kind_no, ids, sids, ns, maps, light):
+            return _table({"kind": pa.array(np.full(len(sids), kind_no, np.int32)), "doc_id": ids, "sid": pa.array(sids, pa.int64()),
+                           "n": pa.array(ns, pa.int32()), "bitmap": pa.array(maps, pa.binary()), "light": pa.array(light, pa.binary())})
 
         def flush():
             s, c = frequent(held)
-            return rows(np.ones(len(s), np.int32), pa.nulls(len(s), id_type), s.view(np.int64), c.astype(np.int32), pa.nulls(len(s), pa.binary()))
+            return rows(1, pa.nulls(len(s), id_type), s.view(np.int64), c.astype(np.int32), [None] * len(s), [None] * len(s))
 
         for batch in slices(batches):
             sets = shingle_sets(batch.column(1).to_pylist(), hashes)
             sids = [set_key(s) for s in sets]
-            yield rows(np.zeros(len(sets), np.int32), batch.column(0), np.array(sids, np.int64), np.array([len(s) for s in sets], np.int32),
-                       pa.array(map(bitmap, sets), pa.binary()))
+            yield rows(0, batch.column(0), np.array(sids, np.int64), np.array([len(s) for s in sets], np.int32),
+                       list(map(bitmap, sets)), [s.tobytes() if 0 < len(s) <= MAX_LIGHT else None for s in sets])
             for sid, s in zip(sids, sets, strict=True):
                 if len(s) and sid not in seen:  # copies inside a chunk count once
                     seen.add(sid)
@@ -187,7 +187,7 @@ def _keys(docs: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"kind int, doc_id {kind}, sid long, n int, bitmap binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"kind int, doc_id {kind}, sid long, n int, bitmap binary, light binary")
 
 
 class Order:
@@ -234,17 +234,14 @@ def _postings(docs: DataFrame, order, boundary: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "shingle long, sid long, n int, pos int")
 
 
-def _subsets(docs: DataFrame, boundary: int) -> DataFrame:
+def _subsets(elements: DataFrame, boundary: int) -> DataFrame:
     """Rows (subset, sid, shorter, longer) of the light sets: the subsets by pair of sizes, and the set's role."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in slices(batches):
             keys, sids, shorter, longer = [], [], [], []
-            for s in shingle_sets(batch.column(0).to_pylist(), hashes):
-                n = len(s)
-                if not 0 < n <= boundary:
-                    continue
-                sid, own = set_key(s), s.tolist()
+            for sid, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = np.frombuffer(blob, np.uint64).tolist()
+                n = len(own)
                 for m in partner_sizes(n, boundary):
                     head = f"{min(n, m)} {max(n, m)} "
                     for c in combinations(own, least_overlap(n, m)):
@@ -255,13 +252,13 @@ def _subsets(docs: DataFrame, boundary: int) -> DataFrame:
             yield _table({"subset": pa.array(keys, pa.int64()), "sid": pa.array(sids, pa.int64()), "shorter": pa.array(shorter, pa.bool_()),
                           "longer": pa.array(longer, pa.bool_())})
 
-    light = docs.select("text").filter(F.col("text").isNotNull())
+    light = elements.filter(F.col("n") <= boundary).select("sid", "light")
     return light.mapInArrow(run, "subset long, sid long, shorter boolean, longer boolean")
 
 
-def light_links(docs: DataFrame, boundary: int) -> DataFrame:
+def light_links(elements: DataFrame, boundary: int) -> DataFrame:
     """Links (a, b) among light sets: everyone under a subset with the smallest set under it."""
-    rows = _subsets(docs, boundary).distinct()
+    rows = _subsets(elements, boundary)
     stars = (rows.groupBy("subset").agg(F.min("sid").alias("a"), F.max("sid").alias("z"), F.max("shorter").alias("s"), F.max("longer").alias("l"))
              .filter("s and l and a <> z").select("subset", "a"))
     return rows.join(stars, "subset").filter("a <> sid").select("a", F.col("sid").alias("b")).distinct()
@@ -320,7 +317,6 @@ def _linked(pairs: DataFrame, elements: DataFrame, docs: DataFrame) -> DataFrame
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     links = written(both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), "links")
     discard(pairs)
-    release(docs.sparkSession)
     return links
 
 
@@ -362,14 +358,13 @@ def join_components(docs: DataFrame) -> DataFrame:
     boundary = choose_boundary(sizes)
 
     elements = written(first.filter("kind = 0 and n > 0 and doc_id is not null").groupBy("sid").agg(
-        F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.min("doc_id").alias("doc_id")), "elements")
+        F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.first("light").alias("light"), F.min("doc_id").alias("doc_id")), "elements")
 
     # Lists that two sets share (a copy in another task may list a set twice, which does no harm).
     postings = written(_postings(docs, order, boundary), "postings")
     shared = postings.groupBy("shingle").count().filter("count > 1").select("shingle")
     lists = written(postings.join(shared, "shingle"), "lists")
     discard(postings)
-    release(spark)
 
     # Each set against the most typical set it shares lists with: the one with most shared places.
     weight = lists.groupBy("sid").agg((F.count("*") / F.first("n")).alias("weight"))
@@ -381,7 +376,7 @@ def join_components(docs: DataFrame) -> DataFrame:
     tried = meets.groupBy("b").agg(F.max(F.struct("times", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
     links = _linked(tried, elements, docs)
     if boundary:
-        links = written(links.unionAll(light_links(docs, boundary)), "links")
+        links = written(links.unionAll(light_links(elements, boundary)), "links")
     labels = components(links)
 
     # What is left: pairs of a list in different components so far.
@@ -408,7 +403,6 @@ def join_components(docs: DataFrame) -> DataFrame:
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     discard(lists, own, elements, links, more)
-    release(spark)
     return out
 
 
