@@ -55,12 +55,12 @@ MAX_LIGHT = 16
 #: Rows of other sets that a listed shingle meets, as assumed by the cost.
 LIST_ROWS = 4.0
 #: A shingle is frequent if it is in one of so many documents of a task's chunk, and in FEW documents.
-SHARE, FEW = 1024, 6
-#: Entries of the list of frequent shingles (8 MB), those of the highest counts.
-MAX_FREQUENT = 1 << 19
+SHARE, FEW = 2048, 2
+#: Entries of the list of frequent shingles (4 MB), those of the highest counts.
+MAX_FREQUENT = 1 << 18
 #: Shingles that a task counts at a time.
 CHUNK_SHINGLES = 4_000_000
-BITS = 1024
+BITS = 2048
 CACHE_WORDS = 400_000
 
 # Odd 64-bit multipliers, one per place in a shingle (any odd numbers serve).
@@ -257,7 +257,7 @@ def _subsets(elements: DataFrame, boundary: int) -> DataFrame:
 
 
 def light_links(elements: DataFrame, boundary: int) -> DataFrame:
-    """Links (a, b) among light sets: everyone under a subset with the smallest set under it."""
+    """Links (a, b) among light sets, by set: everyone under a subset with the smallest set under it."""
     rows = _subsets(elements, boundary)
     stars = (rows.groupBy("subset").agg(F.min("sid").alias("a"), F.max("sid").alias("z"), F.max("shorter").alias("s"), F.max("longer").alias("l"))
              .filter("s and l and a <> z").select("subset", "a"))
@@ -320,24 +320,30 @@ def _linked(pairs: DataFrame, elements: DataFrame, docs: DataFrame) -> DataFrame
     return links
 
 
+def _by_document(links: DataFrame, elements: DataFrame) -> DataFrame:
+    """Links (a, b) between sets as links between the smallest documents that have them."""
+    ids = elements.select("sid", "doc_id")
+    return links.join(ids.toDF("a", "x"), "a").join(ids.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+
 # --- components --------------------------------------------------------------
 def components(links: DataFrame, rounds: int = 50) -> DataFrame:
-    """Rows (sid, label): the smallest sid that links lead to, for every sid with a link.
+    """Rows (doc_id, label): the smallest doc_id that links (a, b) lead to, for every document with a link.
 
     Minimum labels go along the links, and labels are replaced by their own
     labels, until nothing changes.
     """
     both = written(links.unionAll(links.select("b", "a")).distinct(), "links")
-    labels = written(both.groupBy(F.col("a").alias("sid")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    labels = written(both.groupBy(F.col("a").alias("doc_id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     for _ in range(rounds):
-        near = both.join(labels.select(F.col("sid").alias("b"), "label"), "b").groupBy(F.col("a").alias("sid")).agg(F.min("label").alias("near"))
-        low = labels.join(near, "sid").select("sid", "label", F.least("label", "near").alias("low"))
-        jump = labels.select(F.col("sid").alias("low"), F.col("label").alias("beyond"))
-        new = written(low.join(jump, "low").select("sid", F.least("low", "beyond").alias("label"), (F.col("beyond") < F.col("label")).alias("moved"),
+        near = both.join(labels.select(F.col("doc_id").alias("b"), "label"), "b").groupBy(F.col("a").alias("doc_id")).agg(F.min("label").alias("near"))
+        low = labels.join(near, "doc_id").select("doc_id", "label", F.least("label", "near").alias("low"))
+        jump = labels.select(F.col("doc_id").alias("low"), F.col("label").alias("beyond"))
+        new = written(low.join(jump, "low").select("doc_id", F.least("low", "beyond").alias("label"), (F.col("beyond") < F.col("label")).alias("moved"),
                                                    (F.col("low") < F.col("label")).alias("lower")), "labels")
         moved = new.filter("moved or lower").limit(1).count()
         discard(labels)
-        labels = new.select("sid", "label")
+        labels = new.select("doc_id", "label")
         if not moved:
             discard(both)
             return labels
@@ -351,9 +357,8 @@ def join_components(docs: DataFrame) -> DataFrame:
     first = written(_keys(docs), "keys")
     ids = first.filter("kind = 0").select("doc_id", "sid", "n")
     frequent = (first.filter("kind = 1").groupBy(F.col("sid").alias("shingle")).agg(F.sum("n").alias("count"))
-                .orderBy(F.desc("count"), "shingle").limit(MAX_FREQUENT).collect())
-    order = spark.sparkContext.broadcast(Order(np.array([r["shingle"] for r in frequent], np.int64).view(np.uint64),
-                                               np.array([r["count"] for r in frequent], np.int64)))
+                .orderBy(F.desc("count"), "shingle").limit(MAX_FREQUENT).toArrow())
+    order = spark.sparkContext.broadcast(Order(frequent["shingle"].to_numpy().view(np.uint64), frequent["count"].to_numpy()))
     sizes = {r["n"]: r["count"] for r in ids.filter(F.col("n").between(1, MAX_LIGHT)).groupBy("n").count().collect()}
     boundary = choose_boundary(sizes)
 
@@ -376,33 +381,37 @@ def join_components(docs: DataFrame) -> DataFrame:
     tried = meets.groupBy("b").agg(F.max(F.struct("times", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
     links = _linked(tried, elements, docs)
     if boundary:
-        links = written(links.unionAll(light_links(elements, boundary)), "links")
+        links = links.unionAll(light_links(elements, boundary))
+    links = written(_by_document(links, elements), "links")
     labels = components(links)
 
-    # What is left: pairs of a list in different components so far.
-    own = lists.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    mixed = own.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("shingle")
+    # What is left: pairs of a list that aren't known to be in one component.
+    known = elements.join(labels, "doc_id").select("sid", "label")
+    own = lists.join(known, "sid", "left")
+    mixed = (own.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max(F.col("label").isNull()).alias("loose"))
+             .filter("loose or x <> y").select("shingle"))
     own = written(own.join(mixed, "shingle").select("shingle", "sid", "n", "pos", "label").distinct(), "mixed")
+    discard(lists)
     a = own.select("shingle", *(F.col(c).alias(f"a_{c}") for c in ("sid", "n", "pos", "label")))
     b = own.select("shingle", *(F.col(c).alias(f"b_{c}") for c in ("sid", "n", "pos", "label")))
+    a = a.filter(f"a_pos < a_n - ceil({2 * NUM} * a_n / {DEN + NUM}) + 1")  # index_prefix
     shorter = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_sid") < F.col("b_sid")))
-    needed = F.ceil(NUM * (F.col("a_n") + F.col("b_n")) / (DEN + NUM) - 1e-9)
-    room = 1 + F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) - 1
-    a = a.filter(F.col("a_pos") < F.expr(f"a_n - ceil({2 * NUM} * a_n / {DEN + NUM}) + 1"))
-    pairs = (a.join(b, "shingle").filter(shorter & (F.col("a_label") != F.col("b_label")) & (DEN * F.col("a_n") >= NUM * F.col("b_n"))
-                                         & (F.col("b_n") > boundary))
-             .groupBy(F.col("a_sid").alias("a"), F.col("b_sid").alias("b"))
-             .agg(F.max(room - needed).alias("slack")).filter("slack >= 0").select("a", "b"))
-    more = _linked(pairs, elements, docs)
+    apart = F.coalesce(F.col("a_label") != F.col("b_label"), F.lit(True))
+    near_size = (DEN * F.col("a_n") >= NUM * F.col("b_n")) & (F.col("b_n") > boundary)
+    # No more can be shared than what follows the shingle in either set.
+    room = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos"))
+    enough = (DEN + NUM) * room >= NUM * (F.col("a_n") + F.col("b_n"))
+    pairs = (a.join(b, "shingle").filter(shorter & apart & near_size & enough)
+             .select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b")).distinct())
+    more = _by_document(_linked(pairs, elements, docs), elements)
     labels = components(links.unionAll(more))
 
     # Back to documents.
-    labelled = ids.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    smallest = labelled.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    out = labelled.join(smallest, "label", "left").select(
+    home = elements.join(labels, "doc_id", "left").select("sid", F.coalesce("label", "doc_id").alias("home"))
+    out = ids.join(home, "sid", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    discard(lists, own, elements, links, more)
+        F.when(F.col("n") > 0, F.col("home")).otherwise(F.col("doc_id")).alias("component_id"))
+    discard(own)
     return out
 
 
