@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +30,10 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, whole_text
+from .common import REMEMBERED, Remembered, slices, small_batches, whole_text
 
 #: Byte b is written as the character with code point FIRST_STAND_IN + b.
 FIRST_STAND_IN = 0x2800
-#: Pre-tokens kept per Python worker.
-CACHE_ENTRIES = 400_000
 STAND_INS = [chr(FIRST_STAND_IN + b) for b in range(256)]
 
 
@@ -84,56 +83,49 @@ def serialise_model(ranks: dict[bytes, int]) -> bytes:
     return b"".join(_block(1, p) for p in pieces) + _block(2, trainer) + _block(3, normaliser)
 
 
-class Codec:
+class Encoder:
     """Encodes texts with the model; one per Python worker."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
-        self.tokens = sorted(ranks, key=ranks.get)
         self.split = regex.compile(pattern).findall
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(ranks))
-        self.cache: dict[str, bytes] = {}
-
-    def _learn(self, pretokens: set[str]) -> None:
-        """Put all of ``pretokens`` into the cache, emptying it first where it would outgrow its bound."""
-        if len(self.cache) + len(pretokens) > CACHE_ENTRIES:
-            self.cache.clear()
-        rest = []
-        for p in [p for p in pretokens if p not in self.cache]:
-            whole = self.ranks.get(p.encode())
-            if whole is None:
-                rest.append(p)
-            else:
-                self.cache[p] = struct.pack("<I", whole)
-        if rest:
-            ids = self.model.encode([as_stand_ins(p.encode()) for p in rest], num_threads=1)
-            self.cache.update((p, np.asarray(i, "<u4").tobytes()) for p, i in zip(rest, ids, strict=True))
+        self.known = Remembered(REMEMBERED, self._ids)
+
+    def _ids(self, pretoken: str) -> bytes:
+        """A pre-token that is a token counts as a whole, others are merged by the model."""
+        data = pretoken.encode()
+        whole = self.ranks.get(data)
+        return struct.pack("<I", whole) if whole is not None else np.asarray(self.model.encode(as_stand_ins(data)), "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         """Token ids as little-endian unsigned 32-bit integers."""
-        pretokens = self.split(text)
-        try:
-            return b"".join(map(self.cache.__getitem__, pretokens))
-        except KeyError:
-            self._learn(set(pretokens))
-            return b"".join(map(self.cache.__getitem__, pretokens))
+        return b"".join(map(self.known.__getitem__, self.split(text)))
+
+
+class Decoder:
+    """Turns ids back into bytes; one per Python worker."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.tokens = sorted(ranks, key=ranks.get)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
+@lru_cache(1)
+def encoder(path: str, pattern: str) -> Encoder:
+    """The worker's encoder, made once."""
+    return Encoder(read_ranks(path), pattern)
 
 
-def codec(path: str, pattern: str) -> Codec:
-    """The worker's codec, made once per rank file and pattern."""
-    if (path, pattern) not in _CODECS:
-        _CODECS[path, pattern] = Codec(read_ranks(path), pattern)
-    return _CODECS[path, pattern]
+@lru_cache(1)
+def decoder(path: str) -> Decoder:
+    return Decoder(read_ranks(path))
 
 
 def _mapped(df: DataFrame, source: str, target: str, kind: pa.DataType, sql_type: str, make) -> DataFrame:
-    """``df`` with column ``target`` made by ``make(worker codec, value)`` from ``source``."""
+    """``df`` with column ``target`` made by ``make()(value)`` from ``source``."""
     kept = [c for c in df.columns if c not in (source, target)]
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept), f"`{target}` {sql_type}"])
 
@@ -143,23 +135,23 @@ def _mapped(df: DataFrame, source: str, target: str, kind: pa.DataType, sql_type
             values = pa.array([one(v) for v in batch.column(source).to_pylist()], kind)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), values], [*kept, target])
 
-    return df.select(*kept, source).mapInArrow(run, schema)
+    return small_batches(df).select(*kept, source).mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """``docs`` with ``ids`` (binary, little-endian u32) in place of the text, and ``n_tokens``."""
     texts = docs.withColumn(text, whole_text(text)).drop("ids", "n_tokens")
-    out = _mapped(texts, text, "ids", pa.binary(), "binary", lambda: codec(path, pattern).encode)
+    out = _mapped(texts, text, "ids", pa.binary(), "binary", lambda: encoder(path, pattern).encode)
     return out.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
 
 
-def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded`` with ``decoded`` (the bytes the ids stand for) in place of ``ids``."""
-    return _mapped(encoded, "ids", "decoded", pa.binary(), "binary", lambda: codec(path, pattern).decode)
+    return _mapped(encoded, "ids", "decoded", pa.binary(), "binary", lambda: decoder(path).decode)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """Per document: n_tokens and the SHA-256 of its ids and of the bytes decoded from them."""
     encoded = encode(docs, path, pattern, text)
     hashed = encoded.withColumn("ids_sha256", F.sha2("ids", 256))
-    return decode(hashed, path, pattern).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
+    return decode(hashed, path).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")

@@ -14,8 +14,12 @@ from pyspark.sql import functions as F
 
 #: ASCII white space: what ``bytes.split()`` splits on, i.e. [\x20\x09-\x0D].
 SPACES = b" \t\n\r\x0b\x0c"
+#: Rows of an Arrow batch, at most.
+BATCH = 1000
+#: Words or pre-tokens that a Python worker remembers, per generation.
+REMEMBERED = 100_000
 #: Rows handled at a time inside a Python task.
-SLICE = 512
+SLICE = 256
 
 
 @lru_cache(1)
@@ -92,11 +96,45 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches kept to BATCH rows, which bounds what crosses to Python at a time."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+    return df
+
+
+class Remembered(dict):
+    """A bounded memory of computed values: two generations of at most ``size`` entries.
+
+    What is asked for again moves to the young generation; when that is full
+    it becomes the old one, and what nobody asked for is forgotten.
+    """
+
+    def __init__(self, size: int, compute=None):
+        super().__init__()
+        self.size, self.compute, self.old = size, compute, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            if self.compute is None:
+                raise KeyError(key)
+            value = self.compute(key)
+        self.keep(key, value)
+        return value
+
+    def keep(self, key, value) -> None:
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+
+
 def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut to at most ``size`` rows, which bounds what a task holds."""
     for batch in batches:
         for at in range(0, batch.num_rows, size):
             yield batch.slice(at, size)
+    pa.default_memory_pool().release_unused()
 
 
 def distinct(values: np.ndarray) -> np.ndarray:

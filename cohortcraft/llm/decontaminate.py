@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import distinct, slices, words_of
+from .common import REMEMBERED, Remembered, distinct, slices, small_batches, words_of
 
 K1, B = 1.2, 0.75
 #: Share of an item's score with itself at which it is retrieved.
@@ -48,7 +48,6 @@ RUN = 5
 QUESTION_OVERLAP, ANSWER_OVERLAP = 0.8, 0.5
 MIN_ITEM_WORDS = 8
 MAX_PART_BYTES = 16 << 20
-CACHE_WORDS = 400_000
 LEAKS = "array<struct<item_id:bigint,score:double,question_overlap:double,answer_overlap:double>>"
 LEAK_TYPE = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()),
                                 ("answer_overlap", pa.float64())]))
@@ -168,26 +167,16 @@ class Index:
                 yield int(p[found // size]), int(b[found // size] * size + found % size), float(score[found])
 
 
-class Terms(dict):
-    """Word -> term of the index, -1 for a word that no item has, -2 for no word; looked up once, then remembered."""
-
-    def __init__(self, terms: dict[str, int]):
-        super().__init__()
-        self.terms = terms
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        plain = normal(word)
-        term = self[word] = self.terms.get(plain, -1) if plain else -2
-        return term
-
-
 class Searcher:
     """Finds the leaked items of many texts; one per task."""
 
     def __init__(self, index: Index):
-        self.index, self.term = index, Terms(index.terms)
+        self.index, self.term = index, Remembered(REMEMBERED, self._term)
+
+    def _term(self, word: bytes) -> int:
+        """The word's term, -1 for a word that no item has, -2 for no word."""
+        plain = normal(word)
+        return self.index.terms.get(plain, -1) if plain else -2
 
     def leaks(self, texts: list[str | None]) -> list[list[dict]]:
         index, size = self.index, self.index.chunk
@@ -249,7 +238,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, keep: list[str] | None = None,
     """The columns ``keep`` (all by default) of ``docs`` and ``leaks``: the items that a document holds."""
     keep = [c for c in (docs.columns if keep is None else keep) if c != "leaks"]
     sc = docs.sparkSession.sparkContext
-    out = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text).cast("string").alias("__text"), F.array().cast(LEAKS).alias("leaks"))
+    out = small_batches(docs).select(*(F.col(f"`{c}`") for c in keep), F.col(text).cast("string").alias("__text"), F.array().cast(LEAKS).alias("leaks"))
     schema = out.schema
     for index in build_indexes(items):
         sent = sc.broadcast(index)

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import discard, distinct, slices, written
+from .common import REMEMBERED, Remembered, discard, distinct, slices, small_batches, written
 
 WORDS = 5
 #: Jaccard threshold as a fraction, 80 / 100.
@@ -59,9 +59,8 @@ SHARE, FEW = 2048, 2
 #: Entries of the list of frequent shingles (4 MB), those of the highest counts.
 MAX_FREQUENT = 1 << 18
 #: Shingles that a task counts at a time.
-CHUNK_SHINGLES = 4_000_000
+CHUNK_SHINGLES = 1_000_000
 BITS = 2048
-CACHE_WORDS = 400_000
 
 # Odd 64-bit multipliers, one per place in a shingle (any odd numbers serve).
 PLACES = [xxhash.xxh3_64_intdigest(f"place {i}") | 1 for i in range(WORDS)]
@@ -101,17 +100,12 @@ def choose_boundary(sizes: dict[int, int], list_rows: float = LIST_ROWS) -> int:
 
 
 # --- shingles ----------------------------------------------------------------
-class WordHashes(dict):
-    """Word -> 64-bit hash, remembered for a bounded number of words."""
+def word_hashes() -> Remembered:
+    """Word -> 64-bit hash."""
+    return Remembered(REMEMBERED, xxhash.xxh3_64_intdigest)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
 
-
-def shingle_sets(texts: list[str | None], hashes: WordHashes) -> list[np.ndarray]:
+def shingle_sets(texts: list[str | None], hashes: Remembered) -> list[np.ndarray]:
     """Per text, the sorted distinct 64-bit shingles."""
     out = []
     for text in texts:
@@ -161,7 +155,7 @@ def _keys(docs: DataFrame) -> DataFrame:
         return found[edge[often]], counts[often]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size, seen = WordHashes(), [], 0, set()
+        hashes, held, size, seen = word_hashes(), [], 0, set()
 
         def rows(kind_no, ids, sids, ns, maps, light):
             return _table({"kind": pa.array(np.full(len(sids), kind_no, np.int32)), "doc_id": ids, "sid": pa.array(sids, pa.int64()),
@@ -214,7 +208,7 @@ def _postings(docs: DataFrame, order, boundary: int) -> DataFrame:
     least = -(-NUM * (boundary + 1) // DEN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen, ranks = WordHashes(), set(), order.value
+        hashes, seen, ranks = word_hashes(), set(), order.value
         for batch in slices(batches):
             parts, sids, ns = [], [], []
             for s in shingle_sets(batch.column(0).to_pylist(), hashes):
@@ -267,7 +261,7 @@ def light_links(elements: DataFrame, boundary: int) -> DataFrame:
 def _sets(texts: DataFrame) -> DataFrame:
     """Rows (sid, shingles) of the sets of the given texts (sid, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = word_hashes()
         for batch in slices(batches):
             sids, blobs = [], []
             for sid, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), hashes), strict=True):
@@ -353,7 +347,7 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
 # --- the join ----------------------------------------------------------------
 def join_components(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id), one per row of ``docs``."""
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     first = written(_keys(docs), "keys")
     ids = first.filter("kind = 0").select("doc_id", "sid", "n")
     frequent = (first.filter("kind = 1").groupBy(F.col("sid").alias("shingle")).agg(F.sum("n").alias("count"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, slices, whole_text
+from .common import SPACES, slices, small_batches, whole_text
 
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
@@ -181,4 +181,4 @@ def apply_rules(docs: DataFrame, rules=RULES, order: list[Rule] | None = None, t
                 [batch.column(0), *(pa.array(n, pa.int64()) for n in numbers), pa.array(failed), pa.array(kept)],
                 [key, *counted, "base_failed", "kept"])
 
-    return docs.select(F.col(key), whole_text(text).alias("__text")).mapInArrow(run, schema)
+    return small_batches(docs).select(F.col(key), whole_text(text).alias("__text")).mapInArrow(run, schema)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, whole_text
+from .common import REMEMBERED, Remembered, slices, small_batches, whole_text
 
 #: Labelled rows used for the fit, at most.
 MAX_FIT_DOCS = 8000
@@ -45,8 +45,6 @@ BEGINNINGS = (4, 6)
 #: Features tried are those with at least this normal score, and at most so many.
 MIN_SCORE = 3.0
 MAX_FEATURES = 8192
-#: Words whose features a Python worker remembers.
-CACHE_WORDS = 400_000
 THRESHOLD = 0.7
 L1 = 1e-5
 #: The squared penalty shares a weight among features that occur together.
@@ -89,19 +87,13 @@ def features(text: str) -> np.ndarray:
 class Model:
     bias: float = -np.inf
     weights: dict[int, float] = field(default_factory=dict)
-    known: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False)
+    known: Remembered | None = field(default=None, repr=False)
 
     def score(self, text: str) -> float:
         """Probability of label 1, from 0 to 1."""
-        known, found = self.known, set()
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        for w in distinct_words(text):
-            of = known.get(w)
-            if of is None:
-                of = known[w] = tuple(f for f in word_features(w) if f in self.weights)
-            if of:
-                found.update(of)
+        if self.known is None:
+            self.known = Remembered(REMEMBERED, lambda w: tuple(f for f in word_features(w) if f in self.weights))
+        found = {f for of in map(self.known.__getitem__, distinct_words(text)) for f in of}
         z = self.bias + math.fsum(self.weights[f] for f in found)
         return 0.0 if z < -700 else 1 / (1 + math.exp(-z))
 
@@ -199,7 +191,7 @@ def fit_sample(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_FIT_DOCS)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())],
                                              ["id", "toxic", "found"])
 
-    texts = docs.select(F.col("doc_id").alias("__id"), whole_text().alias("__text"))
+    texts = small_batches(docs).select(F.col("doc_id").alias("__id"), whole_text().alias("__text"))
     joined = texts.join(sample, "__id").select("__id", "__toxic", "__text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     got = joined.mapInArrow(run, f"id {kind}, toxic int, found binary").dropDuplicates(["id"]).orderBy("id").collect()
@@ -223,4 +215,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
                 [*(batch.column(c) for c in names), pa.array(scores, pa.float64()),
                  pa.array([int(s >= threshold) for s in scores], pa.int32())], [*names, "score", "predicted"])
 
-    return docs.select(*(F.col(f"`{c}`") for c in names)).mapInArrow(run, schema)
+    return small_batches(docs).select(*(F.col(f"`{c}`") for c in names)).mapInArrow(run, schema)

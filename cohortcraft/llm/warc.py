@@ -34,7 +34,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_folder, slices
+from .common import new_folder, slices, small_batches
 
 MIN_REVISIT = 1000
 #: Plain bytes of a frame, at least (the last of a bundle may hold less).
@@ -188,7 +188,7 @@ def write_bundles(pages: DataFrame, folder: str, bundles: int | None = None) ->
 
     Index rows: page_id, bundle (file name), frame, offset and length in the plain frame.
     """
-    spark = pages.sparkSession
+    spark = small_batches(pages).sparkSession
     records = record_kinds(pages).repartition(bundles or bundle_count(pages), F.xxhash64("page_id", "payload_digest"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
