@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import bucket_hash
+from ..session import cut_lineage
 from . import clean, profile
 
 KEY = "loan_id"
@@ -129,27 +130,29 @@ class TableEncoder:
     sizes: dict
 
     def transform(self, df: DataFrame) -> DataFrame:
+        columns = df.columns
         for c, size in self.sizes.items():
             t = self.codes.filter(F.col("column_name") == c).select(
-                F.col("value").alias(c), F.col("code").alias("__code"))
-            df = (df.join(t, c, "left")
+                F.col("value").alias("__value"), F.col("code").alias("__code"))
+            df = (df.join(t, F.col(c) == F.col("__value"), "left")
                     .withColumn(c, F.coalesce(F.col("__code"), F.lit(size)).cast("int"))
-                    .drop("__code"))
+                    .select(*columns))
         return df
 
 
 def distributed_codes(distinct: DataFrame) -> DataFrame:
     """0-based rank of each distinct (column_name, value) in byte order of
     the value within its column, without one task per column: the pairs are
-    range-partitioned and sorted, each range numbers its own rows, and
-    per-range counts (a table of ranges x columns) give the offsets."""
+    range-partitioned, each range numbers its own rows, and per-range counts
+    (a table of ranges x columns) give the offsets.  The ranged rows are
+    written once, so that counts and ranks are of the same ranges."""
     try:
         n = max(distinct.sparkSession.sparkContext.defaultParallelism, 1)
     except Exception:  # noqa: BLE001  (Spark Connect)
         n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
     keyed = distinct.withColumn("__b", F.col("value").cast("binary"))
-    ranged = (keyed.repartitionByRange(n, "column_name", "__b")
-                   .withColumn("__pid", F.spark_partition_id()))
+    ranged = cut_lineage(keyed.repartitionByRange(n, "column_name", "__b")
+                              .withColumn("__pid", F.spark_partition_id()))
     counts = ranged.groupBy("__pid", "column_name").agg(F.count(F.lit(1)).alias("__c"))
     before = Window.partitionBy("column_name").orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__pid", "column_name",
@@ -160,28 +163,25 @@ def distributed_codes(distinct: DataFrame) -> DataFrame:
                   .select("column_name", "value", (F.col("__off") + F.col("__r") - 1).alias("code")))
 
 
-# Label lists up to this size are put into the plan as literal maps; larger
-# ones are encoded by a join (``TableEncoder``).
-MAX_LITERAL_LABELS = 100_000
+def fit_encode(train: DataFrame, cols, bound: int | None = None):
+    """Codes of the distinct training values per column, in byte order.
 
-
-def fit_encode(train: DataFrame, cols):
-    """Distinct training values per column, sorted by bytes.  After
-    ``fit_shrink`` a column has at most top+1 labels and the lists are
-    inlined; a column set with more than ``MAX_LITERAL_LABELS`` labels per
-    column is encoded through a join instead (nothing unbounded reaches the
-    driver)."""
+    The encoder is a code table that is joined back, whatever the number of
+    labels.  A caller that knows that no column has more than ``bound``
+    labels (as after ``fit_shrink``) says so and gets the same codes as
+    literal maps; more labels than that are an error."""
     cols = list(cols)
-    labels: dict = {c: [] for c in cols}
     if not cols:
-        return LabelEncoder(labels)
+        return LabelEncoder({})
     distinct = profile._long(train, cols).distinct()
-    rows = distinct.limit(MAX_LITERAL_LABELS * len(cols) + 1).collect()
-    if len(rows) > MAX_LITERAL_LABELS * len(cols):
-        codes = distributed_codes(distinct)
+    if bound is None:
         sizes = {r["column_name"]: r["n"] for r in
                  distinct.groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).collect()}
-        return TableEncoder(codes, {c: sizes.get(c, 0) for c in cols})
+        return TableEncoder(distributed_codes(distinct), {c: sizes.get(c, 0) for c in cols})
+    labels: dict = {c: [] for c in cols}
+    rows = distinct.limit(bound * len(cols) + 1).collect()
+    if len(rows) > bound * len(cols):
+        raise ValueError(f"more than {bound} labels per column")
     for r in rows:
         labels[r["column_name"]].append(r["value"])
     return LabelEncoder({c: sorted(v, key=lambda s: s.encode("utf-8")) for c, v in labels.items()})

@@ -402,16 +402,20 @@ def _scalars(stats: DataFrame) -> Column:
 
 def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
     """L1: equal-width bins between min and max (the max falls in the last
-    bin): bin, lo, hi, n.  min/max come from scalar subqueries."""
+    bin): bin, lo, hi, n; empty bins have n = 0, a column without values has no
+    bins.  min/max come from scalar subqueries."""
     r = _scalars(_range(df, col))
     lo, hi = r["lo"], r["hi"]
     width = (hi - lo) / bins
     x = F.col(col).cast("double")
     b = F.least(F.floor(F.try_divide(x - lo, width)), F.lit(bins - 1))
     b = F.coalesce(b, F.lit(0)).cast("int")
-    return (df.filter(x.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-              .select("bin", rnd(lo + F.col("bin") * width).alias("lo"),
-                      rnd(lo + (F.col("bin") + 1) * width).alias("hi"), "n"))
+    filled = df.filter(x.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    return (every.join(filled, "bin", "left").filter(lo.isNotNull())
+                 .select("bin", rnd(lo + F.col("bin") * width).alias("lo"),
+                         rnd(lo + (F.col("bin") + 1) * width).alias("hi"),
+                         F.coalesce("n", F.lit(0)).cast("long").alias("n")))
 
 
 def density(df: DataFrame, col: str, grid: int = 100, bins: int = 1000, places: int = 12) -> DataFrame:
@@ -437,8 +441,8 @@ def density(df: DataFrame, col: str, grid: int = 100, bins: int = 1000, places:
     centre = lo + (F.col("bin") + 0.5) * width
     contrib = counts.select(g, "c", centre.alias("centre"))
     xg = lo + F.col("g") * step
-    z = (xg - F.col("centre")) / h
-    k = F.col("c") * F.exp(-0.5 * z * z) / (h * n * math.sqrt(2 * math.pi))
+    z = F.try_divide(xg - F.col("centre"), h)  # a constant column has no density
+    k = F.try_divide(F.col("c") * F.exp(-0.5 * z * z), h * n * math.sqrt(2 * math.pi))
     return (contrib.groupBy("g").agg(F.sum(k).alias("d"))
                    .select(F.col("g").alias("point"), rnd(lo + F.col("g") * step, 6).alias("x"),
                            F.round(F.col("d"), places).alias("density")))
@@ -454,9 +458,9 @@ def normal_fit(df: DataFrame, col: str, bins: int = 50, places: int = 12) -> Dat
     h = histogram(df, col, bins)
     width = (hi - lo) / bins
     centre = lo + (F.col("bin") + 0.5) * width
-    z = (centre - mu) / sigma
+    z = F.try_divide(centre - mu, sigma)  # null for a constant column
     return h.select("bin", rnd(centre).alias("x"),
-                    F.round(F.exp(-0.5 * z * z) / (sigma * math.sqrt(2 * math.pi)), places).alias("pdf"),
+                    F.round(F.try_divide(F.exp(-0.5 * z * z), sigma * math.sqrt(2 * math.pi)), places).alias("pdf"),
                     rnd(mu).alias("mu"), rnd(sigma).alias("sigma"))
 
 

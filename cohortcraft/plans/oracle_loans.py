@@ -271,13 +271,18 @@ FROM orders""",
 SELECT round(q1, 6) AS q1, round(q3, 6) AS q3, round(q3 - q1, 6) AS iqr,
        round(q1 - 1.5 * (q3 - q1), 6) AS lower, round(q3 + 1.5 * (q3 - q1), 6) AS upper
 FROM (SELECT quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.75) AS q3 FROM orders)""",
+    "label_encode_customers": """
+SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY CAST(o_custkey AS VARCHAR)) - 1 AS INTEGER) AS customer
+FROM orders""",
     "histogram": """
 WITH r AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders),
 w AS (SELECT lo, (hi - lo) / 50 AS width FROM r)
-SELECT bin, round(lo + bin * width, 6) AS lo, round(lo + (bin + 1) * width, 6) AS hi, n FROM (
+SELECT CAST(e.range AS INTEGER) AS bin, round(lo + e.range * width, 6) AS lo,
+       round(lo + (e.range + 1) * width, 6) AS hi, coalesce(n, 0) AS n
+FROM range(0, 50) e CROSS JOIN w LEFT JOIN (
   SELECT CAST(coalesce(least(floor((o_totalprice - lo) / nullif(width, 0)), 49), 0) AS INTEGER) AS bin,
          count(*) AS n
-  FROM orders, w WHERE o_totalprice IS NOT NULL GROUP BY 1), w""",
+  FROM orders, w WHERE o_totalprice IS NOT NULL GROUP BY 1) f ON f.bin = e.range""",
     "density_curve": """
 WITH s AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi, stddev_samp(o_totalprice) AS sd,
                   count(o_totalprice) AS n FROM orders),
@@ -294,8 +299,7 @@ FROM g, c, p GROUP BY g.g, lo, step""",
 WITH r AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi, avg(o_totalprice) AS mu,
                   stddev_pop(o_totalprice) AS sigma FROM orders),
 w AS (SELECT lo, (hi - lo) / 50 AS width, mu, sigma FROM r),
-bins AS (SELECT DISTINCT CAST(coalesce(least(floor((o_totalprice - lo) / nullif(width, 0)), 49), 0) AS INTEGER) AS bin
-         FROM orders, w WHERE o_totalprice IS NOT NULL)
+bins AS (SELECT CAST(range AS INTEGER) AS bin FROM range(0, 50))
 SELECT bin, round(lo + (bin + 0.5) * width, 6) AS x,
        round(exp(-0.5 * ((lo + (bin + 0.5) * width) - mu) / sigma * ((lo + (bin + 0.5) * width) - mu) / sigma)
              / (sigma * sqrt(2 * pi())), 12) AS pdf,

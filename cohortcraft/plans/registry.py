@@ -115,6 +115,12 @@ def _encoded(raw: DataFrame) -> DataFrame:
     return p.df.select(M.KEY, M.SPLIT_COLUMN, *p.categoricals)
 
 
+def _customer_codes(orders: DataFrame) -> DataFrame:
+    """M6 on a column with many labels: the customer of each order, encoded as text."""
+    named = orders.select("o_orderkey", F.col("o_custkey").cast("string").alias("customer"))
+    return M.fit_encode(named, ["customer"]).transform(named)
+
+
 def _prepared(raw: DataFrame) -> DataFrame:
     p = M.prepare_loans(raw)
     return p.df.select(M.KEY, M.LABEL, *[rnd(c).alias(c) if c in p.numericals else F.col(c)
@@ -179,6 +185,7 @@ LOANS: dict[str, Query] = {
 ORDERS: dict[str, Query] = {
     "describe_numeric": _orders(lambda o: P.describe_numeric(o, ["o_totalprice"])),
     "iqr_fence": _orders(lambda o: P.iqr_fence(o, "o_totalprice")),
+    "label_encode_customers": _orders(_customer_codes),
     "histogram": _orders(lambda o: P.histogram(o, "o_totalprice", 50)),
     "density_curve": _orders(lambda o: P.density(o, "o_totalprice")),
     "normal_fit": _orders(lambda o: P.normal_fit(o, "o_totalprice", 50)),
@@ -199,8 +206,6 @@ MODELS: dict[str, Query] = {
     "forest_one_feature_metrics": _loans(LM.forest_one_feature_metrics),
     "feature_importance": _loans(LM.feature_importance),
     "model_summary": _loans(LM.model_summary),
-    "forest_grid": _loans(LM.forest_grid),
-    "gbt_grid": _loans(LM.gbt_grid),
 }
 
 

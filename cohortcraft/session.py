@@ -7,8 +7,8 @@ lineage is cut when a job needs to survive executor loss.
 
 from __future__ import annotations
 
-import os
 import tempfile
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,11 +66,17 @@ def apply_engine_conf(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@lru_cache(1)
+def _local_checkpoints() -> str:
+    return tempfile.mkdtemp(prefix="cohortcraft-ckpt-")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the cluster.
 
-    Read from ``spark.checkpoint.dir``; only when the session has none
-    (a local test) is a fresh local folder created.  The folder is also
+    Read from ``spark.checkpoint.dir``; only a local session may go without
+    it and then gets a folder of its own, elsewhere that is an error (a
+    machine-local folder would lose data).  The folder is also
     registered with the SparkContext so ``DataFrame.checkpoint`` and MLlib's
     ``checkpointInterval`` use it.
     """
@@ -82,10 +88,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not path and sc is not None:
         path = sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="cohortcraft-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    if path.startswith("/") and not os.path.isdir(path):
-        os.makedirs(path, exist_ok=True)
+        master = sc.master if sc is not None else ""
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = _local_checkpoints()
     if sc is not None:
         sc.setCheckpointDir(path)
     return path

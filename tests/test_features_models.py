@@ -15,7 +15,7 @@ from cohortcraft.operators import models as N
 
 def test_encode_order_is_byte_order(spark):
     df = spark.createDataFrame([("b",), ("B",), ("a",), ("é",)], "c string")
-    enc = M.fit_encode(df, ["c"])
+    enc = M.fit_encode(df, ["c"], bound=4)
     assert enc.labels["c"] == ["B", "a", "b", "é"]
     got = {r["orig"]: r["c"] for r in enc.transform(df.withColumn("orig", F.col("c"))).collect()}
     assert got == {"B": 0, "a": 1, "b": 2, "é": 3}
@@ -134,14 +134,21 @@ def test_tree_learning_curve(spark):
     assert curve[-1][0] == df.filter(~F.col("is_test")).count()
 
 
-def test_table_encoder_matches_literal_encoder(spark, monkeypatch):
-    df = spark.createDataFrame([("b",), ("B",), ("a",), ("é",), ("a",), (None,)], "c string")
-    lit_codes = [r["c"] for r in M.fit_encode(df, ["c"]).transform(df.withColumn("i", F.monotonically_increasing_id())).orderBy("i").collect()]
-    monkeypatch.setattr(M, "MAX_LITERAL_LABELS", 1)
-    enc = M.fit_encode(df, ["c"])
-    assert isinstance(enc, M.TableEncoder)
-    got = [r["c"] for r in enc.transform(df.withColumn("i", F.monotonically_increasing_id())).orderBy("i").collect()]
-    assert got == lit_codes == [2, 0, 1, 3, 1, 4]
+def test_table_encoder_matches_literal_encoder(spark):
+    df = spark.createDataFrame([(1, "b", 0), (2, "B", 0), (3, "a", 0), (4, "é", 0), (5, "a", 0), (6, None, 0)], "k int, c string, z int")
+    bounded, table = M.fit_encode(df, ["c"], bound=4), M.fit_encode(df, ["c"])
+    assert isinstance(table, M.TableEncoder)
+    codes = [[r["c"] for r in e.transform(df).orderBy("k").collect()] for e in (bounded, table)]
+    assert codes[0] == codes[1] == [2, 0, 1, 3, 1, 4]
+    assert table.transform(df).columns == ["k", "c", "z"]
+
+
+def test_every_code_of_many_labels(spark):
+    df = spark.range(20000).select(F.xxhash64("id").cast("string").alias("v"), F.col("id").alias("k"))
+    got = {r["k"]: r["v"] for r in M.fit_encode(df, ["v"]).transform(df).collect()}
+    names = {r["k"]: r["v"] for r in df.collect()}
+    rank = {v: i for i, v in enumerate(sorted(names.values()))}
+    assert all(got[k] == rank[v] for k, v in names.items())
 
 
 def test_distributed_codes_match_sorted_order(spark):

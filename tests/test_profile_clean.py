@@ -82,6 +82,15 @@ def test_histogram_box_density(spark):
         assert abs(r["density"] - exact) < 1e-2 * max(exact, 1e-6)
 
 
+def test_empty_bins_and_constant_columns(spark):
+    sparse = P.histogram(spark.createDataFrame([(0.0,), (1.0,), (100.0,)], "x double"), "x", 50).collect()
+    assert len(sparse) == 50 and sum(r["n"] for r in sparse) == 3 and sum(r["n"] == 0 for r in sparse) == 48
+    same = spark.createDataFrame([(5.0,), (5.0,)], "x double")
+    assert {r["pdf"] for r in P.normal_fit(same, "x", 4).collect()} == {None}
+    assert {r["density"] for r in P.density(same, "x", 4).collect()} == {None}
+    assert P.histogram(same.filter("x < 0"), "x", 4).count() == 0
+
+
 def test_cleaning_steps(spark):
     df = spark.createDataFrame([("individual", 10.0, 20.0), ("joint", 10.0, 20.0), (None, 10.0, 20.0)],
                                "application_type string, annual_income double, annual_income_joint double")
