@@ -8,12 +8,12 @@ record to its bundle, frame and offset inside the plain frame.
 Equal payloads of at least MIN_REVISIT bytes are stored once: the record with
 the largest page_id is the response and the others are revisit records
 without payload.  Only digests are grouped, never payloads, and a revisit's
-payload is dropped before the shuffle that spreads the records over bundles,
-so a hot group of copies costs a few bytes a copy.
+record has no payload.  The one shuffle of payloads, if any, is by page_id and
+digest together, so a hot group of copies is spread like everything else.
 
 Bundles are files in a folder that all executors share.  A task writes under
-a temporary name and renames, and the name depends on the partition alone,
-so a task that is run again replaces its own file.
+a temporary name and renames; names and contents depend on the partition
+alone, so a task that is run again replaces its own files by the same ones.
 
 Defined results: null html is the empty payload; null or clashing further
 columns are ignored; rows with equal page_id and payload are all responses
@@ -39,7 +39,7 @@ from .common import new_folder, slices, small_batches
 MIN_REVISIT = 1000
 #: Plain bytes of a frame, at least (the last of a bundle may hold less).
 FRAME_BYTES = 256 * 1024
-#: Plain payload bytes aimed at for one bundle.
+#: Plain bytes after which a task begins a new bundle.
 BUNDLE_BYTES = 64 * 1024 * 1024
 LEVEL = 3
 # Fixed values of the formats.
@@ -171,43 +171,45 @@ def _page_id(urn: str) -> int | None:
     return int(digits) if digits else None
 
 
-def bundle_count(pages: DataFrame) -> int:
-    """Bundles for the payload bytes of the table, one small aggregate."""
-    total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    return max(2 * pages.sparkSession.sparkContext.defaultParallelism, -(-total // BUNDLE_BYTES))
-
-
 def fs_bundles(spark, folder: str) -> None:
     """Make the folder of the bundles, so that reading an empty archive works."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/bundles")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
 
 
-def write_bundles(pages: DataFrame, folder: str, bundles: int | None = None) -> DataFrame:
+def write_bundles(pages: DataFrame, folder: str, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
     """Write the archive of ``pages`` into ``folder``; returns the index (written at once).
 
-    Index rows: page_id, bundle (file name), frame, offset and length in the plain frame.
+    Index rows: page_id, bundle (file name), frame, offset and length in the
+    plain frame.  A task writes its rows in a fixed order, so that a second
+    attempt makes the same files, and begins a new bundle after
+    ``bundle_bytes`` of records.
     """
     spark = small_batches(pages).sparkSession
-    records = record_kinds(pages).repartition(bundles or bundle_count(pages), F.xxhash64("page_id", "payload_digest"))
+    records = record_kinds(pages).sortWithinPartitions("page_id", "payload_digest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        name = f"bundle-{task.partitionId():06d}.warc.zst"
         store, root = fs.FileSystem.from_uri(f"{folder if ':' in folder else f'file://{folder}'}/bundles")
-        writer = None
-        temporary = posixpath.join(root, f"_{name}.{task.taskAttemptId()}")
+        writer, name, temporary, number, size = None, "", "", 0, 0
         for batch in slices(batches):
             rows = []
             for row in batch.to_pylist():
                 if writer is None:
-                    store.create_dir(root, recursive=True)
-                    writer = BundleWriter(store.open_output_stream(temporary))
+                    name = f"bundle-{task.partitionId():06d}-{number:04d}.warc.zst"
+                    temporary = posixpath.join(root, f"_{name}.{task.taskAttemptId()}")
+                    writer, size = BundleWriter(store.open_output_stream(temporary)), 0
+                    number += 1
                 record = record_bytes(row)
                 frame, offset = writer.add(record)
                 rows.append((row["page_id"], name, frame, offset, len(record)))
+                size += len(record)
+                if size >= bundle_bytes:
+                    writer.close()
+                    store.move(temporary, posixpath.join(root, name))
+                    writer = None
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)],
                 ["page_id", "bundle", "frame", "offset", "length"])

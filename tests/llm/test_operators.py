@@ -197,7 +197,7 @@ def test_toxicity_held_out(spark):
 def test_warc_round_trip_and_seek(spark, tmp_path):
     html = [None, "", "é" * 499, "x" * 1000, "x" * 1000, "y" * 700_000, "y" * 700_000, "x" * 1000, "a\r\n\r\nb" * 300]
     pages = spark.createDataFrame([(i, f"http://u/{i}\n", h, "n") for i, h in enumerate(html)], "page_id long, url string, html string, refers_to string")
-    index = warc.write_bundles(pages, str(tmp_path / "w"), bundles=2).collect()
+    index = warc.write_bundles(pages, str(tmp_path / "w"), bundle_bytes=600_000).collect()
     got = {r["page_id"]: r for r in warc.read_bundles(spark, str(tmp_path / "w")).collect()}
     last = {h: max(i for i, x in enumerate(html) if x == h) for h in html if h and len(h.encode()) >= 1000}
     for i, h in enumerate(html):
