@@ -143,13 +143,28 @@ def _quantiles(c: Column, probs, approx: bool, accuracy: int = 10000) -> Column:
     return F.percentile(c, arr)
 
 
-# Rows per (group, quantile) that the exact method ranks in one task are
-# about 4 n / SKETCH_ACCURACY; 1e6 keeps that at ~4e6 for n = 1e12.
+# Share of the rows that fall between a target's two sketch edges is about
+# 4 / SKETCH_ACCURACY (plus ties), so a group has at most ~4e6 distinct values
+# there for 1e12 rows.
 SKETCH_ACCURACY = 1_000_000
+# Groups up to which their one-row-per-group statistics are broadcast.
+MAX_GROUPS = 10_000
+
+
+def few_groups(df: DataFrame, by: list[str]) -> bool:
+    """Whether ``by`` has at most MAX_GROUPS values (one pass over the keys,
+    made distinct in the map tasks)."""
+    return df.select(*by).distinct().limit(MAX_GROUPS + 1).count() <= MAX_GROUPS
+
+
+def _beside(df: DataFrame, groups: DataFrame, by: list[str], few: bool) -> DataFrame:
+    """Each row with its group's row: a broadcast of at most MAX_GROUPS rows,
+    else a shuffled join (whose hot groups AQE splits)."""
+    return df.join(F.broadcast(groups) if few else groups, by)
 
 
 def exact_quantiles(df: DataFrame, col: str, probs, by: list[str] | None = None,
-                    accuracy: int = SKETCH_ACCURACY) -> DataFrame:
+                    accuracy: int = SKETCH_ACCURACY, few: bool | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (the semantics of SQL
     ``percentile`` / ``quantile_cont`` and pandas) that scale with the data.
 
@@ -159,12 +174,20 @@ def exact_quantiles(df: DataFrame, col: str, probs, by: list[str] | None = None,
     1. one aggregation per group: ``n`` and sketch quantiles
        (``percentile_approx``, rank error <= n/accuracy) just below and above
        each target, which bracket the target's value;
-    2. per group and target, the rows strictly below the bracket are counted
-       and only the rows inside it (about 4n/accuracy) are ranked by value,
-       which gives the values at sorted positions floor/ceil((n-1)p).
-
-    Returns ``by`` columns plus ``q`` (array of doubles, one per ``probs``)
-    and ``n``.
+    2. one aggregation by (group, run): a value inside a bracket is a run of
+       its own, all rows of a gap between brackets are one run; each run has
+       its count, smallest and largest value.  Ties and gaps are combined in
+       the map tasks;
+    3. running counts over a group's few runs give the values at sorted
+       positions floor/ceil((n-1)p): a bracket's value, or the end of a gap
+       for a target one rank beyond its bracket (small n).
+
+    Without groups the sketch is a scalar subquery.  Group rows are broadcast
+    if there are at most MAX_GROUPS of them: ``few`` states that the caller
+    knows so, None counts them.
+
+    Returns ``by`` columns plus ``n`` and ``q`` (array of doubles, one per
+    ``probs``).
     """
     by = list(by or [])
     probs = [float(p) for p in probs]
@@ -172,47 +195,38 @@ def exact_quantiles(df: DataFrame, col: str, probs, by: list[str] | None = None,
     edges = []
     for p in probs:
         edges += [max(0.0, p - m), min(1.0, p + m)]
-    x = F.col(col).cast("double")
-    data = df.select(*by, x.alias("__x")).filter(F.col("__x").isNotNull())
-    keys = by or ["__all"]
-    if not by:
-        data = data.withColumn("__all", F.lit(0))
-    bounds = data.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__n"),
-        F.percentile_approx("__x", F.array(*[F.lit(e) for e in edges]), accuracy).alias("__b"))
-    targets = F.array(*[F.struct(F.lit(i).alias("qi"), F.lit(p).alias("p"),
-                                 F.col("__b")[2 * i].alias("lo"), F.col("__b")[2 * i + 1].alias("hi"))
-                        for i, p in enumerate(probs)])
-    joined = data.join(bounds, keys).select(*keys, "__x", "__n", F.inline(targets))
-    # Counts around the bracket; the nearest values just outside it cover a
-    # target one rank beyond either edge (margins below one rank, small n).
-    lo_x, hi_x = F.col("__x") < F.col("lo"), F.col("__x") > F.col("hi")
-    edge = joined.groupBy(*keys, "qi").agg(
-        F.count_if(lo_x).alias("below"), F.count_if(~hi_x).alias("le_hi"),
-        F.max(F.when(lo_x, F.col("__x"))).alias("max_below"),
-        F.min(F.when(hi_x, F.col("__x"))).alias("min_above"))
-    inside = joined.filter(~lo_x & ~hi_x)
-    w = Window.partitionBy(*keys, "qi").orderBy("__x")
-    ranked = inside.withColumn("__r", F.row_number().over(w)).join(edge, keys + ["qi"])
-    pos = F.col("below") + F.col("__r") - 1
-    h = (F.col("__n") - 1) * F.col("p")
-    picked = ranked.groupBy(*keys, "qi").agg(
-        F.first("__n").alias("n"), F.first(h - F.floor(h)).alias("frac"),
-        F.first(F.floor(h)).alias("k0"), F.first(F.ceil(h)).alias("k1"),
-        F.first("below").alias("below"), F.first("le_hi").alias("le_hi"),
-        F.first("max_below").alias("max_below"), F.first("min_above").alias("min_above"),
-        F.max(F.when(pos == F.floor(h), F.col("__x"))).alias("w0"),
-        F.max(F.when(pos == F.ceil(h), F.col("__x"))).alias("w1"))
-
-    def at(k: str, w_: str):
-        return F.coalesce(F.col(w_), F.when(F.col(k) == F.col("below") - 1, F.col("max_below")),
-                          F.when(F.col(k) == F.col("le_hi"), F.col("min_above")))
-    picked = picked.select(*keys, "qi", "n", "frac", at("k0", "w0").alias("v0"), at("k1", "w1").alias("v1"))
-    q = picked.select(*keys, "qi", "n", (F.col("v0") + F.col("frac") * (F.col("v1") - F.col("v0"))).alias("v"))
-    out = q.groupBy(*keys).agg(F.first("n").alias("n"),
-                               F.array_sort(F.collect_list(F.struct("qi", "v"))).alias("__qs"))
-    out = out.select(*keys, "n", F.transform("__qs", lambda e: e["v"]).alias("q"))
-    return out.drop("__all") if not by else out
+    x = F.col("__x")
+    data = df.select(*by, F.col(col).cast("double").alias("__x")).filter(x.isNotNull())
+    sketch = F.percentile_approx("__x", F.array(*[F.lit(e) for e in edges]), accuracy).alias("__b")
+    if by:
+        rows = _beside(data, data.groupBy(*by).agg(sketch), by, few_groups(data, by) if few is None else few)
+    else:
+        rows = data.withColumn("__b", data.agg(sketch).scalar())
+    edge = [F.col("__b")[j] for j in range(len(edges))]
+    inside, gap = F.lit(False), F.lit(0)
+    for lo, hi in zip(edge[::2], edge[1::2], strict=True):
+        inside = inside | ((x >= lo) & (x <= hi))
+    for e in edge:
+        gap = gap + (x > e).cast("int")
+    runs = (rows.select(*by, "__x", F.when(inside, x).alias("__value"), F.when(~inside, gap).alias("__gap"))
+                .groupBy(*by, "__value", "__gap")
+                .agg(F.count(F.lit(1)).alias("__c"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi")))
+    w = Window.partitionBy(*by)
+    runs = (runs.withColumn("__end", F.sum("__c").over(w.orderBy("__lo")))
+                .withColumn("__n", F.sum("__c").over(w)))
+    first, last = F.col("__end") - F.col("__c"), F.col("__end") - 1
+
+    def at(k: Column) -> Column:
+        end = (F.when(k == first, F.col("__lo")).when((k == last) | F.col("__value").isNotNull(), F.col("__hi"))
+                .otherwise(F.raise_error(F.lit("quantile outside its bracket")).cast("double")))
+        return F.max(F.when((k >= first) & (k <= last), end))
+
+    aggs = [F.max("__n").alias("n")]
+    for i, p in enumerate(probs):
+        h = (F.col("__n") - 1) * F.lit(p)
+        aggs += [at(F.floor(h)).alias(f"__a{i}"), at(F.ceil(h)).alias(f"__b{i}"), F.max(h - F.floor(h)).alias(f"__f{i}")]
+    between = [F.col(f"__a{i}") + F.col(f"__f{i}") * (F.col(f"__b{i}") - F.col(f"__a{i}")) for i in range(len(probs))]
+    return runs.groupBy(*by).agg(*aggs).filter(F.col("n") > 0).select(*by, "n", F.array(*between).alias("q"))
 
 
 def describe_numeric(df: DataFrame, cols: list[str], approx: bool = False) -> DataFrame:
@@ -239,7 +253,7 @@ def describe_numeric(df: DataFrame, cols: list[str], approx: bool = False) -> Da
     if approx:
         qs = long.groupBy("column_name").agg(_quantiles(F.col("value"), (0.25, 0.5, 0.75), True).alias("q"))
     else:
-        qs = exact_quantiles(long, "value", (0.25, 0.5, 0.75), by=["column_name"])
+        qs = exact_quantiles(long, "value", (0.25, 0.5, 0.75), by=["column_name"], few=len(cols) <= MAX_GROUPS)
     qs = qs.select("column_name", rnd(F.col("q")[0]).alias("q25"), rnd(F.col("q")[1]).alias("q50"),
                    rnd(F.col("q")[2]).alias("q75"))
     # one row per described column on both sides: bounded by the schema, not the data
@@ -468,30 +482,32 @@ def box_stats(df: DataFrame, col: str, by: str | None = None, k: float = 1.5,
               approx: bool = False) -> DataFrame:
     """L4: per group n, q1, median, q3, iqr, fences, whiskers (most extreme
     values inside the fences) and the number of outliers.  Two aggregations:
-    quartiles per group, then the data joined to the (one row per group)
-    fences."""
+    quartiles per group, then the values beside their group's fences (a scalar
+    subquery without groups, else as in ``exact_quantiles``)."""
     x = F.col(col).cast("double")
-    if by is None:  # one group: a constant key keeps every step an equi-join
-        df, keys = df.withColumn("__all", F.lit(0)), ["__all"]
-    else:
-        keys = [by]
+    keys = [by] if by else []
+    few = few_groups(df, keys) if by else True
     if approx:
         q = df.groupBy(*keys).agg(F.count(x).alias("n"), _quantiles(x, (0.25, 0.5, 0.75), True).alias("q"))
     else:
-        q = exact_quantiles(df, col, (0.25, 0.5, 0.75), by=keys)
+        q = exact_quantiles(df, col, (0.25, 0.5, 0.75), by=keys, few=few)
     q = q.select(*keys, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
                  F.col("q")[2].alias("q3"))
     q = q.withColumn("iqr", F.col("q3") - F.col("q1")) \
          .withColumn("lower_fence", F.col("q1") - k * F.col("iqr")) \
          .withColumn("upper_fence", F.col("q3") + k * F.col("iqr"))
-    fences = q.select(*keys, "lower_fence", "upper_fence")
-    joined = df.select(*keys, x.alias("__x")).filter(F.col("__x").isNotNull()).join(fences, keys)
+    values = df.select(*keys, x.alias("__x")).filter(F.col("__x").isNotNull())
+    if by:
+        joined = _beside(values, q, keys, few)
+    else:
+        s = _scalars(q)
+        joined = values.select("__x", *[s[c].alias(c) for c in q.columns])
     inside = (F.col("__x") >= F.col("lower_fence")) & (F.col("__x") <= F.col("upper_fence"))
-    w = joined.groupBy(*keys).agg(F.min(F.when(inside, F.col("__x"))).alias("whisker_low"),
-                                  F.max(F.when(inside, F.col("__x"))).alias("whisker_high"),
-                                  F.count_if(~inside).alias("n_outliers"))
-    out = q.join(w, keys)
-    keys = [by] if by else []
+    of_group = [c for c in q.columns if c not in keys]
+    out = joined.groupBy(*keys).agg(*[F.first(c).alias(c) for c in of_group],
+                                    F.min(F.when(inside, F.col("__x"))).alias("whisker_low"),
+                                    F.max(F.when(inside, F.col("__x"))).alias("whisker_high"),
+                                    F.count_if(~inside).alias("n_outliers")).filter(F.col("n") > 0)
     return out.select(*keys, "n", rnd("q1").alias("q1"), rnd("median").alias("median"), rnd("q3").alias("q3"),
                       rnd("iqr").alias("iqr"), rnd("lower_fence").alias("lower_fence"),
                       rnd("upper_fence").alias("upper_fence"), rnd("whisker_low").alias("whisker_low"),

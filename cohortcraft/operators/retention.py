@@ -68,6 +68,18 @@ def period_spine(cp: DataFrame) -> DataFrame:
                       F.lead("period").over(w).alias("next_period")))
 
 
+def _with_spine(rows: DataFrame, cp: DataFrame) -> DataFrame:
+    """``rows`` with the previous and next observed period of their period.
+
+    The ordered periods are one array (a scalar subquery over the distinct
+    periods), so the rows are neither joined nor shuffled on ``period``.
+    """
+    periods = cp.agg(F.sort_array(F.collect_set("period")).alias("periods")).scalar()
+    at = F.array_position(periods, F.col("period")).cast("int")
+    return rows.filter(F.col("period").isNotNull()).withColumns(
+        {"prev_period": F.get(periods, at - 2), "next_period": F.get(periods, at)})
+
+
 def _customer_steps(cp: DataFrame) -> DataFrame:
     """Per (customer, period): the customer's own previous and next period
     and previous revenue (F1 core; one exchange on customer)."""
@@ -94,10 +106,8 @@ def transitions(cp: DataFrame, period_name: str = "year") -> DataFrame:
     Columns: customer, <period>, revenue, prev_revenue (the customer's
     revenue in the previous observed period when it is an existing
     customer), prev_period, next_period, is_new, is_existing, is_lost_next.
-    The spine side of the join is one row per period; AQE turns the join
-    into a broadcast once it has measured that side.
     """
-    t = _flags(_customer_steps(cp).join(period_spine(cp), "period"))
+    t = _flags(_with_spine(_customer_steps(cp), cp))
     return t.select(
         "customer", F.col("period").alias(period_name),
         _money(F.col("revenue")).alias("revenue"),
@@ -283,7 +293,7 @@ def lost_customers(cp: DataFrame, period_name: str = "year") -> DataFrame:
 # --- joins and set operations (D2, D3, H1, H2) ----------------------------
 
 def _with_prev(cp: DataFrame) -> DataFrame:
-    return _known(cp).join(period_spine(cp), "period")
+    return _with_spine(_known(cp), cp)
 
 
 def new_by_anti_join(cp: DataFrame, period_name: str = "year") -> DataFrame:
