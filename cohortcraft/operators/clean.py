@@ -9,7 +9,6 @@ only jobs a step may start itself are one-row parameter aggregations
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,9 +69,10 @@ def impute_constant(df: DataFrame, values: dict) -> DataFrame:
 def impute_mode(df: DataFrame, cols, fit_df: DataFrame | None = None) -> DataFrame:
     """M2: fill NULLs with the column's mode (ties -> smallest), fitted on
     ``fit_df`` (default: ``df`` itself, as in the reference, before the
-    split).  Each mode is a scalar subquery: one small aggregation job."""
-    src = fit_df if fit_df is not None else df
-    return df.withColumns({c: F.coalesce(F.col(c), profile.mode_value(src, c)) for c in cols})
+    split).  All modes are one scalar subquery: one small aggregation job."""
+    cols = list(cols)
+    mode = profile.scalars(profile.mode_row(fit_df if fit_df is not None else df, cols))
+    return df.withColumns({c: F.coalesce(F.col(c), mode[c]) for c in cols})
 
 
 def add_ratio(df: DataFrame, out: str, num: str, den: str) -> DataFrame:
@@ -118,9 +118,7 @@ def loans_before_imputation(raw: DataFrame) -> DataFrame:
 def loans_cleaned(raw: DataFrame) -> DataFrame:
     """All cleaning: months-since columns 0-filled, inquiry months and
     verification filled with their modes, job title with 'other'."""
-    # Read three times (two mode subqueries and the result): persisted, so the
-    # join behind ``raw`` runs once.  Lost blocks are recomputed from lineage.
-    df = loans_before_imputation(raw).persist(StorageLevel.MEMORY_AND_DISK)
+    df = loans_before_imputation(raw)
     df = impute_constant(df, {c: 0 for c in ZERO_FILL_COLUMNS})
     df = impute_mode(df, MODE_FILL_COLUMNS)
     return impute_constant(df, {"emp_title": OTHER})

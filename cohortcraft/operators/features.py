@@ -12,13 +12,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import bucket_hash
-from ..session import cut_lineage
+from ..session import cut_lineage, written
 from . import clean, profile
 
 KEY = "loan_id"
@@ -222,8 +221,8 @@ def prepare_loans(raw: DataFrame) -> Prepared:
     (clean.loans_with_ratio), split, standardisation of numeric columns,
     shrinking and label-encoding of text columns, each fitted on training
     rows only.  Label codes are not scaled (encoding comes after scaling)."""
-    # Three fits and the result read the cleaned rows: persist them once.
-    df = cleaned_split(raw).persist(StorageLevel.MEMORY_AND_DISK)
+    # The fits and the result read the cleaned rows: write them once.
+    df = written(cleaned_split(raw))
     feats, nums, cats = feature_columns(df)
     train = df.filter(~F.col(SPLIT_COLUMN))
     std = fit_standardize(train, nums)

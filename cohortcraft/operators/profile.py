@@ -100,28 +100,28 @@ def describe_text(df: DataFrame, cols: list[str]) -> DataFrame:
                           (-F.col("b.neg_n")).alias("freq")))
 
 
-def _mode_of(df: DataFrame, c: str) -> DataFrame:
-    """Most frequent non-NULL value of ``c`` with its own type; ties -> smallest.
-    Value counts then a min over (-count, value): both steps aggregate
-    partially, so no single task holds all distinct values."""
-    counts = df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(F.min(F.struct((-F.col("n")).alias("neg_n"), F.col(c).alias("v"))).alias("m")) \
-                 .select(F.col("m.v").alias(c))
+def mode_row(df: DataFrame, cols: list[str]) -> DataFrame:
+    """One row with the most frequent non-NULL value of each column in
+    its own type; ties -> smallest.  Value counts of all columns come from one
+    pass (grouping sets), then a min over (-count, value): both steps
+    aggregate partially, so no single task holds all distinct values."""
+    counts = df.groupingSets([[F.col(c)] for c in cols], *[F.col(c) for c in cols]).agg(
+        F.count(F.lit(1)).alias("__n"))
+    # a value is non-NULL only in the rows of its own column's grouping set
+    best = [F.min(F.when(F.col(c).isNotNull(), F.struct((-F.col("__n")).alias("neg_n"), F.col(c).alias("v")))).alias(c)
+            for c in cols]
+    return counts.agg(*best).select(*[F.col(c)["v"].alias(c) for c in cols])
 
 
 def mode_value(df: DataFrame, c: str) -> Column:
     """E15 as a scalar-subquery Column (for imputation)."""
-    return _mode_of(df, c).scalar()
+    return mode_row(df, [c]).scalar()
 
 
 def modes(df: DataFrame, cols: list[str]) -> DataFrame:
     """column_name, mode (as text), one row per column."""
-    parts = [_mode_of(df, c).select(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("mode"))
-             for c in cols]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return _rows(mode_row(df, cols), [F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("mode"))
+                                      for c in cols])
 
 
 def top_values(df: DataFrame, cols: list[str], top: int = 15) -> DataFrame:
@@ -143,6 +143,12 @@ def _quantiles(c: Column, probs, approx: bool, accuracy: int = 10000) -> Column:
     return F.percentile(c, arr)
 
 
+def scalars(stats: DataFrame) -> Column:
+    """A one-row aggregate as one struct-valued scalar subquery (evaluated
+    once however many of its fields the plan uses)."""
+    return stats.select(F.struct(*stats.columns).alias("s")).scalar()
+
+
 # Share of the rows that fall between a target's two sketch edges is about
 # 4 / SKETCH_ACCURACY (plus ties), so a group has at most ~4e6 distinct values
 # there for 1e12 rows.
@@ -408,17 +414,11 @@ def _range(df: DataFrame, col: str) -> DataFrame:
     return df.agg(F.min(F.col(col).cast("double")).alias("lo"), F.max(F.col(col).cast("double")).alias("hi"))
 
 
-def _scalars(stats: DataFrame) -> Column:
-    """A one-row aggregate as one struct-valued scalar subquery (evaluated
-    once however many of its fields the plan uses)."""
-    return stats.select(F.struct(*stats.columns).alias("s")).scalar()
-
-
 def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
     """L1: equal-width bins between min and max (the max falls in the last
     bin): bin, lo, hi, n; empty bins have n = 0, a column without values has no
     bins.  min/max come from scalar subqueries."""
-    r = _scalars(_range(df, col))
+    r = scalars(_range(df, col))
     lo, hi = r["lo"], r["hi"]
     width = (hi - lo) / bins
     x = F.col(col).cast("double")
@@ -444,7 +444,7 @@ def density(df: DataFrame, col: str, grid: int = 100, bins: int = 1000, places:
     x = F.col(col).cast("double")
     stats = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.stddev_samp(x).alias("sd"),
                    F.count(x).alias("n"))
-    st = _scalars(stats)
+    st = scalars(stats)
     lo, hi, sd, n = st["lo"], st["hi"], st["sd"], st["n"]
     width = (hi - lo) / bins
     h = sd * F.pow(n.cast("double"), -0.2)
@@ -466,7 +466,7 @@ def normal_fit(df: DataFrame, col: str, bins: int = 50, places: int = 12) -> Dat
     """L3: maximum-likelihood normal (mean, population std) evaluated at the
     histogram's bin centres: bin, x, pdf, mu, sigma."""
     x = F.col(col).cast("double")
-    st = _scalars(df.agg(F.avg(x).alias("mu"), F.stddev_pop(x).alias("sigma"),
+    st = scalars(df.agg(F.avg(x).alias("mu"), F.stddev_pop(x).alias("sigma"),
                          F.min(x).alias("lo"), F.max(x).alias("hi")))
     mu, sigma, lo, hi = st["mu"], st["sigma"], st["lo"], st["hi"]
     h = histogram(df, col, bins)
@@ -500,7 +500,7 @@ def box_stats(df: DataFrame, col: str, by: str | None = None, k: float = 1.5,
     if by:
         joined = _beside(values, q, keys, few)
     else:
-        s = _scalars(q)
+        s = scalars(q)
         joined = values.select("__x", *[s[c].alias(c) for c in q.columns])
     inside = (F.col("__x") >= F.col("lower_fence")) & (F.col("__x") <= F.col("upper_fence"))
     of_group = [c for c in q.columns if c not in keys]

@@ -17,6 +17,7 @@ from ..operators import clean as C
 from ..operators import features as M
 from ..operators import profile as P
 from ..operators import retention as R
+from ..session import written
 from ..sources import customer_period_from_orders, loan_like, test_table
 from . import loan_models as LM
 
@@ -104,7 +105,7 @@ def _standardized(raw: DataFrame) -> DataFrame:
 
 
 def _shrunk(raw: DataFrame) -> DataFrame:
-    df = M.cleaned_split(raw)
+    df = written(M.cleaned_split(raw))
     _, _, cats = M.feature_columns(df)
     shr = M.fit_shrink(df.filter(~F.col(M.SPLIT_COLUMN)), cats)
     return shr.transform(df).select(M.KEY, M.SPLIT_COLUMN, *cats)
@@ -115,6 +116,14 @@ def _encoded(raw: DataFrame) -> DataFrame:
     return p.df.select(M.KEY, M.SPLIT_COLUMN, *p.categoricals)
 
 
+def _correlations(cleaned: DataFrame) -> DataFrame:
+    return P.correlations(cleaned, _numeric_no_split(cleaned))
+
+
+def _target_correlation(cleaned: DataFrame) -> DataFrame:
+    return P.target_correlation(cleaned, [c for c in _numeric_no_split(cleaned) if c != M.LABEL], M.LABEL)
+
+
 def _customer_codes(orders: DataFrame) -> DataFrame:
     """M6 on a column with many labels: the customer of each order, encoded as text."""
     named = orders.select("o_orderkey", F.col("o_custkey").cast("string").alias("customer"))
@@ -167,9 +176,8 @@ LOANS: dict[str, Query] = {
                                                   "open_credit_lines").select("loan_id", "satis_pr_cred_lines")),
     "describe_text": _loans(lambda d: P.describe_text(C.loans_cleaned(d),
                                                       P.text_columns(C.loans_cleaned(d), exclude=("loan_id",)))),
-    "correlation_matrix": _loans(lambda d: P.correlations(C.loans_cleaned(d), _numeric_no_split(C.loans_cleaned(d)))),
-    "target_correlation": _loans(lambda d: P.target_correlation(
-        C.loans_cleaned(d), [c for c in _numeric_no_split(C.loans_cleaned(d)) if c != M.LABEL], M.LABEL)),
+    "correlation_matrix": _loans(lambda d: _correlations(written(C.loans_cleaned(d)))),
+    "target_correlation": _loans(lambda d: _target_correlation(written(C.loans_cleaned(d)))),
     "mean_by_grade": _loans(lambda d: P.means_by(C.loans_with_ratio(d), "grade",
                                                  _numeric_no_split(C.loans_with_ratio(d)))),
     "mean_by_subgrade": _loans(lambda d: P.means_by(C.loans_with_ratio(d), "sub_grade",

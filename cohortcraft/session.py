@@ -8,6 +8,7 @@ lineage is cut when a job needs to survive executor loss.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -106,3 +107,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table of its own in the checkpoint folder.
+
+    For rows that several jobs read: computed once, pruned to the columns
+    that a job asks for, and safe from lost executors.  The table stays until
+    the folder is cleared, as checkpoints do.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

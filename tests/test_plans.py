@@ -41,3 +41,34 @@ def test_top_categories_limits_before_exchange(spark):
 def test_top_k_inspection_is_take_ordered(spark):
     p = plan(E.queries()["extreme_income"](spark, SF001), "simple")
     assert "TakeOrderedAndProject" in p
+
+
+@pytest.fixture
+def large(spark):
+    """Plans as for large data: nothing is broadcast for a small estimate."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    yield spark
+    spark.conf.set(key, old)
+
+
+@pytest.mark.parametrize("key", ["iqr_fence", "describe_numeric", "box_stats", "unverified_top_income"])
+def test_quantile_plans_leave_the_data_in_place(large, key):
+    p = plan(E.queries()[key](large, SF001))
+    assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+    if key != "unverified_top_income":  # (its table is a join)
+        assert "SortMergeJoin" not in p
+
+
+@pytest.mark.parametrize("key", ["customer_transitions", "new_customers_anti", "existing_customers_semi", "customers_except"])
+def test_facts_are_not_shuffled_on_the_period(large, key):
+    p = plan(E.queries()[key](large, SF001))
+    for exchange in re.findall(r"^\(\d+\) Exchange\nInput \[\d+\]: \[(.*)\]\nArguments: hashpartitioning\(period#\d+, \d+\)", p, re.M):
+        assert "customer" not in exchange
+
+
+def test_preparation_keeps_nothing_in_executor_storage(spark):
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    E.queries()["loan_prepared"](spark, SF001).count()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before

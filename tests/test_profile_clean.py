@@ -2,6 +2,9 @@
 
 import math
 
+import numpy as np
+import pytest
+
 from pyspark.sql import functions as F
 
 from cohortcraft.functions.expr import bucket_hash, safe_ratio
@@ -147,3 +150,21 @@ def test_exact_quantiles_small_groups_fine_sketch(spark):
     got = {r["g"]: r["q"] for r in P.exact_quantiles(df, "x", probs, by=["g"]).collect()}
     for g, w in want.items():
         assert np.allclose(got[g], w, atol=1e-9), g
+
+
+@pytest.mark.parametrize("accuracy", [1_000_000, 50])
+@pytest.mark.parametrize("values", [2, 1_000_000], ids=["tied", "spread"])
+def test_exact_quantiles_with_ties_and_groups(spark, values, accuracy):
+    v = np.random.default_rng(7).integers(0, values, 20_000).astype(float)
+    df = spark.createDataFrame([(float(x), i % 3) for i, x in enumerate(v)], "x double, g int").repartition(4)
+    probs = (0, 0.1, 0.25, 0.5, 0.75, 1)
+    assert np.allclose(P.exact_quantiles(df, "x", probs, accuracy=accuracy).first()["q"], np.quantile(v, probs))
+    for few in (None, False):  # broadcast group rows, or a shuffled join beyond their bound
+        for r in P.exact_quantiles(df, "x", probs, by=["g"], accuracy=accuracy, few=few).collect():
+            assert np.allclose(r["q"], np.quantile(v[r["g"]::3], probs))
+
+
+def test_modes_of_columns_of_different_types(spark):
+    df = spark.createDataFrame([(1, "b"), (1, "a"), (None, "b"), (2, "a"), (None, None)], "x int, y string")
+    assert P.mode_row(df, ["x", "y"]).first().asDict() == {"x": 1, "y": "a"}
+    assert C.impute_mode(df, ["x", "y"]).filter("x is null or y is null").count() == 0
