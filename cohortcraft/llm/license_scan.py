@@ -61,9 +61,9 @@ def template_bigrams(text: str) -> set[str]:
 
 
 def size_bounds(size: int, threshold: float = THRESHOLD) -> tuple[int, int]:
-    """Sizes a set may have to reach the threshold with a set of ``size`` bigrams."""
-    low, high = size * threshold / (2 - threshold), size * (2 - threshold) / threshold
-    return int(-(-low // 1)), int(high)
+    """Sizes a set may have to reach the threshold with a set of ``size`` bigrams, in whole percents."""
+    t = round(100 * threshold)
+    return -(-size * t // (200 - t)), size * (200 - t) // t
 
 
 def _words(unit: Column) -> Column:
@@ -85,7 +85,8 @@ def best_match(bigrams: Column, templates=TEMPLATES, threshold: float = THRESHOL
         low, high = size_bounds(len(own), threshold)
         shared = F.size(F.array_intersect(bigrams, F.array(*map(F.lit, own))))
         dice = 2.0 * shared / (n + F.lit(len(own)))
-        tried.append(F.when((n >= low) & (n <= high), F.when(dice >= threshold, F.struct(
+        enough = 200 * shared >= round(100 * threshold) * (n + F.lit(len(own)))
+        tried.append(F.when((n >= low) & (n <= high), F.when(enough, F.struct(
             dice.alias("similarity"), F.lit(-rank).alias("rank"), F.lit(name).alias("licence")))))
     return F.array_max(F.array_compact(F.array(*tried)))
 

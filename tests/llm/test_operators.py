@@ -109,6 +109,25 @@ def test_licences_equal_plain_dice(spark):
         assert got[i]["licences"] == ",".join(sorted(names)), t
 
 
+def test_licence_bounds_are_exact(spark):
+    for n in range(1, 200):
+        reach = [m for m in range(1, 400) if 200 * min(n, m) >= 80 * (n + m)]
+        assert license_scan.size_bounds(n) == (min(reach, default=1), max(reach, default=n)), n
+    # At both bounds of every template: part of it, and all of it with as many new bigrams as fit.
+    rows, expected = [], []
+    for name, text in license_scan.TEMPLATES:
+        words = re.findall("[a-z0-9]+", text.lower())
+        own = license_scan.template_bigrams(text)
+        low, high = -(-80 * len(own) // 120), 120 * len(own) // 80
+        part = next(words[:k] for k in range(len(words) + 1) if len(license_scan.template_bigrams(" ".join(words[:k]))) == low)
+        rows += [" ".join(part), " ".join(words + [f"x{i}" for i in range(high - len(own))])]
+        expected += [name] * 2
+    rows += ["This work is licensed under CC BY-NC 4.0.", "CC BY-NC 4.0", "Released under the MIT License by us"]
+    expected += ["CC-BY-NC-4.0"] * 2 + ["MIT"]
+    got = {r["doc_id"]: r["licence"] for r in license_scan.scan(docs_of(spark, rows)).collect()}
+    assert [got[i] for i in range(len(rows))] == expected
+
+
 # --- 5 n-gram Jaccard join ---------------------------------------------------
 def brute_components(texts):
     sets = []
