@@ -1,15 +1,22 @@
 """License scans: Dice coefficient over word bigrams against licence templates.
 
-A text is looked at as a whole and line by line (a notice is often one line
-of a longer text).  Each unit is normalised (lower case, letters and digits
-only) and compared with the templates by Dice = 2 |A and B| / (|A| + |B|)
-over the sets of word bigrams.  As Dice >= t needs
-t / (2 - t) <= |A| / |B| <= (2 - t) / t, a unit's number of words bounds the
-templates that can match; units outside every template's bounds are dropped
-before any bigram is built.  SQL functions only, row by row: no shuffle, so a
-hot line or source costs no more than its own rows.
-
-Defined results: null text is the empty text; texts without a matching unit
+Texts and templates (notices, headers and whole licence texts, the last in
+the folder ``licences``) are normalised: lower case, letters and digits only.
+Every window of a text's words is compared with every template by
+Dice = 2 |A and B| / (|A| + |B|) over the sets of word bigrams, wherever the
+lines and sentences end.  A window has at most (2 - t) / t times as many
+bigrams, repeated ones counted, as the template.  As Dice >= t needs
+t / (2 - t) <= |A| / |B| <= (2 - t) / t, a text must hold t / (2 - t) of a
+template's bigrams; other templates are dropped before any window is looked
+at, and most texts before all of them.  Windows need only begin and end with a
+bigram of the template, as others at the ends never raise Dice.  SQL functions
+only, row by row: no shuffle, so a hot line or source costs no more than its
+own rows.
+
+Defined results: of the windows with one beginning the most similar (then the
+shortest) stands for a template; of overlapping windows the more similar, then
+the one of the first template, then the earlier one stays.  n_units counts
+those that stay.  Null text is the empty text; texts without a matching window
 have no licence (null), similarity null and an empty list; of equal best
 similarities the first template in order wins; repeated rows give repeated
 results; other columns are not read.
@@ -18,6 +25,9 @@ results; other columns are not read.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import partial
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +35,23 @@ from pyspark.sql import functions as F
 from .common import whole_text
 
 THRESHOLD = 0.8
-# Notices and short licence texts as they are commonly written.
+#: Whole licence texts: NAME.txt, or NAME.CLAUSES.txt for the BSD licences.
+LICENCES = Path(__file__).parent / "licences"
+
+
+def _whole_texts() -> tuple[tuple[str, str], ...]:
+    return tuple(("BSD" if f.name.startswith("BSD.") else f.stem, f.read_text("utf-8")) for f in sorted(LICENCES.glob("*.txt")))
+
+
+_GNU = ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0}General Public "
+        "License as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later "
+        "version.")
+_GNU_REST = (" This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied "
+             "warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0}General Public License for more "
+             "details. You should have received a copy of the GNU {0}General Public License along with this program. If not, see "
+             "<https://www.gnu.org/licenses/>.")
+_GNU_KINDS = (("GPL-3.0", "", "3"), ("GPL-2.0", "", "2"), ("AGPL-3.0", "Affero ", "3"), ("LGPL-3.0", "Lesser ", "3"), ("LGPL-2.1", "Lesser ", "2.1"))
+# Notices, headers and licence texts as they are commonly written.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "This project is licensed under the MIT License."),
@@ -52,12 +78,31 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the "
                 "MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance "
+                   "with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless "
+                   "required by applicable law or agreed to in writing, software distributed under the License is distributed on "
+                   "an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License "
+                   "for the specific language governing permissions and limitations under the License."),
+    # Neighbours of the notices above, which would else be taken for them.
+    *((name, f"This work is licensed under the GNU {kind}General Public License, version {version}.") for name, kind, version in _GNU_KINDS[1:]),
+    *((name, _GNU.format(kind, version)) for name, kind, version in _GNU_KINDS[1:]),
+    *((name, (_GNU + _GNU_REST).format(kind, version)) for name, kind, version in _GNU_KINDS),
+    *((f"CC-BY-{sign}-4.0", f"Licensed under CC BY-{sign} 4.0.") for sign in ("SA", "ND", "NC-SA", "NC-ND")),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    *((f"CC-BY-{sign}-4.0", f"This work is licensed under a Creative Commons Attribution-{kind} 4.0 International License.")
+      for sign, kind in (("SA", "ShareAlike"), ("ND", "NoDerivatives"), ("NC-SA", "NonCommercial-ShareAlike"),
+                         ("NC-ND", "NonCommercial-NoDerivatives"))),
+    *_whole_texts(),
 )
 
 
-def template_bigrams(text: str) -> set[str]:
+def _list(text: str) -> list[str]:
     words = re.findall(r"[a-z0-9]+", text.lower())
-    return {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}
+    return [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+
+
+def template_bigrams(text: str) -> set[str]:
+    return set(_list(text))
 
 
 def size_bounds(size: int, threshold: float = THRESHOLD) -> tuple[int, int]:
@@ -66,49 +111,75 @@ def size_bounds(size: int, threshold: float = THRESHOLD) -> tuple[int, int]:
     return -(-size * t // (200 - t)), size * (200 - t) // t
 
 
-def _words(unit: Column) -> Column:
-    return F.regexp_extract_all(F.lower(unit), F.lit("[a-z0-9]+"), F.lit(0))
+def _in(own: set[str]) -> str:
+    """SQL list of bigrams, which hold letters, digits and blanks only; a long list becomes a hash set."""
+    return "(" + ", ".join(f"'{b}'" for b in sorted(own)) + ")"
 
 
-def _bigrams(words: Column) -> Column:
-    pairs = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1),
-                       lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.array_distinct(pairs)
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), 0)
 
 
-def best_match(bigrams: Column, templates=TEMPLATES, threshold: float = THRESHOLD) -> Column:
-    """The best (similarity, -rank, licence) of a bigram set, or null; templates outside the size bounds are skipped."""
-    n = F.size(bigrams)
-    tried = []
-    for rank, (name, text) in enumerate(templates):
-        own = sorted(template_bigrams(text))
-        low, high = size_bounds(len(own), threshold)
-        shared = F.size(F.array_intersect(bigrams, F.array(*map(F.lit, own))))
-        dice = 2.0 * shared / (n + F.lit(len(own)))
-        enough = 200 * shared >= round(100 * threshold) * (n + F.lit(len(own)))
-        tried.append(F.when((n >= low) & (n <= high), F.when(enough, F.struct(
-            dice.alias("similarity"), F.lit(-rank).alias("rank"), F.lit(name).alias("licence")))))
-    return F.array_max(F.array_compact(F.array(*tried)))
+def _bigrams(text: Column) -> Column:
+    return _let(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), lambda words: F.zip_with(
+        words, F.slice(words, 2, F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b)))
+
+
+def _places(bigrams: Column) -> Column:
+    """Each bigram, in order, with the place where it stood before (-1 if nowhere)."""
+    def linked(by_word: Column) -> Column:
+        return F.transform(by_word, lambda x, i: _let(F.get(by_word, i - 1), lambda before: F.struct(
+            x["i"].alias("i"), F.when(before["b"] == x["b"], before["i"]).otherwise(-1).alias("prev"), x["b"].alias("b"))))
+
+    return F.array_sort(_let(F.array_sort(F.transform(bigrams, lambda b, i: F.struct(b.alias("b"), i.alias("i")))), linked))
+
+
+def _windows(flags: Column, n: int, cap: int, low: int, percent: int, name: str, rank: int) -> Column:
+    """The best window from each beginning, as (-similarity, rank, start, end, licence)."""
+    def best_from(p: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            new = x["prev"] < p
+            m, c = acc["m"] + new.cast("int"), acc["c"] + (new & x["own"]).cast("int")
+            better = new & x["own"] & (200 * c >= percent * (m + n)) & (c * (acc["bm"] + n) > acc["bc"] * (m + n))
+            return F.struct((acc["k"] + 1).alias("k"), m.alias("m"), c.alias("c"), F.when(better, m).otherwise(acc["bm"]).alias("bm"),
+                            F.when(better, c).otherwise(acc["bc"]).alias("bc"), F.when(better, p + acc["k"]).otherwise(acc["end"]).alias("end"))
+
+        begin = F.struct(*(F.lit(v).alias(k) for k, v in (("k", 0), ("m", 0), ("c", 0), ("bm", 0), ("bc", 0), ("end", -1))))
+        return F.aggregate(F.slice(flags, p + 1, cap), begin, step, lambda acc: F.when(acc["end"] >= 0, F.struct(
+            (-2.0 * acc["bc"] / (acc["bm"] + n)).alias("order"), F.lit(rank).alias("rank"), p.alias("start"), acc["end"].alias("end"),
+            F.lit(name).alias("licence"))))
+
+    at = F.array_compact(F.transform(flags, lambda x, i: F.when(x["own"], i)))
+    # A window begins where enough of the template's bigrams follow within its length.
+    starts = _let(at, lambda at: F.array_compact(F.transform(at, lambda p, j: F.when(F.get(at, j + (low - 1)) - p < cap, p))))
+    return F.array_compact(F.transform(starts, best_from))
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, text: str = "text",
          key: str = "doc_id") -> DataFrame:
-    """Per document: key, n_units (matching units), licences (distinct, sorted), licence and similarity (the best)."""
-    sizes = [size_bounds(len(template_bigrams(t)), threshold) for _, t in templates]
-    least, most = min(a for a, _ in sizes), max(b for _, b in sizes)
-    # Characters a unit with so few bigrams needs at least, before any word is cut out.
-    lines = F.filter(F.split(whole_text(text), "\n"), lambda u: F.length(u) >= 2 * least + 1)
-    word_lists = F.transform(lines, _words)
-    whole = _words(whole_text(text))
-    # A single-line text is its own only line.
-    several = F.contains(whole_text(text), F.lit("\n"))
-    units = F.concat(word_lists, F.when(several, F.array(whole)).otherwise(F.array().cast("array<array<string>>")))
-    # A set of n bigrams needs n + 1 words; more words may repeat bigrams, so only the lower bound is on words.
-    near = F.filter(units, lambda w: F.size(w) > least)
-    sets = F.filter(F.transform(near, _bigrams), lambda b: (F.size(b) >= least) & (F.size(b) <= most))
-    found = F.array_compact(F.transform(sets, lambda b: best_match(b, templates, threshold)))
-    best = F.array_max("found")
-    return docs.select(F.col(key), found.alias("found")).select(
-        key, F.size("found").cast("long").alias("n_units"),
-        F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda m: m["licence"]))), ",").alias("licences"),
-        best["licence"].alias("licence"), best["similarity"].alias("similarity"))
+    """Per document: key, n_units (matching windows), licences (distinct, sorted), licence and similarity (the best)."""
+    percent = round(100 * threshold)
+    lists = [_list(t) for _, t in templates]
+    sets = [set(own) for own in lists]
+    lows = [size_bounds(len(own), threshold)[0] for own in sets]
+    tried = []
+    for rank, ((name, _), own, every, low) in enumerate(zip(templates, sets, lists, lows, strict=True)):
+        flags = F.expr(f"transform(places, p -> named_struct('prev', p.prev, 'own', p.b IN {_in(own)}))")
+        cap = size_bounds(len(every), threshold)[1]
+        windows = partial(_windows, n=len(own), cap=cap, low=low, percent=percent, name=name, rank=rank)
+        tried.append(F.when(F.get("near", F.lit(rank)), _let(flags, windows)))
+    near = [F.when(F.size("held") >= low, F.expr(f"size(filter(held, b -> b IN {_in(own)})) >= {low}")).otherwise(False)
+            for own, low in zip(sets, lows, strict=True)]
+    apart = F.aggregate("found", F.slice("found", 1, 0), lambda acc, c: F.when(
+        F.exists(acc, lambda a: (a["start"] <= c["end"]) & (c["start"] <= a["end"])), acc).otherwise(F.concat(acc, F.array(c))))
+    best = F.get("kept", F.lit(0))
+    return (docs.select(F.col(key), _bigrams(whole_text(text)).alias("bigrams"))
+            .select(key, "bigrams", F.expr(f"array_distinct(filter(bigrams, b -> b IN {_in(set().union(*sets))}))").alias("held"))
+            .select(key, "bigrams", F.when(F.size("held") >= min(lows), F.array(*near)).otherwise(F.array().cast("array<boolean>")).alias("near"))
+            .select(key, "near", F.when(F.exists("near", lambda x: x), _places(F.col("bigrams"))).alias("places"))
+            .select(key, F.when(F.col("places").isNotNull(), F.array_sort(F.flatten(F.array_compact(F.array(*tried))))).alias("found"))
+            .select(key, apart.alias("kept"))
+            .select(key, F.coalesce(F.size("kept"), F.lit(0)).cast("long").alias("n_units"),
+                    F.coalesce(F.array_join(F.array_sort(F.array_distinct(F.transform("kept", lambda m: m["licence"]))), ","), F.lit(""))
+                    .alias("licences"), best["licence"].alias("licence"), (-best["order"]).alias("similarity")))
