@@ -345,3 +345,26 @@ def test_decontamination_equals_containment(spark):
         got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaked_pairs(found, bench).collect()}
         assert got == {(13 + k, k) for k in range(10)}
     assert decontaminate.leaked_pairs(docs_of(spark, texts), bench.limit(0)).count() == 0
+
+
+def test_decontamination_finds_edited_items(spark):
+    rng = np.random.default_rng(6)
+    def prose(n):
+        return " ".join(f"v{rng.integers(400)}" for _ in range(n))
+
+    items = [f"{prose(q)}. {prose(a)}." for q, a in ((12, 2), (14, 3), (16, 4), (20, 5), (24, 9))]
+    texts, expected = [], set()
+    for k, item in enumerate(items):
+        words = item.split()
+        a = len(decontaminate.normal_words(item)) - decontaminate.answer_start(item)
+        for i in range(len(words)):  # each word replaced, each word left out
+            for new in (["other"], []):
+                expected.add((len(texts), k))
+                texts.append(" ".join([prose(40), *words[:i], *new, *words[i + 1:], prose(40)]))
+        expected.add((len(texts), k))
+        texts.append(" ".join([prose(40), *words[:-a], "the answer is", *words[-a:], prose(40)]))
+        texts.append(" ".join([prose(40), *words[:-a], *(f"new{i}" for i in range(a)), prose(40)]))  # another answer
+        texts.append(" ".join([prose(40), *words[::-1], prose(40)]))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaked_pairs(docs_of(spark, texts), bench).collect()}
+    assert got == expected
