@@ -22,16 +22,19 @@ The index is sent to the executors in parts of at most MAX_PART_BYTES of item
 text; a larger benchmark takes one pass per part, with term statistics over
 all items.
 
-Defined results: null text is the empty text and leaks nothing; items with
-null or fewer than MIN_ITEM_WORDS words are not searched for; equal items all
-count; repeated rows give repeated results; a column of the documents that is
+Items of fewer than MIN_ITEM_WORDS words, too short for shares of their words,
+are leaked where a text holds their whole word sequence; scores and overlaps
+are 1 then.
+
+Defined results: null text is the empty text and leaks nothing; items without
+a word (null ones too) are not searched for; equal items all count; repeated rows give repeated results; a column of the documents that is
 called like the output column is replaced; empty tables give no leaks.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -143,12 +146,21 @@ def _spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class Index:
     """Posting lists of one part of the items, with the greatest weights per list and per block."""
 
-    def __init__(self, items: list[tuple[int, str]], df: dict[str, int], n_items: int, mean_words: float):
+    def __init__(self, items: list[tuple[int, str]], df: dict[str, int], n_items: int, mean_words: float,
+                 short: Sequence[tuple[int, str]] = ()):
         self.ids = [i for i, _ in items]
         self.words = [normal_words(t) for _, t in items]
         self.starts = [answer_start(t) for _, t in items]
         self.chunk = max(map(len, self.words), default=1)
         self.terms = {w: k for k, w in enumerate(sorted(set().union(*map(set, self.words))))} if items else {}
+        # Short items by their words' numbers; words of short items only come after the terms.
+        self.numbers = dict(self.terms)
+        self.short: dict[int, dict[tuple[int, ...], list[int]]] = {}
+        self.short_ids = [i for i, _ in short]
+        for k, (_, t) in enumerate(short):
+            own = tuple(self.numbers.setdefault(w, len(self.numbers)) for w in normal_words(t))
+            self.short.setdefault(len(own), {}).setdefault(own, []).append(k)
+        self.firsts = {n: np.unique([own[0] for own in table]) for n, table in self.short.items()}
         rows = []
         for k, words in enumerate(self.words):
             tf: dict[str, int] = {}
@@ -215,6 +227,16 @@ class Index:
                 yield int(p[found // size]), int(b[found // size] * size + found % size), float(score[found])
 
 
+    def verbatim(self, numbers: np.ndarray) -> list[int]:
+        """The short items that a text, given by its words' numbers, holds."""
+        found: set[int] = set()
+        for n, table in self.short.items():
+            heads = numbers[: max(len(numbers) - n + 1, 0)]
+            for at in np.flatnonzero(np.isin(heads, self.firsts[n])):
+                found.update(table.get(tuple(numbers[at: at + n].tolist()), ()))
+        return [self.short_ids[k] for k in sorted(found)]
+
+
 class Searcher:
     """Finds the leaked items of many texts; one per task."""
 
@@ -222,31 +244,37 @@ class Searcher:
         self.index, self.term = index, Remembered(REMEMBERED, self._term)
 
     def _term(self, word: bytes) -> int:
-        """The word's term, -1 for a word that no item has, -2 for no word."""
+        """The word's number, -1 for a word that no item has, -2 for no word."""
         plain = normal(word)
-        return self.index.terms.get(plain, -1) if plain else -2
+        return self.index.numbers.get(plain, -1) if plain else -2
 
     def leaks(self, texts: list[str | None]) -> list[list[dict]]:
-        index, size = self.index, self.index.chunk
-        out: list[dict[int, dict]] = [{} for _ in texts]
-        if not index.ids:
-            return [[] for _ in texts]
         words = [words_of(t) for t in texts]
         numbers = [np.fromiter(map(self.term.__getitem__, ws), np.int64, len(ws)) for ws in words]
         plain = [np.flatnonzero(a > -2) for a in numbers]
+        found = self._scored(words, numbers, plain) if self.index.ids else [[] for _ in texts]
+        if self.index.short:
+            for out, a, i in zip(found, numbers, plain, strict=True):
+                out += [{"item_id": k, "score": 1.0, "question_overlap": 1.0, "answer_overlap": 1.0} for k in self.index.verbatim(a[i])]
+        return found
+
+    def _scored(self, words: list[list[bytes]], numbers: list[np.ndarray], plain: list[np.ndarray]) -> list[list[dict]]:
+        """The leaked items of MIN_ITEM_WORDS words or more."""
+        index, size = self.index, self.index.chunk
+        out: list[dict[int, dict]] = [{} for _ in words]
         counts = [-(-len(a) // size) for a in plain]
         first = np.concatenate([[0], np.cumsum(counts)])
         n = int(first[-1])
         if not n:
-            return [[] for _ in texts]
+            return [[] for _ in words]
         terms = np.concatenate([a[i] for a, i in zip(numbers, plain, strict=True)])
         chunks = np.concatenate([first[k] + np.arange(len(i)) // size for k, i in enumerate(plain)])
         follows = np.ones(n, bool)
         follows[[f - 1 for f, c in zip(first[1:], counts, strict=True) if c]] = False
-        inside = terms >= 0
+        inside = (terms >= 0) & (terms < len(index.terms))
         key = distinct(chunks[inside] * len(index.terms) + terms[inside])
         chunks, terms = np.divmod(key, len(index.terms))
-        doc_of = np.repeat(np.arange(len(texts)), counts)
+        doc_of = np.repeat(np.arange(len(words)), counts)
         for chunk, item, score in index.retrieve(terms, chunks, follows):
             doc = int(doc_of[chunk])
             at = chunk - int(first[doc])
@@ -267,19 +295,23 @@ def build_indexes(items: DataFrame, max_part_bytes: int = MAX_PART_BYTES) -> Ite
             lists = [normal_words(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.string()))], ["item_id", "text", "words"])
 
-    every = (items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-             .mapInArrow(cut, "item_id long, text string, words array<string>").filter(F.size("words") >= MIN_ITEM_WORDS))
-    total = every.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean"),
-                      F.sum(F.octet_length("text")).alias("bytes")).first()
+    worded = (items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+              .mapInArrow(cut, "item_id long, text string, words array<string>").filter(F.size("words") > 0))
+    long = F.size("words") >= MIN_ITEM_WORDS
+    every = worded.filter(long)
+    total = worded.agg(F.count_if(long).alias("n"), F.avg(F.when(long, F.size("words"))).alias("mean"),
+                       F.sum(F.octet_length("text")).alias("bytes")).first()
     parts = max(1, -(-(total["bytes"] or 0) // max_part_bytes))
     frequency = every.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    numbered = every.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
+    numbered = worded.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
     for part in range(parts):
-        own = numbered.filter(F.col("part") == part)
+        both = numbered.filter(F.col("part") == part)
+        own = both.filter(long)
         df = {r["word"]: r["df"] for r in own.select(F.explode(F.array_distinct("words")).alias("word")).distinct()
               .join(frequency, "word").collect()}
         rows = sorted((r["item_id"], r["text"]) for r in own.filter("item_id is not null").select("item_id", "text").collect())
-        yield Index(rows, df, total["n"], total["mean"] or 1.0)
+        short = sorted((r["item_id"], r["text"]) for r in both.filter(~long & F.col("item_id").isNotNull()).select("item_id", "text").collect())
+        yield Index(rows, df, total["n"], total["mean"] or 1.0, short)
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, keep: list[str] | None = None, text: str = "text") -> DataFrame:

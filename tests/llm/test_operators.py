@@ -368,3 +368,19 @@ def test_decontamination_finds_edited_items(spark):
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaked_pairs(docs_of(spark, texts), bench).collect()}
     assert got == expected
+
+
+def test_decontamination_finds_short_items_verbatim(spark):
+    items = ["Who wrote it? Ann.", "who wrote it ann", "blue", "One two, three four five six seven.", "long " * 20 + "item. Yes.", None, "...", "wrote it x"]
+    texts = ["he asked: WHO wrote it?\n(Ann) said", "who wrote it", "Blue", "a blue-ish sky", "x one two three four five six seven", "one two three four five six",
+             None, "", "... blue blue. who wrote it? ann!", "long " * 20 + "item yes", LONG]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    plain = [decontaminate.normal_words(t) for t in items]
+    expected = set()
+    for d, t in enumerate(texts):
+        w = decontaminate.normal_words(t)
+        expected |= {(d, k) for k, own in enumerate(plain) if own and any(w[i: i + len(own)] == own for i in range(len(w)))}
+    assert {(0, 0), (0, 1), (2, 2), (4, 3), (8, 0), (8, 1), (8, 2), (9, 4)} == expected
+    for table in (bench, bench.filter("item_id <> 4")):  # with and without an item of eight words
+        rows = decontaminate.leaked_pairs(docs_of(spark, texts), table).collect()
+        assert sorted((r["doc_id"], r["item_id"]) for r in rows) == sorted(expected if table is bench else expected - {(9, 4)})
