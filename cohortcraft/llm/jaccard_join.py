@@ -410,6 +410,18 @@ def join_components(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that are the smallest doc_id of their component (rows with null doc_id stay)."""
-    kept = join_components(docs).filter("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
+    """One row of each component: the one with the smallest doc_id, rows without one last.
+
+    Rows are told apart by a hash of all their columns, so doc_ids may repeat
+    or be null; equal rows are one row.  Texts without a shingle are like no
+    other text.
+    """
+    columns = [f"`{f.name}`" for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    keyed = docs.withColumn("__row", F.xxhash64(*(F.struct(F.col(c).isNull(), F.col(c)) for c in columns)))
+    of = join_components(keyed.select(F.col("__row").alias("doc_id"), "text")).select(
+        F.col("doc_id").alias("__row"), F.col("component_id").alias("__component")).distinct()
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row"))
+    kept = (keyed.select("__row", "doc_id").distinct().join(of, "__row").groupBy("__component").agg(best.alias("best"))
+            .select(F.col("best.__row").alias("__row")))
+    # Equal rows are combined in the map tasks.
+    return keyed.dropDuplicates(["__row"]).join(kept, "__row", "left_semi").drop("__row")

@@ -217,6 +217,15 @@ def test_jaccard_join_equals_brute_force(spark, seed):
         assert jaccard_join.join_components(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_one_of_each_keeps_one_row_of_repeated_and_null_ids(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    rows = [(1, a), (1, a), (None, a), (2, a + " x"), (3, b), (3, c), (None, c), (4, "d e"), (None, "f g"), (None, "f g"), (None, a + " y"),
+            (5, ""), (5, ""), (6, None), (None, b + " z"), (7, "d e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted((tuple(r) for r in jaccard_join.one_of_each(docs).collect()), key=str)
+    assert got == sorted([(1, a), (3, b), (3, c), (4, "d e"), (None, "f g"), (5, ""), (6, None)], key=str)
+
+
 def test_light_subsets_are_exact():
     for a in range(1, 17):
         for b in range(a, 17):
