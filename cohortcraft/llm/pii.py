@@ -6,7 +6,8 @@ one and two words before it (with their kind of spacing dropped) are its
 lexical patterns, and the distinct (pattern, instance) pairs form a graph.
 In turns, a pattern's confidence is the mean score of its instances, and an
 instance that no base kind covers gets the best confidence of its patterns.
-Instances that trustworthy patterns introduce are the further spans, of kind
+Instances of trusted patterns then count as seeds do, turn by turn, until no
+pattern is added.  Instances that trustworthy patterns introduce are the further spans, of kind
 ``context``; base spans always stay.
 
 The texts are read once; what the bootstrap needs (positions, tokens,
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text, written
+from .common import discard, whole_text, written
 from .spans import find_all, joined, labelled
 
 ROUNDS = 3
@@ -105,25 +106,44 @@ def instances(text: Column, spans: list[Column]) -> Column:
         F.exists(every, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])).alias("seed")))
 
 
-def pattern_confidence(edges: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT) -> DataFrame:
-    """Rows (pattern, confidence) of a graph of distinct (pattern, found, seed), after ``rounds`` turns.
+def pattern_confidence(edges: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT,
+                       min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """Rows (pattern, confidence) of a graph of distinct (pattern, found, seed).
 
-    A pattern needs ``min_support`` distinct seeds; its confidence is the mean
-    score of its instances, where seeds score 1 and others the best
-    confidence of their patterns in the turn before (0 at first).
+    A pattern needs ``min_support`` distinct instances that score at least
+    ``min_confidence``; its confidence is the mean score of its instances,
+    where seeds score 1 and others the best confidence of their patterns in
+    the turn before (0 at first).  After ``rounds`` turns the instances of
+    patterns with ``min_confidence`` score 1 too and no other score changes
+    any more, until a turn adds no such pattern.
     """
+    def judged(scored: DataFrame) -> DataFrame:
+        return (scored.groupBy("pattern")
+                .agg(F.avg("score").alias("confidence"), F.sum((F.col("score") >= min_confidence).cast("int")).alias("support"))
+                .filter(F.col("support") >= min_support).select("pattern", "confidence"))
+
     scored = edges.withColumn("score", F.col("seed").cast("double"))
-    for turn in range(rounds):
-        confidence = (scored.groupBy("pattern")
-                      .agg(F.avg("score").alias("confidence"), F.sum(F.col("seed").cast("int")).alias("support"))
-                      .filter(F.col("support") >= min_support).select("pattern", "confidence"))
-        if turn + 1 < rounds:
-            best = (edges.join(confidence, "pattern").filter("not seed")
-                    .groupBy("found").agg(F.max("confidence").alias("best")))
-            scored = edges.join(best, "found", "left").select(
-                "pattern", "found", "seed",
-                F.when(F.col("seed"), F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"))
-    return confidence
+    for _ in range(rounds - 1):
+        best = (edges.join(judged(scored), "pattern").filter("not seed")
+                .groupBy("found").agg(F.max("confidence").alias("best")))
+        scored = edges.join(best, "found", "left").select(
+            "pattern", "found", "seed",
+            F.when(F.col("seed"), F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"))
+    scored = written(scored, "pii-scored")
+    known = 0
+    while True:
+        confidence = written(judged(scored), "pii-patterns")
+        trusted = confidence.filter(F.col("confidence") >= min_confidence).select("pattern")
+        n = trusted.count()
+        if n == known:
+            discard(scored)
+            return confidence
+        known = n
+        accepted = scored.join(trusted, "pattern").filter("score < 1").select("found").distinct().withColumn("accepted", F.lit(1.0))
+        new = written(scored.join(accepted, "found", "left").select(
+            "pattern", "found", "seed", F.coalesce("accepted", "score").alias("score")), "pii-scored")
+        discard(scored, confidence)
+        scored = new
 
 
 def scan(docs: DataFrame, rounds: int = ROUNDS, min_confidence: float = MIN_CONFIDENCE,
@@ -137,7 +157,7 @@ def scan(docs: DataFrame, rounds: int = ROUNDS, min_confidence: float = MIN_CONF
     tokens = found.select("text_key", F.explode("instances").alias("i")).select("text_key", "i.*")
     pairs = tokens.select("found", "seed", F.explode("patterns").alias("pattern"))
     edges = written(pairs.groupBy("pattern", "found").agg(F.max("seed").alias("seed")), "pii-edges")
-    trusted = pattern_confidence(edges, rounds, min_support).filter(F.col("confidence") >= min_confidence)
+    trusted = pattern_confidence(edges, rounds, min_support, min_confidence).filter(F.col("confidence") >= min_confidence)
     unseen = tokens.filter("not seed").select("text_key", "start", "end", "found", F.explode("patterns").alias("pattern"))
     hits = unseen.join(trusted.select("pattern"), "pattern").groupBy("text_key").agg(
         F.collect_set(F.struct("start", "end", "found")).alias("spans_context"))

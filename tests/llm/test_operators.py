@@ -310,6 +310,17 @@ def test_pii_equals_plain_expressions_and_discovers(spark):
     assert pii.report(pii.scan(docs_of(spark, texts).limit(0))).count() == 0
 
 
+def test_pii_discovers_over_several_hops(spark):
+    texts = [f"please write to user{i}@mail.example now" for i in range(30)] + [f"please write to AB-777{i} now" for i in range(5)]
+    texts += [f"badge number AB-777{i} ok" for i in range(5)] + ["badge number ZZ-5551 ok", "other thing 9-99912 now"]
+    texts += [f"badge number AB-888{i} ok" for i in range(4)] + [f"please write to AB-888{i} now" for i in range(4)]
+    texts += [f"his locker AB-777{i} ok" for i in range(4)] + ["his locker ZZ-5551 ok", "his locker QQ-1234 ok"]
+    texts += [f"a thing X-100{i} seen" for i in range(9)] + ["a thing user1@mail.example seen"]
+    got = {r["doc_id"]: r["spans"] for r in pii.report(pii.scan(docs_of(spark, texts))).collect()}
+    found = {re.search(r"[A-Z]+-[0-9]+|9-99912", t)[0] for i, t in enumerate(texts) if "context" in got[i]}
+    assert found == {f"AB-{k}{i}" for k, n in ((777, 5), (888, 4)) for i in range(n)} | {"ZZ-5551", "QQ-1234"}
+
+
 # --- 9 quality rules ---------------------------------------------------------
 def test_quality_equals_brute_force(spark):
     rng = np.random.default_rng(4)
