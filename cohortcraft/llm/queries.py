@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (byte_bpe, decontaminate, jaccard_join, license_scan, pii, quality, secret_scan, toxicity, url_filter, warc)
+from . import (byte_bpe, conversation_trie, decontaminate, jaccard_join, license_scan, oracle, pii, quality, secret_scan, toxicity,
+               url_filter, warc)
 from .common import read_table
 
 #: Rank file used by the BPE query and stage, from the public tokenizers at hand.
@@ -68,20 +69,12 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.leaked_pairs(texts(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.nodes(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_secret_scans, op2_byte_bpe, op3_url_filters, op4_license_scans, op5_ngram_jaccard_join, op6_toxicity, op7_warc,
-    op8_pii, op9_quality_rules, op10_benchmark_decontamination)}
-
-#: DuckDB SQL of the queries that SQL can express; the others are tested against brute force.
-ORACLE_SQL = {
-    "op7_warc": """
-        WITH p AS (
-            SELECT page_id, sha1(coalesce(html, '')) AS payload_digest,
-                   CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes
-            FROM pages),
-        w AS (SELECT payload_digest, max(page_id) AS last_id FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
-        SELECT p.page_id, p.payload_bytes, p.payload_digest,
-               CASE WHEN w.last_id IS NOT NULL AND w.last_id <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
-               CASE WHEN w.last_id <> p.page_id THEN w.last_id END AS refers_to
-        FROM p LEFT JOIN w ON p.payload_digest = w.payload_digest AND p.payload_bytes >= 1000""",
-}
+    op8_pii, op9_quality_rules, op10_benchmark_decontamination, op13_conversation_trie)}
+
+ORACLE_SQL = {"op7_warc": oracle.OP7, "op13_conversation_trie": oracle.OP13}
