@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (byte_bpe, conversation_trie, decontaminate, jaccard_join, license_scan, oracle, pii, quality, secret_scan, toxicity,
-               url_filter, warc)
+from . import (byte_bpe, conversation_trie, decontaminate, jaccard_join, license_scan, oracle, packing, pii, quality, secret_scan,
+               toxicity, url_filter, warc)
 from .common import read_table
 
 #: Rank file used by the BPE query and stage, from the public tokenizers at hand.
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
+#: Tokenizer file used by the packing query.
+TOKENIZER_FILE = "byte_bpe_50k.json"
 
 
 def rank_file() -> tuple[str, str]:
@@ -20,6 +22,13 @@ def rank_file() -> tuple[str, str]:
     return public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN
 
 
+def tokenizer_file() -> tuple[str, str]:
+    """(path of the tokenizer file that packing uses, pre-token pattern)."""
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER_FILE), public_tokenizers.PATTERN
+
+
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").select("doc_id", "text")
 
@@ -69,12 +78,19 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.leaked_pairs(texts(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = tokenizer_file()
+    pieces = packing.pack(texts(spark, sf_dir), path, pattern)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.nodes(read_table(spark, sf_dir, "conversations"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_secret_scans, op2_byte_bpe, op3_url_filters, op4_license_scans, op5_ngram_jaccard_join, op6_toxicity, op7_warc,
-    op8_pii, op9_quality_rules, op10_benchmark_decontamination, op13_conversation_trie)}
+    op8_pii, op9_quality_rules, op10_benchmark_decontamination, op12_packing,
+    op13_conversation_trie)}
 
 ORACLE_SQL = {"op7_warc": oracle.OP7, "op13_conversation_trie": oracle.OP13}
