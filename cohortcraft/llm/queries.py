@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (byte_bpe, conversation_trie, decontaminate, jaccard_join, license_scan, oracle, packing, pii, quality, secret_scan,
-               toxicity, url_filter, warc)
+from . import (byte_bpe, collocations, conversation_trie, decontaminate, jaccard_join, license_scan, oracle, packing, pii, quality,
+               secret_scan, toxicity, url_filter, warc)
 from .common import read_table
 
 #: Rank file used by the BPE query and stage, from the public tokenizers at hand.
@@ -78,6 +78,10 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.leaked_pairs(texts(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(read_table(spark, sf_dir, "documents"))
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = tokenizer_file()
     pieces = packing.pack(texts(spark, sf_dir), path, pattern)
@@ -90,7 +94,7 @@ def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_secret_scans, op2_byte_bpe, op3_url_filters, op4_license_scans, op5_ngram_jaccard_join, op6_toxicity, op7_warc,
-    op8_pii, op9_quality_rules, op10_benchmark_decontamination, op12_packing,
+    op8_pii, op9_quality_rules, op10_benchmark_decontamination, op11_collocations, op12_packing,
     op13_conversation_trie)}
 
-ORACLE_SQL = {"op7_warc": oracle.OP7, "op13_conversation_trie": oracle.OP13}
+ORACLE_SQL = {"op7_warc": oracle.OP7, "op11_collocations": oracle.OP11, "op13_conversation_trie": oracle.OP13}
