@@ -196,7 +196,7 @@ def phrase_counts(docs: DataFrame, m: int, flags: bytes | None = None, asked: bo
                         phrases = pa.concat_arrays([phrases, pa.array([b""], pa.large_binary())])
                         counts = np.append(counts, counts.sum())
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(counts)), phrases.cast(pa.binary()).cast(pa.string()), pa.array(counts)],
+                        [pa.array([lang] * len(counts), pa.string()), phrases.cast(pa.binary()).cast(pa.string()), pa.array(counts)],
                         ["lang", "phrase", "f"])
             waiting.clear()
 

@@ -51,20 +51,21 @@ OP11 = """
                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
     p AS (SELECT lang, list_filter(string_split_regex(unnest(string_split_regex(text, '[.,;:!?\n-\r]')), '[ \t]+'), lambda x: x <> '') AS w
           FROM t),
-    g AS (SELECT lang, m.m AS m, array_to_string(w[i.i:i.i + m.m - 1], ' ') AS phrase
-          FROM p, (SELECT unnest([1, 2, 3, 4]) AS m) m, LATERAL (SELECT unnest(range(1, len(w) - m.m + 2)) AS i) i),
+    g AS (SELECT lang, 1 AS m, unnest(w) AS phrase FROM p
+          UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM p
+          UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM p
+          UNION ALL SELECT lang, 4, unnest(list_transform(range(1, len(w) - 2), lambda i:
+                                       w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) FROM p),
     c AS (SELECT lang, m, phrase, count(*)::HUGEINT AS f FROM g GROUP BY ALL),
     n AS (SELECT lang, sum(f) AS n FROM c WHERE m = 1 GROUP BY lang),
     k AS (SELECT *, string_split(phrase, ' ') AS w FROM c WHERE f >= 30 AND m > 1),
-    s AS (SELECT k.lang, k.m, k.phrase, k.f, a.f AS l, b.f AS r, cut.cut AS cut, 2000000 * k.f // (a.f + b.f) AS score
-          FROM k, (SELECT unnest([1, 2, 3]) AS cut) cut
-          JOIN c a ON a.lang = k.lang AND a.m = cut.cut AND a.phrase = array_to_string(k.w[:cut.cut], ' ')
-          JOIN c b ON b.lang = k.lang AND b.m = k.m - cut.cut AND b.phrase = array_to_string(k.w[cut.cut + 1:], ' ')
-          WHERE cut.cut < k.m),
+    h AS (SELECT *, unnest(range(1, m)) AS cut FROM k),
+    i AS (SELECT *, array_to_string(w[:cut], ' ') AS head, array_to_string(w[cut + 1:], ' ') AS tail FROM h),
+    s AS (SELECT i.lang, i.m, i.phrase, i.f, a.f AS l, b.f AS r, i.cut, 2000000 * i.f // (a.f + b.f) AS score
+          FROM i JOIN c a ON a.lang = i.lang AND a.phrase = i.head JOIN c b ON b.lang = i.lang AND b.phrase = i.tail),
     q AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
-    d AS (SELECT k.lang, array_to_string(k.w[i.i:i.i + u.u - 1], ' ') AS phrase, max(k.f) AS longer
-          FROM k, (SELECT unnest([2, 3]) AS u) u, (SELECT unnest([1, 2, 3]) AS i) i
-          WHERE u.u < k.m AND i.i + u.u - 1 <= k.m GROUP BY ALL)
+    e AS (SELECT lang, w, f, unnest([w[:2], w[2:3], w[3:], w[:3], w[2:]]) AS v FROM k),
+    d AS (SELECT lang, array_to_string(v, ' ') AS phrase, max(f) AS longer FROM e WHERE len(v) > 1 AND len(v) < len(w) GROUP BY ALL)
     SELECT q.lang, row_number() OVER (PARTITION BY q.lang ORDER BY score DESC, q.f DESC, q.phrase) AS rank, q.phrase,
            q.f::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
     FROM q JOIN n ON n.lang = q.lang LEFT JOIN d ON d.lang = q.lang AND d.phrase = q.phrase
