@@ -9,16 +9,20 @@ taken whole, as byte-level encoders do.
 
 Encoding and decoding are map-only (``mapInArrow``): no shuffle, a lost task
 is simply run again, and memory is bounded by a few hundred texts, the model
-(about 2 MB) and a cache of pre-tokens with a fixed number of entries.
+(about 2 MB) and a cache of short pre-tokens with a fixed number of entries.
+Where ids are also decoded, the same worker does both for one text after the
+other.
 
-Defined results: null text is the empty text and gives no ids; repeated rows
-give repeated results; further columns pass through unless they bear the name
+Defined results: null text is the empty text and gives no ids; a text of any
+length is encoded whole; an empty table gives no rows; repeated rows give
+repeated results; further columns pass through unless they bear the name
 of an output column, which then wins.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,7 +32,6 @@ import pyarrow as pa
 import regex
 import sentencepiece
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import REMEMBERED, Remembered, slices, small_batches, whole_text
 
@@ -124,34 +127,77 @@ def decoder(path: str) -> Decoder:
     return Decoder(read_ranks(path))
 
 
-def _mapped(df: DataFrame, source: str, target: str, kind: pa.DataType, sql_type: str, make) -> DataFrame:
-    """``df`` with column ``target`` made by ``make()(value)`` from ``source``."""
-    kept = [c for c in df.columns if c not in (source, target)]
-    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept), f"`{target}` {sql_type}"])
+def _mapped(df: DataFrame, source: str, targets: dict[str, tuple[pa.DataType, str]], make) -> DataFrame:
+    """``df`` with the columns ``targets`` made by ``make()(value)``, a tuple, from ``source``, which goes unless it is a target."""
+    kept = [c for c in df.columns if c != source and c not in targets]
+    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept),
+                        *(f"`{c}` {kind}" for c, (_, kind) in targets.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = make()
         for batch in slices(batches):
-            values = pa.array([one(v) for v in batch.column(source).to_pylist()], kind)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), values], [*kept, target])
+            rows = [one(v.as_py()) for v in batch.column(source)]
+            made = [pa.array([r[i] for r in rows], kind) for i, (kind, _) in enumerate(targets.values())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made], [*kept, *targets])
 
     return small_batches(df).select(*kept, source).mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """``docs`` with ``ids`` (binary, little-endian u32) in place of the text, and ``n_tokens``."""
-    texts = docs.withColumn(text, whole_text(text)).drop("ids", "n_tokens")
-    out = _mapped(texts, text, "ids", pa.binary(), "binary", lambda: encoder(path, pattern).encode)
-    return out.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
+    def make():
+        ids_of = encoder(path, pattern).encode
+        return lambda value: (lambda ids: (len(ids) // 4, ids))(ids_of(value))
+
+    texts = docs.withColumn(text, whole_text(text))
+    return _mapped(texts, text, {"n_tokens": (pa.int64(), "long"), "ids": (pa.binary(), "binary")}, make)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded`` with ``decoded`` (the bytes the ids stand for) in place of ``ids``."""
-    return _mapped(encoded, "ids", "decoded", pa.binary(), "binary", lambda: decoder(path).decode)
+    def make():
+        decoded = decoder(path).decode
+        return lambda ids: (decoded(ids),)
+
+    return _mapped(encoded, "ids", {"decoded": (pa.binary(), "binary")}, make)
+
+
+def _round(path: str, pattern: str):
+    """A text's ids, and the bytes that they decode to: encoded and decoded by one worker, one text at a time."""
+    encoded, decoded = encoder(path, pattern).encode, decoder(path).decode
+
+    def one(text: str) -> tuple[bytes, bytes]:
+        ids = encoded(text)
+        return ids, decoded(ids)
+
+    return one
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """Per document: n_tokens and the SHA-256 of its ids and of the bytes decoded from them."""
-    encoded = encode(docs, path, pattern, text)
-    hashed = encoded.withColumn("ids_sha256", F.sha2("ids", 256))
-    return decode(hashed, path).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
+    def make():
+        both = _round(path, pattern)
+
+        def one(value: str):
+            ids, decoded = both(value)
+            return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
+
+        return one
+
+    targets = {"n_tokens": (pa.int64(), "long"), "ids_sha256": (pa.string(), "string"), "decoded_sha256": (pa.string(), "string")}
+    return _mapped(docs.withColumn(text, whole_text(text)), text, targets, make)
+
+
+def encode_checked(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """As :func:`encode`, with ``decodes``: whether the ids decode to the text's bytes."""
+    def make():
+        both = _round(path, pattern)
+
+        def one(value: str):
+            ids, decoded = both(value)
+            return len(ids) // 4, ids, decoded == value.encode()
+
+        return one
+
+    targets = {"n_tokens": (pa.int64(), "long"), "ids": (pa.binary(), "binary"), "decodes": (pa.bool_(), "boolean")}
+    return _mapped(docs.withColumn(text, whole_text(text)), text, targets, make)

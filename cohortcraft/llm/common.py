@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,9 @@ from pyspark.sql import functions as F
 SPACES = b" \t\n\r\x0b\x0c"
 #: Rows of an Arrow batch, at most.
 BATCH = 1000
-#: Words or pre-tokens that a Python worker remembers, per generation.
+#: Words or pre-tokens that a Python worker remembers, and their greatest length.
 REMEMBERED = 100_000
+KEY_LENGTH = 48
 #: Rows handled at a time inside a Python task.
 SLICE = 256
 
@@ -103,31 +105,25 @@ def small_batches(df: DataFrame) -> DataFrame:
 
 
 class Remembered(dict):
-    """A bounded memory of computed values: two generations of at most ``size`` entries.
+    """A memory of computed values of at most ``size`` keys of at most KEY_LENGTH; when it is full, the older half goes.
 
-    What is asked for again moves to the young generation; when that is full
-    it becomes the old one, and what nobody asked for is forgotten.
+    Longer keys (whole runs without a space, encoded data) are computed each
+    time, so the memory is bounded in bytes.
     """
 
-    def __init__(self, size: int, compute=None):
+    def __init__(self, size: int, compute):
         super().__init__()
-        self.size, self.compute, self.old = size, compute, {}
+        self.size, self.compute = size, compute
 
     def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            if self.compute is None:
-                raise KeyError(key)
-            value = self.compute(key)
-        self.keep(key, value)
+        value = self.compute(key)
+        if len(key) <= KEY_LENGTH:
+            if len(self) >= self.size:
+                for old in list(islice(self, self.size // 2)):
+                    del self[old]
+            self[key] = value
         return value
 
-    def keep(self, key, value) -> None:
-        if len(self) >= self.size:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-
 
 def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut to at most ``size`` rows, which bounds what a task holds."""
