@@ -43,11 +43,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids (little-endian u32) and whether the ids decode to the text."""
     path, pattern = rank_file()
-    digest = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)
-    encoded = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text", digest.alias("text_sha256")), path, pattern)
-    decoded = byte_bpe.decode(encoded.withColumn("kept_ids", F.col("ids")), path)
-    return decoded.select("doc_id", "lang", "source", "n_tokens", F.col("kept_ids").alias("ids"),
-                          (F.sha2("decoded", 256) == F.col("text_sha256")).alias("decodes"))
+    encoded = byte_bpe.encode_checked(docs.select("doc_id", "lang", "source", "text"), path, pattern)
+    return encoded.select("doc_id", "lang", "source", "n_tokens", "ids", "decodes")
 
 
 STAGES = [
