@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, whole_text, written
-from .spans import find_all, joined, labelled
+from .spans import find_all, joined, labelled, let, touching
 
 ROUNDS = 3
 MIN_CONFIDENCE = 0.8
@@ -99,11 +99,12 @@ def _patterns(before: Column) -> Column:
 
 def instances(text: Column, spans: list[Column]) -> Column:
     """Identifier-like tokens: (start, end, found, patterns, seed); seed: they touch a base span."""
-    every = F.concat(*spans)
-    return F.transform(find_all(text, INSTANCE), lambda s: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"), s["found"].alias("found"),
-        _patterns(F.substring(text, F.greatest(s["start"] - REACH, F.lit(0)) + 1, F.least(s["start"], F.lit(REACH)))).alias("patterns"),
-        F.exists(every, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])).alias("seed")))
+    def described(tokens: Column) -> Column:
+        return F.zip_with(tokens, touching(tokens, F.concat(*spans)), lambda s, seed: F.struct(
+            s["start"].alias("start"), s["end"].alias("end"), s["found"].alias("found"),
+            _patterns(s["before"]).alias("patterns"), seed.alias("seed")))
+
+    return let(find_all(text, INSTANCE, context=REACH), described)
 
 
 def pattern_confidence(edges: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT,
