@@ -141,19 +141,19 @@ def _step_table(cp: DataFrame) -> DataFrame:
 def _assembled(cp: DataFrame) -> DataFrame:
     """Every period metric from the step table in one chain, no joins.
 
-    RANGE frames over the (tiny, single-partition) step table give each row
-    the previous and next *observed* period.  Each row then emits two
+    The step table is the matrix of transitions between periods; each of its
+    rows finds the previous and next *observed* period by its period's place
+    in the array of all periods (a scalar subquery over the same table, whose exchange is reused), so its
+    up to 2 x P^3 rows stay where they are: no window over them, nothing in
+    one task but the P periods.  Each row then emits two
     records: one labelled with its own period (totals, new and existing
     customers) and one labelled with the next observed period (customers
     lost there); a single ``groupBy(label)`` adds them up.  The period's own
     previous period travels along as ``label_prev`` (for the record labelled
     with the next period it is the row's own period).
     """
-    t = _step_table(cp)
-    before = Window.orderBy("period").rangeBetween(Window.unboundedPreceding, -1)
-    after = Window.orderBy("period").rangeBetween(1, Window.unboundedFollowing)
-    t = _flags(t.withColumn("prev_period", F.max("period").over(before))
-                .withColumn("next_period", F.min("period").over(after)))
+    steps = _step_table(cp)
+    t = _flags(_with_spine(steps, steps))
     money = "decimal(38,2)"
     none_m = F.lit(None).cast(money)
     zero_n = F.lit(0).cast("bigint")

@@ -287,14 +287,14 @@ FROM range(0, 50) e CROSS JOIN w LEFT JOIN (
 WITH s AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi, stddev_samp(o_totalprice) AS sd,
                   count(o_totalprice) AS n FROM orders),
 p AS (SELECT lo, hi, n, (hi - lo) / 1000 AS width, sd * pow(CAST(n AS DOUBLE), -0.2) AS h, (hi - lo) / 99 AS step FROM s),
-c AS (SELECT CAST(coalesce(least(floor((o_totalprice - lo) / nullif(width, 0)), 999), 0) AS INTEGER) AS bin, count(*) AS c
-      FROM orders, p WHERE o_totalprice IS NOT NULL GROUP BY 1),
+v AS (SELECT coalesce((o_totalprice - lo) / nullif(width, 0), 0) AS t FROM orders, p WHERE o_totalprice IS NOT NULL),
+u AS (SELECT CAST(least(floor(t), 999) AS INTEGER) AS cell, t - least(floor(t), 999) AS part FROM v),
+e AS (SELECT j, sum(m) AS m FROM (SELECT cell AS j, 1 - part AS m FROM u UNION ALL SELECT cell + 1, part FROM u) GROUP BY j),
 g AS (SELECT CAST(range AS INTEGER) AS g FROM range(0, 100))
 SELECT g.g AS point, round(lo + g.g * step, 6) AS x,
-       round(sum(c.c * exp(-0.5 * ((lo + g.g * step) - (lo + (c.bin + 0.5) * width)) / h
-                           * ((lo + g.g * step) - (lo + (c.bin + 0.5) * width)) / h)
-                 / (h * n * sqrt(2 * pi()))), 12) AS density
-FROM g, c, p GROUP BY g.g, lo, step""",
+       round(sum(CASE WHEN abs((lo + g.g * step) - (lo + e.j * width)) <= 8 * h
+                 THEN e.m * exp(-0.5 * pow(((lo + g.g * step) - (lo + e.j * width)) / h, 2)) / (h * n * sqrt(2 * pi())) ELSE 0 END), 12) AS density
+FROM g, e, p GROUP BY g.g, lo, step""",
     "normal_fit": """
 WITH r AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi, avg(o_totalprice) AS mu,
                   stddev_pop(o_totalprice) AS sigma FROM orders),
@@ -348,6 +348,45 @@ model AS (
  FROM best, tot),
 m1 AS (SELECT alpha, w, my - w*mx AS b FROM model)"""
 
+# --- correlations over the rows where both columns have a value ---------------
+RAW_NUMS = ["interest_rate", "term", "loan_amount", "emp_length", "annual_income", "debt_to_income", "annual_income_joint",
+            "debt_to_income_joint", "months_since_90d_late", "months_since_last_delinq", "months_since_last_credit_inquiry",
+            "open_credit_lines", "num_satisfactory_accounts", "delinq_2y", "num_collections_last_12m", "tax_liens", "installment"]
+
+
+def _pair(a: str, b: str) -> str:
+    own = "var_pop(CASE WHEN {1} IS NOT NULL THEN CAST({0} AS DOUBLE) END)"
+    return (f"CASE WHEN coalesce({own.format(a, b)}, 0) = 0 OR coalesce({own.format(b, a)}, 0) = 0 THEN NULL "
+            f"ELSE corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) END AS \"{a}|{b}\"")
+
+
+SQL["correlation_pairwise"] = _w("""
+, cm AS (SELECT """ + ", ".join(_pair(a, b) for a in RAW_NUMS for b in RAW_NUMS) + """ FROM raw)""", """
+SELECT split_part(name, '|', 1) AS var1, split_part(name, '|', 2) AS var2, round(v, 6) AS corr
+FROM cm UNPIVOT INCLUDE NULLS (v FOR name IN (COLUMNS(*)))""")
+
+# --- the whole of lineitem, column by column -----------------------------------
+LINEITEM = [("l_orderkey", "integer"), ("l_partkey", "integer"), ("l_suppkey", "integer"), ("l_linenumber", "integer"),
+            ("l_quantity", "float"), ("l_extendedprice", "float"), ("l_discount", "float"), ("l_tax", "float"),
+            ("l_returnflag", "text"), ("l_linestatus", "text"), ("l_shipdate", "timestamp")]
+
+
+def _column(i: int, c: str, family: str) -> str:
+    if family in ("integer", "float"):
+        x = f"CAST({c} AS DOUBLE)"
+        own = (f"count_if({c} = 0) AS n_zero, round(count_if({c} = 0) * 100.0::DOUBLE / count(*), 6) AS pct_zero, round(avg({x}), 6) AS mean, "
+               f"round(stddev_samp({x}), 6) AS std, min({x}) AS min, " + ", ".join(
+                   f"round(quantile_cont({x}, {q}), 6) AS q{int(100 * q)}" for q in (0.25, 0.5, 0.75))
+               + f", max({x}) AS max, NULL::VARCHAR AS min_text, NULL::VARCHAR AS max_text")
+    else:
+        own = ("NULL::BIGINT, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, "
+               f"CAST(min({c}) AS VARCHAR), CAST(max({c}) AS VARCHAR)")
+    return (f"SELECT '{c}' AS column_name, {i} AS ordinal, '{family}' AS dtype_family, count(*) AS n_rows, count({c}) AS n_non_null, "
+            f"count(*) - count({c}) AS n_missing, round((count(*) - count({c})) * 100.0::DOUBLE / count(*), 6) AS pct_missing, {own} FROM lineitem")
+
+
+SQL["describe_table"] = "\nUNION ALL ".join(_column(i + 1, c, f) for i, (c, f) in enumerate(LINEITEM))
+
 SQL.update({
     "ridge_one_feature": _w(RIDGE1, """
 SELECT alpha, round(w, 6) AS coefficient, round(b, 6) AS intercept FROM m1"""),
@@ -367,7 +406,19 @@ cum AS (SELECT bucket, sum(n) OVER w AS n, sum(sx) OVER w AS sx, sum(sy) OVER w
         FROM bs WINDOW w AS (ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 te AS (SELECT count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x*x) AS sxx, sum(x*y) AS sxy, sum(y*y) AS syy
        FROM d WHERE is_test),
-cf AS (SELECT cum.*, (sxy - sx*sy/n) / (sxx - sx*sx/n + (SELECT alpha FROM m1)) AS w FROM cum WHERE n >= 2),
+pf AS (SELECT p.bucket AS p, bs.bucket % 10 AS fold, sum(bs.n) AS n, sum(bs.sx) AS sx, sum(bs.sy) AS sy, sum(bs.sxx) AS sxx,
+              sum(bs.sxy) AS sxy, sum(bs.syy) AS syy
+       FROM bs p JOIN bs ON bs.bucket <= p.bucket GROUP BY 1, 2),
+pt AS (SELECT bucket AS p, n AS tn, sx AS tx, sy AS ty, sxx AS txx, sxy AS txy FROM cum),
+pw AS (SELECT pf.*, alpha, tn - n AS rn, tx - sx AS rx, ty - sy AS ry,
+              ((txy - sxy) - (tx - sx)*(ty - sy)/(tn - n)) / ((txx - sxx) - (tx - sx)*(tx - sx)/(tn - n) + alpha) AS w
+       FROM pf JOIN pt USING (p), al WHERE tn - n >= 2),
+pr AS (SELECT p, alpha, avg(CASE WHEN syy - sy*sy/n > 0 THEN
+              1 - (syy - 2*b*sy - 2*w*sxy + n*b*b + 2*b*w*sx + w*w*sxx) / (syy - sy*sy/n) END) AS r2
+       FROM (SELECT *, ry/rn - w*rx/rn AS b FROM pw) GROUP BY p, alpha),
+pa AS (SELECT cum.bucket AS p, al.alpha FROM cum, al LEFT JOIN pr ON pr.p = cum.bucket AND pr.alpha = al.alpha
+       QUALIFY row_number() OVER (PARTITION BY cum.bucket ORDER BY coalesce(pr.r2, 0) DESC, al.alpha) = 1),
+cf AS (SELECT cum.*, (sxy - sx*sy/n) / (sxx - sx*sx/n + pa.alpha) AS w FROM cum JOIN pa ON pa.p = cum.bucket WHERE n >= 2),
 cm AS (SELECT *, sy/n - w*sx/n AS b FROM cf)""",
 """
 SELECT CAST(cm.n AS BIGINT) AS n_train,

@@ -145,3 +145,11 @@ SELECT period AS year, CAST(sum(revenue) AS DOUBLE) AS net_revenue, false AS is_
 UNION ALL
 SELECT NULL, CAST(sum(revenue) AS DOUBLE), true FROM cp""", CP),
 }
+
+# The same table from a fact bucketed by customer; counts of sketches, exact below 2^16 customers in two periods.
+SQL["retention_bucketed"] = SQL["retention_summary"]
+SQL["sketched_changes"] = _with("""
+SELECT period AS year, CAST(total_customers AS BIGINT) AS total_customers, CAST(new_customers AS BIGINT) AS new_customers,
+       CAST(lost_customers AS BIGINT) AS lost_customers, CAST(total_customers - new_customers AS BIGINT) AS existing_customers,
+       CAST(0 AS DOUBLE) AS standard_error
+FROM m WHERE prev_period IS NOT NULL""")

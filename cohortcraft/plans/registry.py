@@ -6,6 +6,7 @@ views of ``cohortcraft.sources``) and runs over all of their rows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +18,11 @@ from ..operators import clean as C
 from ..operators import features as M
 from ..operators import profile as P
 from ..operators import retention as R
+from ..operators import sketches as K
+from ..operators import summaries as S
 from ..session import written
 from ..sources import customer_period_from_orders, loan_like, test_table
+from ..sources.bucketed import write_fact
 from . import loan_models as LM
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +36,23 @@ def _cp(fn) -> Query:
     return q
 
 
+def _bucketed_summary(cp: DataFrame) -> DataFrame:
+    """The retention table from a fact bucketed by customer: no exchange on the customer after the write."""
+    spark = cp.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return R.summary(write_fact(cp, f"fact_{uuid.uuid4().hex}", buckets))
+
+
+def _sketched_changes(cp: DataFrame) -> DataFrame:
+    """New, lost and existing customers from one stored sketch per period."""
+    return K.estimated_changes(written(K.period_sketches(cp)))
+
+
+def _described_table(df: DataFrame) -> DataFrame:
+    """All columns of a table: a stored one-scan summary, then exact quartiles."""
+    return S.described(written(S.summarise(df)), df)
+
+
 RETENTION: dict[str, Query] = {
     "retention_summary": _cp(R.summary),
     "revenue_by_period": _cp(R.revenue_by_period),
@@ -54,6 +75,8 @@ RETENTION: dict[str, Query] = {
     "distinct_customers": _cp(R.distinct_counts),
     "loyalty_distribution": _cp(R.loyalty),
     "revenue_rollup": _cp(R.revenue_rollup),
+    "retention_bucketed": _cp(_bucketed_summary),
+    "sketched_changes": _cp(_sketched_changes),
 }
 
 
@@ -177,6 +200,7 @@ LOANS: dict[str, Query] = {
     "describe_text": _loans(lambda d: P.describe_text(C.loans_cleaned(d),
                                                       P.text_columns(C.loans_cleaned(d), exclude=("loan_id",)))),
     "correlation_matrix": _loans(lambda d: _correlations(written(C.loans_cleaned(d)))),
+    "correlation_pairwise": _loans(lambda d: P.correlations(d, [c for c in _numeric_no_split(d) if c != "issue_month"])),
     "target_correlation": _loans(lambda d: _target_correlation(written(C.loans_cleaned(d)))),
     "mean_by_grade": _loans(lambda d: P.means_by(C.loans_with_ratio(d), "grade",
                                                  _numeric_no_split(C.loans_with_ratio(d)))),
@@ -197,6 +221,7 @@ ORDERS: dict[str, Query] = {
     "histogram": _orders(lambda o: P.histogram(o, "o_totalprice", 50)),
     "density_curve": _orders(lambda o: P.density(o, "o_totalprice")),
     "normal_fit": _orders(lambda o: P.normal_fit(o, "o_totalprice", 50)),
+    "describe_table": lambda spark, sf_dir: _described_table(test_table(spark, sf_dir, "lineitem")),
     "box_stats": _orders(lambda o: P.box_stats(_with_year(o), "o_totalprice", by="year")),
 }
 

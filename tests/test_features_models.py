@@ -85,7 +85,7 @@ def test_learning_curve_grows(spark):
     rng = np.random.default_rng(3)
     rows = [(str(i), float(x), float(2 * x + rng.normal())) for i, x in enumerate(rng.normal(size=400))]
     df = M.split(spark.createDataFrame(rows, "loan_id string, a double, y double"))
-    curve = N.learning_curve(df, ["a"], "y", "loan_id", "is_test", 1.0)
+    curve = N.learning_curve(df, ["a"], "y", "loan_id", "is_test", (1.0,))
     ns = [c[0] for c in curve]
     assert ns == sorted(ns) and ns[-1] == df.filter(~F.col("is_test")).count()
     assert all(c[1] > 0 and c[2] > 0 for c in curve)
@@ -103,8 +103,6 @@ def test_small_tree_models_fit(spark):
         assert r2 > 0.9
         imp = N.importances(model, ["a", "b"])
         assert imp[-1][0] == "a"
-    best, table = N.grid_search(N.forest(), {"numTrees": [2, 4], "maxDepth": [2]}, data, folds=2)
-    assert len(table) == 2
 
 
 @pytest.mark.skipif(not os.path.exists(SF001), reason="test data")
@@ -159,3 +157,75 @@ def test_distributed_codes_match_sorted_order(spark):
     for col, vs in (("x", vals), ("y", vals[:37])):
         for i, v in enumerate(sorted(vs, key=lambda s: s.encode("utf-8"))):
             assert got[(col, v)] == i
+
+
+def _noisy(spark, n=240, seed=11):
+    rng = np.random.default_rng(seed)
+    X = rng.normal(size=(n, 3))
+    y = X @ [1.0, -2.0, 0.5] + np.where(X[:, 0] > 0, 2.0, 0.0) + rng.normal(size=n)
+    df = spark.createDataFrame([(f"k{i}", *map(float, r), float(t)) for i, (r, t) in enumerate(zip(X, y))],
+                               "loan_id string, a double, b double, c double, label double")
+    return VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(df).cache()
+
+
+def test_grid_sizes_equal_separate_fits(spark):
+    """Every size of a nested ensemble scores as an ensemble fitted with that size."""
+    data = _noisy(spark)
+    fold = N.bucket_hash("loan_id", 100) % 2
+    for est, grid, sized in ((N.gbt(), {"maxIter": [6, 2], "maxDepth": [2, 3]}, "maxIter"),
+                             (N.forest(bootstrap=False), {"numTrees": [1, 3], "maxDepth": [2, 4]}, "numTrees")):
+        table = N.grid_search(est, grid, data, "loan_id", folds=2)
+        assert len(table) == 4
+        for params, score in table:
+            r2s = [N.metrics(est.fit(data.filter(fold != f), {est.getParam(k): v for k, v in params.items()})
+                             .transform(data.filter(fold == f)), "label").first()["r2"] for f in range(2)]
+            assert abs(score - np.mean(r2s)) < 1e-9, params
+    # a bootstrapped forest: the last size is the fitted model itself, the others the means of its first trees
+    model = N.forest(numTrees=5, maxDepth=4).fit(data)
+    staged = {r["n_trees"]: r for r in N.staged_scores(model, data, "label", [2, 5]).collect()}
+    whole = N.metrics(model.transform(data), "label").first()
+    assert abs(staged[5]["r2"] - whole["r2"]) < 1e-9 and abs(staged[5]["rmse"] - whole["rmse"]) < 1e-9
+    rows = data.select("features", "label").collect()
+    first = [np.mean([t.predict(r["features"]) for t in model.trees[:2]]) for r in rows]
+    assert abs(staged[2]["rmse"] - np.sqrt(np.mean([(p - r["label"]) ** 2 for p, r in zip(first, rows)]))) < 1e-9
+
+
+def test_every_prefix_chooses_its_own_penalty(spark):
+    """The curve against refits of each prefix, fold and penalty on the rows themselves."""
+    rng = np.random.default_rng(21)
+    n, names = 400, [f"f{i}" for i in range(12)]
+    X = rng.normal(size=(n, 12))
+    y = X @ rng.normal(size=12) * 0.3 + 3 * rng.normal(size=n)
+    df = M.split(spark.createDataFrame([(f"k{i}", *map(float, r), float(t)) for i, (r, t) in enumerate(zip(X, y))],
+                                       ", ".join(["loan_id string", *(f"{c} double" for c in names), "y double"])))
+    rows = df.withColumn("b", N.bucket_hash("loan_id", 100)).collect()
+    x = np.array([[r[c] for c in names] for r in rows])
+    t, b, test = (np.array([r[c] for r in rows]) for c in ("y", "b", "is_test"))
+
+    def fitted(keep, alpha):
+        mx, my = x[keep].mean(0), t[keep].mean()
+        xc = x[keep] - mx
+        w = np.linalg.solve(xc.T @ xc + alpha * np.eye(12), xc.T @ (t[keep] - my))
+        return lambda at: (x[at] - mx) @ w + my
+
+    alphas = (0.1, 10.0, 1000.0)
+    want = []
+    for last in sorted(set(b[~test])):
+        keep = ~test & (b <= last)
+        if keep.sum() < 2:
+            continue
+        means = []
+        for alpha in alphas:
+            r2s = []
+            for f in sorted(set(b[keep] % 10)):
+                out, held = keep & (b % 10 != f), keep & (b % 10 == f)
+                sst = ((t[held] - t[held].mean()) ** 2).sum()
+                if out.sum() >= 2 and sst > 0:
+                    r2s.append(1 - ((t[held] - fitted(out, alpha)(held)) ** 2).sum() / sst)
+            means.append(np.mean(r2s) if r2s else 0.0)
+        alpha = alphas[int(np.argmax(means))]
+        predict = fitted(keep, alpha)
+        want.append((int(keep.sum()), np.sqrt(np.mean((t[keep] - predict(keep)) ** 2)), np.sqrt(np.mean((t[test] - predict(test)) ** 2)), alpha))
+    got = N.learning_curve(df, names, "y", "loan_id", "is_test", alphas)
+    assert len({a for *_, a in got}) > 1
+    assert np.allclose(got, want, rtol=1e-7)
