@@ -3,21 +3,26 @@
 Features are a document's distinct words and the beginnings of those,
 hashed.  The model is a logistic regression with an L1 and a small
 L2 penalty, so that the score of a long text isn't the sum of many small
-accidents, and with a
-counterfactual term: in the labelled texts every identity term is swapped for
-the other terms of its group and the squared change of the score is
-penalised.  A neutral mention of a group then moves the score as little as
-any other group's.
+accidents, and with a counterfactual term: in every labelled text each
+identity term is swapped for each other term of its group, and the squared
+change of the text's score is penalised.  A neutral mention of a group then
+moves the score as little as any other group's.  The swapped texts are Spark
+rows: what a swap takes from and adds to the features of the very text.
 
 The fit takes at most MAX_FIT_DOCS labelled rows (by hash of doc_id, half of
-them toxic where there are enough); it runs on the driver over their hashed
-features only.  Scoring is map-only over every whole text.
+them toxic where there are enough).  Their features are written once; Spark
+counts them, and the driver receives of each text only the features that
+toxic texts hold more often than chance has it (normal score MIN_SCORE, at
+least MIN_DOCS texts) and those of swapped terms, which are always kept.
+Scoring is map-only over every whole text.
 
 Defined results: null text is the empty text and is scored with no features;
 labels with a null id or a null mark are not used; a document labelled twice
-counts as toxic if one of the rows says so; without labels of both classes
-every score is 0; other columns of the input pass through in :func:`score`
-unless they bear the name of an output column.
+counts as toxic if one of the rows says so; of documents with the same id one
+is used; without labels of both classes (an empty table too) every score is 0;
+a score of exactly the threshold is predicted 1; texts of any length are read
+whole; repeated rows give repeated results; other columns of the input pass
+through in :func:`score` unless they bear the name of an output column.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import REMEMBERED, Remembered, slices, small_batches, whole_text
+from .common import REMEMBERED, Remembered, slices, small_batches, whole_text, written
 
 #: Labelled rows used for the fit, at most.
 MAX_FIT_DOCS = 8000
@@ -42,16 +47,15 @@ MIN_DOCS = 4
 FEATURE_BITS = 30
 #: Lengths of the beginnings of words that are features too.
 BEGINNINGS = (4, 6)
-#: Features tried are those with at least this normal score, and at most so many.
+#: Features tried are those with at least this normal score.
 MIN_SCORE = 3.0
-MAX_FEATURES = 8192
 THRESHOLD = 0.7
 L1 = 1e-5
 #: The squared penalty shares a weight among features that occur together.
 L2 = 1e-5
 COUNTERFACTUAL = 1.0
 STEPS = 1000
-#: Groups of terms that may be swapped for one another.
+#: Groups of terms that may be swapped for one another, in the four languages of the documents (fixed values).
 IDENTITY_TERMS = (
     ("women", "men", "girls", "boys"),
     ("woman", "man", "girl", "boy"),
@@ -61,6 +65,24 @@ IDENTITY_TERMS = (
     ("gay", "lesbian", "straight", "bisexual", "transgender"),
     ("immigrants", "refugees", "natives", "locals", "foreigners"),
     ("old", "young", "elderly", "disabled"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("femme", "homme", "fille", "garçon"),
+    ("chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées"),
+    ("noirs", "blancs", "asiatiques", "arabes", "africains", "européens"),
+    ("gays", "lesbiennes", "hétéros", "bisexuels", "transgenres"),
+    ("immigrés", "réfugiés", "étrangers"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("frau", "mann"),
+    ("christen", "muslime", "juden", "hindus", "buddhisten", "atheisten"),
+    ("schwarze", "weiße", "asiaten", "araber", "afrikaner", "europäer"),
+    ("schwule", "lesben", "heteros", "bisexuelle", "transgender"),
+    ("einwanderer", "flüchtlinge", "ausländer", "einheimische"),
+    ("mujeres", "hombres", "chicas", "chicos"),
+    ("mujer", "hombre", "chica", "chico"),
+    ("cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos"),
+    ("negros", "blancos", "asiáticos", "árabes", "africanos", "europeos"),
+    ("gais", "lesbianas", "heterosexuales", "bisexuales", "transexuales"),
+    ("inmigrantes", "refugiados", "extranjeros", "nativos"),
 )
 # [^\W\d_] is a letter: words are runs of letters, so that "idiot," and "idiot" are one word.
 _WORD = re.compile(r"[^\W\d_]+").findall
@@ -98,16 +120,34 @@ class Model:
         return 0.0 if z < -700 else 1 / (1 + math.exp(-z))
 
 
-def identity_swaps(groups=IDENTITY_TERMS) -> list[tuple[str, str]]:
-    return [(a, b) for group in groups for a in group for b in group if a != b]
+def others_of(groups=IDENTITY_TERMS) -> dict[str, set[str]]:
+    """For each identity term, the terms that it may be swapped for."""
+    found: dict[str, set[str]] = {}
+    for group in groups:
+        for term in group:
+            found.setdefault(term, set()).update(t for t in group if t != term)
+    return found
 
 
-def fit(rows: list[np.ndarray], toxic: np.ndarray, l1: float = L1, l2: float = L2, counterfactual: float = COUNTERFACTUAL,
-        groups=IDENTITY_TERMS, steps: int = STEPS, min_docs: int = MIN_DOCS) -> Model:
+def swapped(text: str, others: dict[str, set[str]]) -> list[tuple[list[int], list[int]]]:
+    """What each swap of a term in the text takes from and adds to the text's features."""
+    words = distinct_words(text)
+    found = []
+    for term in sorted(words & others.keys()):
+        rest = {f for w in words if w != term for f in word_features(w)}
+        gone = sorted(set(word_features(term)) - rest)
+        for other in sorted(others[term]):
+            new = set(word_features(other))
+            found.append((sorted(set(gone) - new), sorted(new - rest - set(gone))))
+    return found
+
+
+def fit(rows: list[np.ndarray], toxic: np.ndarray, changes: list[tuple[list[int], list[int]]] = (), l1: float = L1, l2: float = L2,
+        counterfactual: float = COUNTERFACTUAL, steps: int = STEPS, min_docs: int = MIN_DOCS) -> Model:
     """Accelerated proximal gradient on the mean log-loss, the counterfactual term, L1 and L2.
 
-    A swap a -> b changes the score by w.(f(b) - f(a)); its square counts once
-    for every labelled text that holds a, divided by the number of texts.
+    ``changes`` holds (features taken, features added) of every swapped text; the
+    squares of their scores' changes are added up and divided by the number of texts.
     """
     y = np.asarray(toxic, float)
     if not len(y) or y.min() == y.max():
@@ -115,37 +155,29 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, l1: float = L1, l2: float = L
     n = len(rows)
     even = np.where(y == 1, 1 / (2 * y.mean()), 1 / (2 * (1 - y.mean())))  # both classes weigh the same
     row = np.repeat(np.arange(n), [len(r) for r in rows])
-    names, col = np.unique(np.concatenate(rows) if row.size else np.zeros(0, np.int32), return_inverse=True)
+    in_swaps = sorted({f for gone, new in changes for f in (*gone, *new)})
+    features_held = np.concatenate(rows) if row.size else np.zeros(0, np.int32)
+    names, col = np.unique(np.concatenate([features_held, np.array(in_swaps, features_held.dtype)]), return_inverse=True)
+    col = col[: len(features_held)]
     counts = np.bincount(col, minlength=len(names))
-    # Features of a toxic text more often than chance has it, by the normal score of a 2x2 table.
-    chance = counts * y.mean()
-    z = (np.bincount(col, weights=y[row], minlength=len(names)) - chance) / np.sqrt(np.maximum(chance * (1 - y.mean()), 1e-9))
-    swappable = {f for a, b in identity_swaps(groups) for f in word_features(a) + word_features(b)}
-    chosen = ((counts >= min_docs) & (z >= MIN_SCORE)) | np.isin(names, list(swappable))
-    if chosen.sum() > MAX_FEATURES:
-        chosen &= z >= np.sort(z[chosen])[-MAX_FEATURES]
+    z = normal_score(counts, np.bincount(col, weights=y[row], minlength=len(names)), y.mean())
+    chosen = ((counts >= min_docs) & (z >= MIN_SCORE)) | np.isin(names, in_swaps)
     keep = chosen[col]
     row, col, names = row[keep], (np.cumsum(chosen) - 1)[col[keep]], names[chosen]
     k, at = len(names), {int(f): i for i, f in enumerate(names)}
-    occurs = np.bincount(col, minlength=k)
-    # One entry per swap whose term occurs in a labelled text.
-    swaps = []
-    for a, b in identity_swaps(groups):
-        place = at.get(word_features(a)[0])
-        if place is not None and occurs[place]:
-            minus, plus = set(word_features(a)), set(word_features(b))
-            swaps.append((occurs[place] / n, [at[f] for f in plus - minus if f in at],
-                          [at[f] for f in minus - plus if f in at]))
+    # One entry per swapped text and feature that changes.
+    swap = np.repeat(np.arange(len(changes)), [len(gone) + len(new) for gone, new in changes])
+    changed = np.array([at[f] for gone, new in changes for f in (*gone, *new)], int)
+    sign = np.array([v for gone, new in changes for v in [-1.0] * len(gone) + [1.0] * len(new)])
 
     def margin(w: np.ndarray, bias: float) -> np.ndarray:
         return np.bincount(row, weights=w[col], minlength=n) + bias
 
     def penalty_gradient(w: np.ndarray) -> np.ndarray:
         g = l2 * w
-        for share, plus, minus in swaps:
-            change = 2 * counterfactual * share * (w[plus].sum() - w[minus].sum())
-            g[plus] += change
-            g[minus] -= change
+        if len(changes):
+            moved = np.bincount(swap, weights=sign * w[changed], minlength=len(changes))
+            g = g + np.bincount(changed, weights=2 * counterfactual / n * sign * moved[swap], minlength=k)
         return g
 
     # The step size comes from the largest curvature, by power iteration.
@@ -171,35 +203,68 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, l1: float = L1, l2: float = L
     return Model(float(bias), {int(names[i]): float(w[i]) for i in np.flatnonzero(w)})
 
 
+def normal_score(held, held_toxic, share):
+    """How far the toxic texts among those that hold a feature exceed chance (2x2 table); numbers or numpy arrays."""
+    chance = held * share
+    return (held_toxic - chance) / np.sqrt(np.maximum(chance * (1 - share), 1e-9))
+
+
 def remainder(doc_id):
     """crc32(doc_id as text) mod 3."""
     return F.pmod(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")), F.lit(3))
 
 
-def fit_sample(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_FIT_DOCS) -> tuple[list[np.ndarray], np.ndarray]:
-    """Hashed features and marks of at most ``max_docs`` labelled documents outside the held-out third."""
+def labelled_features(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_FIT_DOCS, groups=IDENTITY_TERMS) -> DataFrame:
+    """id, toxic, found (hashed features) and swaps (gone, new) of at most ``max_docs`` labelled documents outside the held-out third."""
     marks = (labels.select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("__toxic"))
              .filter("__id is not null and __toxic in (0, 1)").filter(remainder(F.col("__id")) != 1)
              .groupBy("__id").agg(F.max("__toxic").alias("__toxic")))
     order = [F.xxhash64("__id"), F.col("__id")]
     halves = [marks.filter(F.col("__toxic") == k).orderBy(*order).limit(max_docs // 2) for k in (0, 1)]
     sample = F.broadcast(halves[0].unionAll(halves[1]))  # at most max_docs rows of two numbers
+    others = others_of(groups)
+    changes = pa.list_(pa.struct([("gone", pa.list_(pa.int32())), ("new", pa.list_(pa.int32()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [features(t).tobytes() for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())],
-                                             ["id", "toxic", "found"])
+            texts = batch.column(2).to_pylist()
+            swaps = [[{"gone": gone, "new": new} for gone, new in swapped(t, others)] for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([features(t) for t in texts], pa.list_(pa.int32())), pa.array(swaps, changes)],
+                ["id", "toxic", "found", "swaps"])
 
     texts = small_batches(docs).select(F.col("doc_id").alias("__id"), whole_text().alias("__text"))
     joined = texts.join(sample, "__id").select("__id", "__toxic", "__text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = joined.mapInArrow(run, f"id {kind}, toxic int, found binary").dropDuplicates(["id"]).orderBy("id").collect()
-    return [np.frombuffer(r["found"], np.int32) for r in got], np.array([r["toxic"] for r in got], float)
+    schema = f"id {kind}, toxic int, found array<int>, swaps array<struct<gone: array<int>, new: array<int>>>"
+    return joined.mapInArrow(run, schema).dropDuplicates(["id"])
+
 
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_FIT_DOCS, groups=IDENTITY_TERMS,
+          counterfactual: float = COUNTERFACTUAL) -> Model:
+    """The fitted model; the labelled texts' features are written once, counted by Spark and collected as far as they are tried."""
+    table = written(labelled_features(docs, labels, max_docs, groups), "toxicity-features")
+    n, toxic = table.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not 0 < toxic < n:
+        return Model()
+    held = (table.select("toxic", F.explode("found").alias("feature")).groupBy("feature")
+            .agg(F.count(F.lit(1)).alias("held"), F.sum("toxic").alias("held_toxic")).filter(F.col("held") >= MIN_DOCS))
+    share = toxic / n
+    chance = F.col("held") * F.lit(share)
+    tried = held.filter((F.col("held_toxic") - chance) / F.sqrt(F.greatest(chance * (1 - share), F.lit(1e-9))) >= MIN_SCORE - 1e-9)
+    swaps = table.select(F.explode("swaps").alias("s")).select("s.gone", "s.new")
+    terms = swaps.select(F.explode(F.concat("gone", "new")).alias("feature"))
+    tried = np.array([r[0] for r in tried.select("feature").union(terms).distinct().orderBy("feature").collect()], np.int32)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.intersect1d(np.array(f, np.int32), tried) for f in b.column("found").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("toxic"), pa.array(found, pa.list_(pa.int32()))], ["id", "toxic", "found"])
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_FIT_DOCS) -> Model:
-    return fit(*fit_sample(docs, labels, max_docs))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    got = table.select("id", "toxic", "found").mapInArrow(kept, f"id {kind}, toxic int, found array<int>").orderBy("id").collect()
+    changes = [(r["gone"], r["new"]) for r in swaps.orderBy("gone", "new").collect()]
+    return fit([np.array(r["found"], np.int32) for r in got], np.array([r["toxic"] for r in got], float), changes, counterfactual=counterfactual)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
