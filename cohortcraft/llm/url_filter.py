@@ -26,6 +26,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Distinct urls in the labelled table, at most.
 MAX_LABELLED = 10_000
 N = (3, 4)
@@ -86,7 +88,7 @@ def labelled_by_rules(urls: DataFrame, rules=RULES, bound: int = MAX_LABELLED) -
     """A labelled table (host, path, blocked) of at most ``bound`` distinct urls that a rule decides."""
     decided = urls.filter("rule is not null").select(
         "host", "path", (verdict_of(F.col("rule"), rules) == "block").cast("double").alias("blocked")).distinct()
-    return decided.orderBy(F.xxhash64("host", "path"), "host", "path").limit(bound)
+    return decided.orderBy(F.xxhash64("host", "path"), "host", "path", "blocked").limit(bound)
 
 
 def _hashed(urls: DataFrame) -> DataFrame:
@@ -95,8 +97,12 @@ def _hashed(urls: DataFrame) -> DataFrame:
 
 
 def train(labelled: DataFrame, bound: int = MAX_LABELLED) -> LogisticRegressionModel | None:
-    """The model of a labelled table (host, path, blocked), or None without labels of both classes."""
-    table = labelled.select("host", "path", "blocked").limit(bound).coalesce(1)
+    """The model of a labelled table (host, path, blocked), or None without labels of both classes.
+
+    At most ``bound`` rows, by hash, are written once and read by every pass of the fit.
+    """
+    order = [F.xxhash64("host", "path"), F.col("host"), F.col("path"), F.col("blocked")]
+    table = written(labelled.select("host", "path", "blocked").orderBy(*order).limit(bound), "url-labels")
     classes = table.agg(F.min("blocked"), F.max("blocked")).first()
     if classes[0] is None or classes[0] == classes[1]:
         return None
