@@ -11,11 +11,12 @@ empty, such as ``[0-9a-f]{24,}``, scan every text.
 Postings are keyed by the 64-bit hash of the text, so copies share them and
 are combined before the shuffle.  Two texts with the same hash would share
 postings too; as queries have no negation that could only add candidates,
-which the verification refuses.  A hot key is one hash with many copies: the
-candidates hold it once and the join may split the other side.
+which the verification refuses.  A hot key is one hash with many copies: they
+are salted by their other columns, and each candidate goes to all salts.
 
-Defined results: null text is the empty text and has no spans; repeated rows
-give repeated results; other columns are not read; empty tables give empty
+Defined results: null text is the empty text and has no spans; a text of any
+length is scanned whole, in proportion to its length and matches; repeated
+rows give repeated results; other columns are not read; empty tables give empty
 results.
 """
 
@@ -30,12 +31,15 @@ from re import _parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from .common import whole_text
 from .spans import SPAN, find_all, joined, labelled
 
 #: Strings that a part of an expression may stand for, at most, before it counts as unknown.
 MAX_STRINGS = 16
+#: Partitions that copies of a text are dealt to.
+SALTS = 16
 #: Trigrams asked for in a row, at most; fewer only mean more candidates to verify.
 MAX_TRIGRAMS = 4
 
@@ -200,11 +204,14 @@ def candidates(index: DataFrame, rules=RULES) -> DataFrame:
 
 def scan(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
     """``docs`` with one array column ``spans_<kind>`` per rule: (start, end, found) in code points."""
-    docs = docs.drop("__key", "__text_key", "__kinds", *(f"spans_{r.kind}" for r in rules))
+    docs = docs.drop("__key", "__text_key", "__kinds", "__salt", "__text_salt", *(f"spans_{r.kind}" for r in rules))
     found = candidates(build_index(docs, rules, text), rules)
-    own = docs.withColumn("__key", F.xxhash64(whole_text(text)))
-    asked = found.select(F.col("text_key").alias("__text_key"), F.col("kinds").alias("__kinds"))
-    both = own.join(asked, F.col("__key") == F.col("__text_key"), "left")
+    # Copies share a key: they are dealt to SALTS partitions, and each candidate, a few bytes, to all of them.
+    salt = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns if not isinstance(docs.schema[c].dataType, MapType))), F.lit(SALTS))
+    own = docs.withColumn("__key", F.xxhash64(whole_text(text))).withColumn("__salt", salt)
+    asked = found.select(F.col("text_key").alias("__text_key"), F.col("kinds").alias("__kinds"),
+                         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("__text_salt"))
+    both = own.join(asked, (F.col("__key") == F.col("__text_key")) & (F.col("__salt") == F.col("__text_salt")), "left")
 
     def spans(rule: Rule) -> Column:
         every = find_all(whole_text(text), rule.pattern, rule.accept)
