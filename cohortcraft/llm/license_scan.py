@@ -9,9 +9,14 @@ bigrams, repeated ones counted, as the template.  As Dice >= t needs
 t / (2 - t) <= |A| / |B| <= (2 - t) / t, a text must hold t / (2 - t) of a
 template's bigrams; other templates are dropped before any window is looked
 at, and most texts before all of them.  Windows need only begin and end with a
-bigram of the template, as others at the ends never raise Dice.  SQL functions
-only, row by row: no shuffle, so a hot line or source costs no more than its
-own rows.
+bigram of the template, as others at the ends never raise Dice.
+
+SQL functions only.  Texts that hold enough bigrams of some template are
+written, once for all copies, and joined with the templates; the others are
+done.  Their windows are tried from the likeliest beginnings on, so that a
+whole licence takes a few tries instead of one for each of its words; the
+result is that of trying all (see :func:`_windows` and :func:`_settled`).  A
+text of any length is scanned whole.
 
 Defined results: of the windows with one beginning the most similar (then the
 shortest) stands for a template; of overlapping windows the more similar, then
@@ -25,14 +30,13 @@ results; other columns are not read.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
-from functools import partial
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import whole_text, written
+from .spans import let
 
 THRESHOLD = 0.8
 #: Whole licence texts: NAME.txt, or NAME.CLAUSES.txt for the BSD licences.
@@ -116,70 +120,155 @@ def _in(own: set[str]) -> str:
     return "(" + ", ".join(f"'{b}'" for b in sorted(own)) + ")"
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)``, with the value computed once."""
-    return F.get(F.transform(F.array(value), lambda x: use(x)), 0)
-
-
 def _bigrams(text: Column) -> Column:
-    return _let(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), lambda words: F.zip_with(
+    return let(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), lambda words: F.zip_with(
         words, F.slice(words, 2, F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b)))
 
 
 def _places(bigrams: Column) -> Column:
     """Each bigram, in order, with the place where it stood before (-1 if nowhere)."""
     def linked(by_word: Column) -> Column:
-        return F.transform(by_word, lambda x, i: _let(F.get(by_word, i - 1), lambda before: F.struct(
+        return F.transform(by_word, lambda x, i: let(F.get(by_word, i - 1), lambda before: F.struct(
             x["i"].alias("i"), F.when(before["b"] == x["b"], before["i"]).otherwise(-1).alias("prev"), x["b"].alias("b"))))
 
-    return F.array_sort(_let(F.array_sort(F.transform(bigrams, lambda b, i: F.struct(b.alias("b"), i.alias("i")))), linked))
+    return F.array_sort(let(F.array_sort(F.transform(bigrams, lambda b, i: F.struct(b.alias("b"), i.alias("i")))), linked))
+
+
+WINDOW = "struct<order:double,rank:int,start:int,end:int,licence:string>"
+
+
+def _starts(flags: Column, n: Column, cap: Column, low: Column) -> Column:
+    """Where a window of the template may begin, best bound first: (bound, start), the bound being negative like ``order``.
+
+    No window from p has more of the template's bigrams than the C distinct
+    ones among the ``cap`` places from p on, so none is more similar than
+    2 C / (C + n).  Place i of an own bigram counts for the starts after its
+    last occurrence and after i - cap: C is the number of such ranges that
+    have begun by p, less the own places before p.  Sorting both together
+    counts them for all starts at once.
+    """
+    def counted(own: Column) -> Column:
+        marks = F.sort_array(F.concat(F.transform(own, lambda o: F.struct(o["begins"].alias("at"), F.lit(0).alias("order"))),
+                                      F.transform(own, lambda o: F.struct(o["i"].alias("at"), F.lit(1).alias("order")))))
+        places = F.filter(F.transform(marks, lambda m, q: F.when(m["order"] == 1, q)), lambda q: q.isNotNull())
+        bounds = F.transform(F.zip_with(own, places, lambda o, q: F.struct(o["i"].alias("i"), q.alias("q"))), lambda x, j: F.struct(
+            (x["q"] - 2 * j).alias("held"), x["i"].alias("i")))
+        enough = F.filter(bounds, lambda b: b["held"] >= low)
+        return F.sort_array(F.transform(enough, lambda b: F.struct((-2.0 * b["held"] / (b["held"] + n)).alias("bound"), b["i"].alias("start"))))
+
+    own = F.filter(F.transform(flags, lambda x, i: F.when(x["own"], F.struct(
+        i.alias("i"), (F.greatest(x["prev"], i - cap) + 1).alias("begins")))), lambda o: o.isNotNull())
+    return let(own, counted)
+
+
+def _best_from(flags: Column, p: Column) -> Column:
+    """The best window that begins at ``p``, as WINDOW, or null; n, cap, percent, rank and licence are the row's."""
+    n = F.col("n")
+
+    def step(acc: Column, x: Column) -> Column:
+        new = x["prev"] < p
+        m, c = acc["m"] + new.cast("int"), acc["c"] + (new & x["own"]).cast("int")
+        better = new & x["own"] & (200 * c >= F.col("percent") * (m + n)) & (c * (acc["bm"] + n) > acc["bc"] * (m + n))
+        return F.struct((acc["k"] + 1).alias("k"), m.alias("m"), c.alias("c"), F.when(better, m).otherwise(acc["bm"]).alias("bm"),
+                        F.when(better, c).otherwise(acc["bc"]).alias("bc"), F.when(better, p + acc["k"]).otherwise(acc["end"]).alias("end"))
+
+    begin = F.struct(*(F.lit(v).alias(k) for k, v in (("k", 0), ("m", 0), ("c", 0), ("bm", 0), ("bc", 0), ("end", -1))))
+    return F.aggregate(F.slice(flags, p + 1, F.col("cap")), begin, step, lambda acc: F.when(acc["end"] >= 0, F.struct(
+        (-2.0 * acc["bc"] / (acc["bm"] + n)).alias("order"), F.col("rank").alias("rank"), p.alias("start"), acc["end"].alias("end"),
+        F.col("licence").alias("licence")).cast(WINDOW)))
 
 
-def _windows(flags: Column, n: int, cap: int, low: int, percent: int, name: str, rank: int) -> Column:
-    """The best window from each beginning, as (-similarity, rank, start, end, licence)."""
-    def best_from(p: Column) -> Column:
-        def step(acc: Column, x: Column) -> Column:
-            new = x["prev"] < p
-            m, c = acc["m"] + new.cast("int"), acc["c"] + (new & x["own"]).cast("int")
-            better = new & x["own"] & (200 * c >= percent * (m + n)) & (c * (acc["bm"] + n) > acc["bc"] * (m + n))
-            return F.struct((acc["k"] + 1).alias("k"), m.alias("m"), c.alias("c"), F.when(better, m).otherwise(acc["bm"]).alias("bm"),
-                            F.when(better, c).otherwise(acc["bc"]).alias("bc"), F.when(better, p + acc["k"]).otherwise(acc["end"]).alias("end"))
+def _goes_before(w: Column, s: Column, rank: Column) -> Column:
+    """Whether window ``w`` holds start ``s`` and goes before every window of template ``rank`` from it."""
+    return (w["start"] <= s["start"]) & (s["start"] <= w["end"]) & (
+        (w["order"] < s["bound"]) | ((w["order"] == s["bound"]) & (w["rank"] <= rank)))
 
-        begin = F.struct(*(F.lit(v).alias(k) for k, v in (("k", 0), ("m", 0), ("c", 0), ("bm", 0), ("bc", 0), ("end", -1))))
-        return F.aggregate(F.slice(flags, p + 1, cap), begin, step, lambda acc: F.when(acc["end"] >= 0, F.struct(
-            (-2.0 * acc["bc"] / (acc["bm"] + n)).alias("order"), F.lit(rank).alias("rank"), p.alias("start"), acc["end"].alias("end"),
-            F.lit(name).alias("licence"))))
 
-    at = F.array_compact(F.transform(flags, lambda x, i: F.when(x["own"], i)))
-    # A window begins where enough of the template's bigrams follow within its length.
-    starts = _let(at, lambda at: F.array_compact(F.transform(at, lambda p, j: F.when(F.get(at, j + (low - 1)) - p < cap, p))))
-    return F.array_compact(F.transform(starts, best_from))
+def _windows(every: bool) -> Column:
+    """The best windows from the row's starts, best bound first.
+
+    A start that a window found so far, or one of ``seeds``, holds and goes before can add nothing as long as
+    that window stays, so it isn't tried (unless ``every``).
+    """
+    def step(acc: Column, s: Column) -> Column:
+        known = F.exists(F.col("seeds"), lambda w: _goes_before(w, s, F.col("rank"))) | F.exists(acc, lambda w: _goes_before(w, s, F.col("rank")))
+        found = let(_best_from(F.col("flags"), s["start"]), lambda w: F.when(w.isNotNull(), F.concat(acc, F.array(w))).otherwise(acc))
+        return found if every else F.when(known, acc).otherwise(found)
+
+    return F.aggregate("starts", F.array().cast(f"array<{WINDOW}>"), step)
+
+
+def _apart(windows: Column) -> Column:
+    """The windows that overlap no better one, best first."""
+    return F.aggregate(F.array_sort(F.array_distinct(windows)), F.array().cast(f"array<{WINDOW}>"), lambda acc, c: F.when(
+        F.exists(acc, lambda a: (a["start"] <= c["end"]) & (c["start"] <= a["end"])), acc).otherwise(F.concat(acc, F.array(c))))
+
+
+def _settled(found: Column, kept: Column) -> Column:
+    """Whether every start was tried and found, or lies in a kept window that goes before all windows from it, or in none at all."""
+    every = F.flatten(F.transform(found, lambda t: t["windows"]))
+
+    def fine(t: Column, s: Column, windows: Column) -> Column:
+        return F.exists(kept, lambda k: _goes_before(k, s, t["rank"])) | ~F.exists(windows, lambda w: _goes_before(w, s, t["rank"]))
+
+    return let(every, lambda windows: F.forall(found, lambda t: F.forall(t["starts"], lambda s: fine(t, s, windows))))
+
+
+def _judged(marked: DataFrame, every: bool) -> DataFrame:
+    """Per text: text_key, kept (its windows, best first), settled."""
+    tried = marked.withColumn("windows", _windows(every))
+    if not every:
+        # The likeliest template of a text first: what it finds spares the others their starts inside.
+        best = F.struct(F.get("starts", F.lit(0))["bound"].alias("bound"), "rank")
+        first = marked.groupBy("text_key").agg(F.min(best)["rank"].alias("rank"))
+        seeds = written(marked.join(first, ["text_key", "rank"]).withColumn("windows", _windows(False)).select(
+            "text_key", F.col("rank").alias("first"), F.col("windows").alias("of_first")), "licence-seeds")
+        tried = marked.drop("seeds").join(seeds, "text_key").withColumn(
+            "seeds", F.col("of_first")).withColumn("windows", F.when(F.col("rank") == F.col("first"), F.col("of_first")).otherwise(_windows(False)))
+    found = tried.groupBy("text_key").agg(F.collect_list(F.struct("windows", "rank", "starts")).alias("found"))
+    kept = found.withColumn("kept", _apart(F.flatten(F.transform("found", lambda t: t["windows"]))))
+    return kept.select("text_key", "kept", F.lit(True).alias("settled") if every else _settled(F.col("found"), F.col("kept")).alias("settled"))
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, text: str = "text",
          key: str = "doc_id") -> DataFrame:
     """Per document: key, n_units (matching windows), licences (distinct, sorted), licence and similarity (the best)."""
-    percent = round(100 * threshold)
+    spark, percent = docs.sparkSession, round(100 * threshold)
     lists = [_list(t) for _, t in templates]
     sets = [set(own) for own in lists]
-    lows = [size_bounds(len(own), threshold)[0] for own in sets]
-    tried = []
-    for rank, ((name, _), own, every, low) in enumerate(zip(templates, sets, lists, lows, strict=True)):
-        flags = F.expr(f"transform(places, p -> named_struct('prev', p.prev, 'own', p.b IN {_in(own)}))")
-        cap = size_bounds(len(every), threshold)[1]
-        windows = partial(_windows, n=len(own), cap=cap, low=low, percent=percent, name=name, rank=rank)
-        tried.append(F.when(F.get("near", F.lit(rank)), _let(flags, windows)))
-    near = [F.when(F.size("held") >= low, F.expr(f"size(filter(held, b -> b IN {_in(own)})) >= {low}")).otherwise(False)
-            for own, low in zip(sets, lows, strict=True)]
-    apart = F.aggregate("found", F.slice("found", 1, 0), lambda acc, c: F.when(
-        F.exists(acc, lambda a: (a["start"] <= c["end"]) & (c["start"] <= a["end"])), acc).otherwise(F.concat(acc, F.array(c))))
+    described = [(rank, name, len(own), size_bounds(len(whole), threshold)[1], size_bounds(len(own), threshold)[0], percent)
+                 for rank, ((name, _), own, whole) in enumerate(zip(templates, sets, lists, strict=True))]
+    # both as large as the templates, whatever the documents
+    bounds = F.broadcast(spark.createDataFrame(described, "rank int, licence string, n int, cap int, low int, percent int"))
+    owned = F.broadcast(spark.createDataFrame([(b, rank) for rank, own in enumerate(sets) for b in sorted(own)], "b string, rank int"))
+    least = min(low for *_, low, _ in described)
+
+    body = whole_text(text)
+    grams = docs.select(F.col(key).alias("row_key"), F.md5(body).alias("text_key"), body.alias("body"), _bigrams(body).alias("bigrams"))
+    held = grams.withColumn("held", F.expr(f"array_distinct(filter(bigrams, b -> b IN {_in(set().union(*sets))}))"))
+    enough = F.size("held") >= least
+    rows = written(held.select("row_key", "text_key", F.when(enough, F.col("held")).alias("held"), F.when(enough, F.col("body")).alias("body")),
+                   "licence-texts")
+    texts = rows.filter("held IS NOT NULL").groupBy("text_key").agg(F.first("held").alias("held"), F.first("body").alias("body"))
+    near = (texts.select("text_key", F.explode("held").alias("b")).join(owned, "b").groupBy("text_key", "rank").agg(F.count("b").alias("shared"))
+            .join(bounds, "rank").filter("shared >= low").drop("shared"))
+    near = written(near, "licence-near")
+    places = (texts.join(near.select("text_key").distinct(), "text_key", "left_semi")
+              .select("text_key", F.inline(_places(_bigrams(F.col("body"))))))
+    marked = (places.join(near, "text_key").join(owned.withColumn("own", F.lit(True)), ["b", "rank"], "left")
+              .groupBy("text_key", "rank", "licence", "n", "cap", "low", "percent")
+              .agg(F.sort_array(F.collect_list(F.struct("i", "prev", F.coalesce("own", F.lit(False)).alias("own")))).alias("flags")))
+    marked = marked.withColumn("starts", _starts(F.col("flags"), F.col("n"), F.col("cap"), F.col("low")))
+    marked = written(marked.filter(F.size("starts") > 0).withColumn("seeds", F.array().cast(f"array<{WINDOW}>")), "licence-marked")
+    judged = written(_judged(marked, False), "licence-kept")
+    open_texts = judged.filter("NOT settled").select("text_key")
+    if not open_texts.isEmpty():
+        again = _judged(marked.join(open_texts, "text_key", "left_semi"), True)
+        judged = judged.filter("settled").unionByName(again)
+    kept = judged.select(F.col("text_key").alias("kept_key"), "kept")
+
     best = F.get("kept", F.lit(0))
-    return (docs.select(F.col(key), _bigrams(whole_text(text)).alias("bigrams"))
-            .select(key, "bigrams", F.expr(f"array_distinct(filter(bigrams, b -> b IN {_in(set().union(*sets))}))").alias("held"))
-            .select(key, "bigrams", F.when(F.size("held") >= min(lows), F.array(*near)).otherwise(F.array().cast("array<boolean>")).alias("near"))
-            .select(key, "near", F.when(F.exists("near", lambda x: x), _places(F.col("bigrams"))).alias("places"))
-            .select(key, F.when(F.col("places").isNotNull(), F.array_sort(F.flatten(F.array_compact(F.array(*tried))))).alias("found"))
-            .select(key, apart.alias("kept"))
-            .select(key, F.coalesce(F.size("kept"), F.lit(0)).cast("long").alias("n_units"),
-                    F.coalesce(F.array_join(F.array_sort(F.array_distinct(F.transform("kept", lambda m: m["licence"]))), ","), F.lit(""))
-                    .alias("licences"), best["licence"].alias("licence"), (-best["order"]).alias("similarity")))
+    return rows.join(kept, F.col("text_key") == F.col("kept_key"), "left").select(
+        F.col("row_key").alias(key), F.coalesce(F.size("kept"), F.lit(0)).cast("long").alias("n_units"),
+        F.coalesce(F.array_join(F.array_sort(F.array_distinct(F.transform("kept", lambda m: m["licence"]))), ","), F.lit(""))
+        .alias("licences"), best["licence"].alias("licence"), (-best["order"]).alias("similarity"))
