@@ -2,6 +2,8 @@
 
 import hashlib
 import re
+import zlib
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -59,6 +61,21 @@ def test_trigram_queries():
     assert secret_scan.trigram_query("ab|cdef") == secret_scan.ALL
 
 
+def test_many_matches_in_one_text(spark):
+    """Places, contexts and seed marks of 20,000 matches in a text, against Python; the work is in proportion to the matches."""
+    from cohortcraft.llm import spans
+
+    text = "é ".join(f"a{i}@b.org x 12{i % 7}4567 " for i in range(10000))
+    row = spark.createDataFrame([(text,)], "text string")
+    found = spans.find_all(F.col("text"), "[a-z0-9]+@[a-z.]+", context=60)
+    base = [(m.start(), m.end()) for m in re.finditer("[a-z0-9]+@[a-z.]+", text)]
+    got = row.select(found.alias("f")).first()["f"]
+    assert [(s["start"], s["end"]) for s in got] == base
+    assert all(s["before"] == text[max(s["start"] - 60, 0):s["start"]] for s in got)
+    every = row.select(pii.instances(F.col("text"), pii.base_spans(F.col("text"))).alias("f")).first()["f"]
+    assert len(every) == 20000 and all(s["seed"] == ("@" in s["found"]) for s in every)
+
+
 # --- 2 byte-level BPE --------------------------------------------------------
 def test_bpe_equals_tiktoken_and_decodes(spark):
     import tiktoken
@@ -235,22 +252,93 @@ def test_light_subsets_are_exact():
 
 
 # --- 6 toxicity --------------------------------------------------------------
-def test_toxicity_counterfactual_term():
+def biased_texts(n=1200):
+    """Labelled texts in four languages whose toxic half often mentions one group, and a neutral mention now and then."""
     rng = np.random.default_rng(3)
-    texts, marks = [], []
-    for i in range(400):
+    terms, others = ["muslims", "musulmans", "muslime", "musulmanes"], ["christians", "chrétiens", "christen", "cristianos"]
+    rows = []
+    for i in range(n):
         toxic = i % 4 == 0
         words = [f"n{'abcdefghij'[rng.integers(10)]}{'klmnop'[rng.integers(6)]}" for _ in range(12)]
         if toxic:
-            words += ["idiot"] if i % 8 else ["muslims", "idiot"]  # in the labels, the term goes with toxic texts
-        texts.append(" ".join(words))
-        marks.append(toxic)
-    rows = [toxicity.features(t) for t in texts]
-    plain = toxicity.fit(rows, np.array(marks), counterfactual=0.0)
-    even = toxicity.fit(rows, np.array(marks), counterfactual=50.0)
-    gap = [abs(m.score("the muslims met") - m.score("the jews met")) for m in (plain, even)]
-    assert gap[1] < gap[0] and even.score("you idiot") > 0.7 > even.score("the muslims met")
-    assert 0 <= even.score("") <= 1 and toxicity.fit(rows, np.zeros(400)).score("idiot") == 0.0
+            words += ["idiot"] if i % 8 else [f"insult{chr(97 + i // 8 % 26)}{chr(97 + i // 208)}"[6:] + "zq", terms[i // 8 % 4]]
+        elif i % 4 == 1:  # other groups are mentioned neutrally, the one now and then
+            words += [(others if i % 40 != 1 else terms)[i // 4 % 4]]
+        rows.append((i, " ".join(words), int(toxic)))
+    return rows
+
+
+NEUTRAL = ["the muslims met", "les musulmans parlent", "die muslime lesen", "los musulmanes hablan"]
+
+
+def test_swaps_are_the_features_of_the_swapped_text():
+    others = toxicity.others_of()
+    for text in ("The Women met men.", "une femme, un homme", "no term", "", "jews jew boys boyish girl"):
+        got = toxicity.swapped(text, others)
+        words = toxicity.distinct_words(text)
+        want = []
+        for term in sorted(words & others.keys()):
+            for other in sorted(others[term]):
+                before, after = set(toxicity.features(text).tolist()), set(toxicity.features(" ".join(words - {term} | {other})).tolist())
+                want.append((sorted(before - after), sorted(after - before)))
+        assert got == want
+
+
+def test_toxicity_counterfactual_term(spark):
+    """The penalty clears the neutral mentions that the plain fit takes for toxic, in every language."""
+    rows = biased_texts()
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(5000, None), (5001, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, k) for i, _, k in rows] + [(5000, 0), (None, 1), (7, None)], "doc_id long, toxic int")
+    plain = toxicity.train(docs, labels, groups=())
+    even = toxicity.train(docs, labels)
+    false = [sum(m.score(t) >= toxicity.THRESHOLD for t in NEUTRAL) for m in (plain, even)]
+    assert false == [4, 0]
+    assert all(m.score("you idiot") > toxicity.THRESHOLD for m in (plain, even))
+    gaps = [max(abs(m.score("the muslims met") - m.score(f"the {t} met")) for t in ("jews", "christians")) for m in (plain, even)]
+    assert gaps[1] < 0.2 < gaps[0]
+
+
+def test_toxicity_fit_is_the_least_of_its_objective(spark):
+    """Against the objective written out over the texts themselves, at the fit and near it; train() fits the same model."""
+    rows = [r for r in biased_texts(600) if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    texts, y = [t for _, t, _ in rows], np.array([k for *_, k in rows], float)
+    others = toxicity.others_of()
+    changes = [c for t in texts for c in toxicity.swapped(t, others)]
+    model = toxicity.fit([toxicity.features(t) for t in texts], y, changes, steps=20000)
+    tried = {f for c in changes for part in c for f in part}
+    held = Counter(f for t in texts for f in toxicity.features(t).tolist())
+    toxic = Counter(f for t, k in zip(texts, y) if k for f in toxicity.features(t).tolist())
+    tried |= {f for f, n in held.items() if n >= toxicity.MIN_DOCS and toxicity.normal_score(n, toxic[f], y.mean()) >= toxicity.MIN_SCORE}
+    tried = sorted(tried)
+
+    def objective(bias, w):
+        total = 0.0
+        for t, k in zip(texts, y):
+            z = bias + sum(w.get(f, 0.0) for f in toxicity.features(t).tolist())
+            total += np.logaddexp(0, -z if k else z) / (2 * (y.mean() if k else 1 - y.mean())) / len(y)
+        swaps = sum((sum(w.get(f, 0.0) for f in new) - sum(w.get(f, 0.0) for f in gone)) ** 2 for gone, new in changes)
+        return (total + toxicity.COUNTERFACTUAL * swaps / len(y) + toxicity.L1 * sum(map(abs, w.values()))
+                + toxicity.L2 / 2 * sum(v * v for v in w.values()))
+
+    best, rng = objective(model.bias, model.weights), np.random.default_rng(1)
+    assert set(model.weights) <= set(tried)
+    for _ in range(25):
+        moved = {f: model.weights.get(f, 0.0) + 0.05 * rng.normal() for f in tried}
+        assert objective(model.bias + 0.05 * rng.normal(), moved) > best
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, k) for i, _, k in rows], "doc_id long, toxic int")
+    again = toxicity.train(docs, labels)
+    assert set(again.weights) <= set(tried) and all(abs(again.score(t) - model.score(t)) < 0.02 for t in texts[:40] + NEUTRAL)
+
+
+def test_toxicity_odd_rows(spark):
+    docs = docs_of(spark, [None, "", LONG, "you idiot", "you idiot"])
+    labels = spark.createDataFrame([(0, 0), (3, 1)], "doc_id long, toxic int")
+    assert toxicity.train(docs.limit(0), labels).weights == {} == toxicity.train(docs, labels.limit(0)).weights
+    model = toxicity.Model(0.0, {toxicity.word_features("idiot")[0]: np.log(0.7 / 0.3) + 1e-12})  # a score of just the threshold
+    got = [(r["doc_id"], r["predicted"], r["label"]) for r in toxicity.score(docs, model).orderBy("doc_id").collect()]
+    assert got == [(0, 0, "z"), (1, 0, "z"), (2, 0, "z"), (3, 1, "z"), (4, 1, "z")]
+    assert toxicity.score(docs.limit(0), model).count() == 0
 
 
 def test_toxicity_held_out(spark):
