@@ -374,7 +374,7 @@ LINEITEM = [("l_orderkey", "integer"), ("l_partkey", "integer"), ("l_suppkey", "
 def _column(i: int, c: str, family: str) -> str:
     if family in ("integer", "float"):
         x = f"CAST({c} AS DOUBLE)"
-        own = (f"count_if({c} = 0) AS n_zero, round(count_if({c} = 0) * 100.0::DOUBLE / count(*), 6) AS pct_zero, round(avg({x}), 6) AS mean, "
+        own = (f"count_if({c} = 0) AS n_zero, round(count_if({c} = 0) * 100.0::DOUBLE / count(*), 6) AS pct_zero, round(avg({x}), 4) AS mean, "
                f"round(stddev_samp({x}), 6) AS std, min({x}) AS min, " + ", ".join(
                    f"round(quantile_cont({x}, {q}), 6) AS q{int(100 * q)}" for q in (0.25, 0.5, 0.75))
                + f", max({x}) AS max, NULL::VARCHAR AS min_text, NULL::VARCHAR AS max_text")

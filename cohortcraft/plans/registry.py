@@ -50,7 +50,8 @@ def _sketched_changes(cp: DataFrame) -> DataFrame:
 
 def _described_table(df: DataFrame) -> DataFrame:
     """All columns of a table: a stored one-scan summary, then exact quartiles."""
-    return S.described(written(S.summarise(df)), df)
+    # means of values with two decimals often end just at half of the sixth place
+    return S.described(written(S.summarise(df)), df).withColumn("mean", rnd("mean", 4))
 
 
 RETENTION: dict[str, Query] = {
