@@ -216,18 +216,89 @@ def feature_columns(df: DataFrame) -> tuple[list, list, list]:
     return feats, nums, cats
 
 
+def _before_modes(raw: DataFrame) -> DataFrame:
+    """The cleaned rows with split flag and ratio feature, but for the columns that are filled with their modes."""
+    df = clean.loans_before_imputation(raw)
+    df = clean.impute_constant(df, {**{c: 0 for c in clean.ZERO_FILL_COLUMNS}, "emp_title": clean.OTHER})
+    return split(clean.add_ratio(df, "satis_pr_cred_lines", "num_satisfactory_accounts", "open_credit_lines"))
+
+
+def fit_statistics(df: DataFrame, nums: list, cats: list, mode_cols: list) -> DataFrame:
+    """All that the preparation is fitted from, in one scan: column_name, value, is_test, n, and the moments of ``nums``.
+
+    One row per value of every column of ``cats`` and ``mode_cols`` (NULL
+    too) and part of the split; the rows with column_name '' hold the moments
+    (count, mean and m2, the sum of squared deviations, per column).  Partial
+    before the shuffle, so a frequent value is combined in the map tasks.
+    """
+    entry = lambda name, value: F.struct(F.lit(name).alias("column_name"), value.cast("string").alias("value"))
+    entries = [entry("", F.lit(None)), *(entry(c, F.col(c)) for c in dict.fromkeys([*cats, *mode_cols]))]
+    rows = df.select(SPLIT_COLUMN, *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(nums)], F.inline(F.array(*entries)))
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for i in range(len(nums)):
+        x = F.when(F.col("column_name") == "", F.col(f"x{i}"))
+        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), (F.var_pop(x) * F.count(x)).alias(f"q{i}")]
+    return rows.groupBy("column_name", "value", SPLIT_COLUMN).agg(*aggs)
+
+
+def fitted_from(stats: DataFrame, nums: list, cats: list, mode_cols: list, top: int = TOP_CATEGORIES):
+    """(modes, standardizer, shrinker) from ``fit_statistics``, as if the modes had been filled in beforehand.
+
+    Filling k missing values of a column with its mode v adds k to the count
+    of v and, for numbers, k values to the moments: n' = n + k, mean' = (n mean + k v) / n',
+    m2' = m2 + (mean - v)^2 n k / n'.  What comes to the driver is one mode per
+    column, at most ``top`` values per column and one row of moments.
+    """
+    filled = stats.filter(F.col("column_name").isin(mode_cols)) if mode_cols else stats.limit(0)
+    per_value = filled.groupBy("column_name", "value").agg(F.sum("n").alias("n"), F.sum(F.when(~F.col(SPLIT_COLUMN), F.col("n"))).alias("train"))
+    numeric = F.col("column_name").isin([c for c in mode_cols if c in nums])
+    # ties go to the smaller value, of numbers to the smaller number
+    best = F.min(F.when(F.col("value").isNotNull(), F.struct(
+        (-F.col("n")).alias("neg_n"), F.when(numeric, F.col("value").try_cast("double")).alias("number"), "value")))
+    of_mode = {r["column_name"]: r for r in per_value.groupBy("column_name").agg(
+        best["value"].alias("mode"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("train"))), F.lit(0)).alias("missing")).collect()}
+    modes = {c: of_mode[c]["mode"] if c in of_mode else None for c in mode_cols}
+
+    moments = stats.filter((F.col("column_name") == "") & ~F.col(SPLIT_COLUMN)).first()
+    means, stds = {}, {}
+    for i, c in enumerate(nums):
+        n, mean, m2 = (moments[f"n{i}"], moments[f"m{i}"] or 0.0, moments[f"q{i}"] or 0.0) if moments else (0, 0.0, 0.0)
+        k = of_mode[c]["missing"] if c in modes and modes[c] is not None else 0
+        if k:
+            v = float(modes[c])
+            mean, m2, n = (n * mean + k * v) / (n + k), m2 + (mean - v) ** 2 * n * k / (n + k), n + k
+        means[c], stds[c] = float(mean), (max(m2, 0.0) / n) ** 0.5 if n else 0.0
+    std = Standardizer(means, stds, int(moments["n"]) if moments else 0)
+
+    fill = F.lit(None).cast("string")
+    for c in mode_cols:
+        fill = F.when((F.col("column_name") == c) & F.col("value").isNull(), F.lit(modes[c])).otherwise(fill)
+    train = stats.filter(F.col("column_name").isin(cats) & ~F.col(SPLIT_COLUMN)).select(
+        "column_name", F.coalesce("value", fill).alias("value"), "n").filter("value IS NOT NULL")
+    counts = train.groupBy("column_name", "value").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy("column_name").orderBy(F.desc("n"), F.asc("value"))
+    shr = Shrinker({c: [] for c in cats}, kept={c: 0 for c in cats})
+    for r in counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).orderBy("column_name", "rank").collect():
+        shr.tops[r["column_name"]].append(r["value"])
+        shr.kept[r["column_name"]] += r["n"]
+    return modes, std, shr
+
+
 def prepare_loans(raw: DataFrame) -> Prepared:
     """M8: the whole preparation in the reference's order - cleaning
     (clean.loans_with_ratio), split, standardisation of numeric columns,
     shrinking and label-encoding of text columns, each fitted on training
-    rows only.  Label codes are not scaled (encoding comes after scaling)."""
-    # The fits and the result read the cleaned rows: write them once.
-    df = written(cleaned_split(raw))
+    rows only.  Label codes are not scaled (encoding comes after scaling).
+
+    The joined rows are written once, scanned once to fit everything
+    (``fit_statistics``) and once more to apply it.
+    """
+    df = written(_before_modes(raw))
     feats, nums, cats = feature_columns(df)
-    train = df.filter(~F.col(SPLIT_COLUMN))
-    std = fit_standardize(train, nums)
-    shr = fit_shrink(train, cats)
+    mode_cols = [c for c in clean.MODE_FILL_COLUMNS if c in df.columns]
+    modes, std, shr = fitted_from(written(fit_statistics(df, nums, cats, mode_cols)), nums, cats, mode_cols)
     enc = encoder_after_shrink(shr, std.n_rows)
-    out = enc.transform(shr.transform(std.transform(df)))
+    filled = df.withColumns({c: F.coalesce(F.col(c), F.lit(v).cast(df.schema[c].dataType)) for c, v in modes.items() if v is not None})
+    out = enc.transform(shr.transform(std.transform(filled)))
     out = out.select(KEY, LABEL, *feats, SPLIT_COLUMN)
     return Prepared(out, feats, nums, cats, std, shr, enc)

@@ -275,8 +275,9 @@ def describe_numeric(df: DataFrame, cols: list[str], approx: bool = False) -> Da
 
 
 def missing_shares(df: DataFrame, only_missing: bool = True) -> DataFrame:
-    """column_name, n_missing, pct_missing (x 100); by default
-    only columns with something missing (the reference's filter)."""
+    """column_name, n_missing, pct_missing (x 100) and rank
+    (from 1, most missing first); by default only columns with something
+    missing (the reference's filter)."""
     cols = df.columns
     aggs = [F.count(F.lit(1)).alias("__n")] + [F.count_if(F.col(c).isNull()).alias(f"__m{i}")
                                                 for i, c in enumerate(cols)]
@@ -284,6 +285,9 @@ def missing_shares(df: DataFrame, only_missing: bool = True) -> DataFrame:
                                          F.col(f"__m{i}").alias("n_missing"),
                                          rnd(F.col(f"__m{i}") * 100.0 / F.col("__n")).alias("pct_missing"))
                                 for i, c in enumerate(cols)])
+    # one row per column of the table: the window's size is the schema's
+    order = Window.orderBy(F.desc("n_missing"), F.asc("column_name"))
+    out = out.withColumn("rank", F.row_number().over(order))
     return out.filter(F.col("n_missing") > 0) if only_missing else out
 
 

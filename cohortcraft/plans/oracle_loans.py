@@ -196,7 +196,8 @@ SELECT loan_id,
 FROM raw"""),
     "missing_report": _w(S1, """
 SELECT column_name, CAST(n_missing AS BIGINT) AS n_missing,
-       round(CAST(n_missing AS DOUBLE) * 100 / (SELECT count(*) FROM s1), 6) AS pct_missing
+       round(CAST(n_missing AS DOUBLE) * 100 / (SELECT count(*) FROM s1), 6) AS pct_missing,
+       CAST(row_number() OVER (ORDER BY n_missing DESC, column_name) AS INTEGER) AS rank
 FROM (UNPIVOT (SELECT """ + ", ".join(f"count_if({c} IS NULL) AS {c}" for c in [
         "loan_id", "split_bucket", "interest_rate", "grade", "sub_grade", "term", "loan_amount", "state",
         "emp_title", "homeownership", "annual_income", "verified_income", "debt_to_income",

@@ -229,3 +229,33 @@ def test_every_prefix_chooses_its_own_penalty(spark):
     got = N.learning_curve(df, names, "y", "loan_id", "is_test", alphas)
     assert len({a for *_, a in got}) > 1
     assert np.allclose(got, want, rtol=1e-7)
+
+
+@pytest.mark.skipif(not os.path.exists(SF001), reason="test data")
+def test_one_fit_pass_equals_separate_fits(spark):
+    """Modes, moments and top values from one scan are those of fits on rows whose modes were filled in before."""
+    from cohortcraft.sources import loan_like
+    raw = loan_like(spark, SF001)
+    p = M.prepare_loans(raw)
+    df = M.cleaned_split(raw).cache()
+    train = df.filter(~F.col("is_test"))
+    std, shr = M.fit_standardize(train, p.numericals), M.fit_shrink(train, p.categoricals)
+    assert p.standardizer.n_rows == std.n_rows and p.shrinker.tops == shr.tops and p.shrinker.kept == shr.kept
+    for c in p.numericals:
+        assert np.isclose(p.standardizer.means[c], std.means[c], rtol=1e-12) and np.isclose(p.standardizer.stds[c], std.stds[c], rtol=1e-9)
+    want = M.encoder_after_shrink(shr, std.n_rows).transform(shr.transform(std.transform(df))).select(*p.df.columns)
+    one, other = (sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in d.collect()) for d in (p.df, want))
+    assert one == other
+    df.unpersist()
+
+
+def test_fit_statistics_is_one_scan_with_ties_and_empty_columns(spark):
+    rows = [(1.0, 2, "b", False), (3.0, 1, "a", False), (None, None, None, False), (5.0, 2, "a", True), (7.0, 1, "b", True)]
+    df = spark.createDataFrame(rows, "x double, k int, c string, is_test boolean")
+    stats = M.fit_statistics(df, ["x", "k"], ["c"], ["k", "c"])
+    modes, std, shr = M.fitted_from(stats, ["x", "k"], ["c"], ["k", "c"])
+    assert modes == {"k": "1", "c": "a"} and std.n_rows == 3
+    assert std.means == {"x": 2.0, "k": 4 / 3} and np.isclose(std.stds["k"], np.std([2, 1, 1])) and std.stds["x"] == 1.0
+    assert shr.tops == {"c": ["a", "b"]} and shr.kept == {"c": 3}
+    empty = M.fitted_from(M.fit_statistics(df.limit(0), ["x", "k"], ["c"], ["k", "c"]), ["x", "k"], ["c"], ["k", "c"])
+    assert empty[0] == {"k": None, "c": None} and empty[1].stds == {"x": 0.0, "k": 0.0} and empty[2].tops == {"c": []}
