@@ -67,11 +67,14 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Repartition a scan that has fewer partitions than the cluster has
     cores (a file written as one parquet row group is read by one task, and
-    broadcast joins would keep all following work in that task).  Inputs
-    with many row groups already have enough partitions and are returned
-    unchanged, so no shuffle is added at scale."""
+    broadcast joins would keep all following work in that task).  Local
+    sessions only: a cluster's inputs are returned unchanged, however few
+    splits they have, so nothing large is shuffled whole."""
     try:  # needs the classic API (not available under Spark Connect)
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        sc = df.sparkSession.sparkContext
+        if not sc.master.startswith("local"):
+            return df
+        target = min_partitions or sc.defaultParallelism
         if df.rdd.getNumPartitions() >= target:
             return df
     except Exception:  # noqa: BLE001
@@ -80,8 +83,8 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
 
 
 def test_table(spark: SparkSession, sf_dir: str, name: str, min_partitions: int | None = None) -> DataFrame:
-    """One of the driver's parquet tables, spread over the cores (``spread``)."""
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"), min_partitions)
+    """One of the driver's parquet tables, NaN as NULL, spread over the cores of a local session (``spread``)."""
+    return spread(nan_to_null(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")), min_partitions)
 
 
 def register_test_views(spark: SparkSession, sf_dir: str, names=TEST_TABLES) -> None:
