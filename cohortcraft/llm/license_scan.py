@@ -39,6 +39,8 @@ from .common import whole_text, written
 from .spans import let
 
 THRESHOLD = 0.8
+#: Bigrams up to which a template is compared with every text; for longer ones those of all templates together decide at first.
+SHORT = 160
 #: Whole licence texts: NAME.txt, or NAME.CLAUSES.txt for the BSD licences.
 LICENCES = Path(__file__).parent / "licences"
 
@@ -241,12 +243,16 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, tex
     # both as large as the templates, whatever the documents
     bounds = F.broadcast(spark.createDataFrame(described, "rank int, licence string, n int, cap int, low int, percent int"))
     owned = F.broadcast(spark.createDataFrame([(b, rank) for rank, own in enumerate(sets) for b in sorted(own)], "b string, rank int"))
-    least = min(low for *_, low, _ in described)
+    # A text is looked at if it holds enough of some short template, or enough template bigrams for a long one.
+    short = [(own, low) for own, (*_, low, _) in zip(sets, described, strict=True) if len(own) <= SHORT]
+    least = min((low for own, (*_, low, _) in zip(sets, described, strict=True) if len(own) > SHORT), default=None)
 
     body = whole_text(text)
     grams = docs.select(F.col(key).alias("row_key"), F.md5(body).alias("text_key"), body.alias("body"), _bigrams(body).alias("bigrams"))
     held = grams.withColumn("held", F.expr(f"array_distinct(filter(bigrams, b -> b IN {_in(set().union(*sets))}))"))
-    enough = F.size("held") >= least
+    enough = F.size("held") >= least if least is not None else F.lit(False)
+    for own, low in short:
+        enough = enough | ((F.size("held") >= low) & F.expr(f"size(filter(held, b -> b IN {_in(own)})) >= {low}"))
     rows = written(held.select("row_key", "text_key", F.when(enough, F.col("held")).alias("held"), F.when(enough, F.col("body")).alias("body")),
                    "licence-texts")
     texts = rows.filter("held IS NOT NULL").groupBy("text_key").agg(F.first("held").alias("held"), F.first("body").alias("body"))
