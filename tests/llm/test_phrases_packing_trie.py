@@ -36,7 +36,7 @@ def corpus(n=400, seed=3):
     return rows + rows[-20:]
 
 
-@pytest.mark.parametrize("top,first,block", [(2000, 2, 12 << 20), (15, 1, 3000), (3, 1, 700)])
+@pytest.mark.parametrize("top,first,block", [(2000, 2, 12 << 20), (6, 1, 3000)])
 def test_collocations_equal_sql(spark, monkeypatch, top, first, block):
     """Also with few rows a language, so that several waves run and most prefixes are never expanded."""
     monkeypatch.setattr(collocations, "TOP", top)
