@@ -349,6 +349,31 @@ model AS (
  FROM best, tot),
 m1 AS (SELECT alpha, w, my - w*mx AS b FROM model)"""
 
+# --- the charted loan columns ----------------------------------------------------
+
+
+def _on_loans(key: str, col: str) -> str:
+    """The chart SQL of an orders key over a column of the loans."""
+    body = SQL[key].strip().removeprefix("WITH ").replace("o_totalprice", col).replace("FROM orders", "FROM raw")
+    return "WITH " + LOAN_LIKE.strip() + ",\n" + body
+
+
+SQL["income_histogram"] = _on_loans("histogram", "annual_income")
+SQL["income_density"] = _on_loans("density_curve", "annual_income")
+SQL["debt_normal_fit"] = _on_loans("normal_fit", "debt_to_income")
+SQL["income_box"] = _w("""
+, x AS (SELECT annual_income AS x FROM raw WHERE annual_income IS NOT NULL),
+q AS (SELECT count(*) AS n, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS median, quantile_cont(x, 0.75) AS q3 FROM x),
+f AS (SELECT *, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lf, q3 + 1.5 * (q3 - q1) AS uf FROM q)""", """
+SELECT n, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, round(iqr, 6) AS iqr,
+       round(lf, 6) AS lower_fence, round(uf, 6) AS upper_fence,
+       round((SELECT min(x) FROM x WHERE x BETWEEN lf AND uf), 6) AS whisker_low,
+       round((SELECT max(x) FROM x WHERE x BETWEEN lf AND uf), 6) AS whisker_high,
+       (SELECT count(*) FROM x WHERE NOT (x BETWEEN lf AND uf)) AS n_outliers
+FROM f""")
+SQL["after_mostly_zero"] = _w(OUTL, """
+SELECT loan_id, open_credit_lines, num_satisfactory_accounts FROM outl""")
+
 # --- correlations over the rows where both columns have a value ---------------
 RAW_NUMS = ["interest_rate", "term", "loan_amount", "emp_length", "annual_income", "debt_to_income", "annual_income_joint",
             "debt_to_income_joint", "months_since_90d_late", "months_since_last_delinq", "months_since_last_credit_inquiry",

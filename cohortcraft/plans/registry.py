@@ -123,6 +123,13 @@ def _after_outliers(raw: DataFrame) -> DataFrame:
     return C.remove_outliers(df, "annual_income", C.INCOME_MAX)
 
 
+def _without_mostly_zero(raw: DataFrame) -> DataFrame:
+    """What is left of candidate columns once those with 90 % zeros are dropped."""
+    candidates = [*C.MOSTLY_ZERO_COLUMNS, "open_credit_lines", "num_satisfactory_accounts"]
+    left = C.drop_mostly_zero(_after_outliers(raw), candidates)
+    return left.select("loan_id", *[c for c in candidates if c in left.columns])
+
+
 def _standardized(raw: DataFrame) -> DataFrame:
     p = M.prepare_loans(raw)
     return p.df.select(M.KEY, M.SPLIT_COLUMN, *[rnd(c).alias(c) for c in p.numericals])
@@ -182,6 +189,11 @@ LOANS: dict[str, Query] = {
     "remove_outliers": _loans(lambda d: C.remove_outliers(d, "annual_income", C.INCOME_MAX)
                               .select("loan_id", "annual_income")),
     "drop_mostly_zero": _loans(lambda d: C.mostly_zero_report(_after_outliers(d), C.MOSTLY_ZERO_COLUMNS)),
+    "after_mostly_zero": _loans(_without_mostly_zero),
+    "income_histogram": _loans(lambda d: P.histogram(d, "annual_income", 50)),
+    "income_density": _loans(lambda d: P.density(d, "annual_income")),
+    "income_box": _loans(lambda d: P.box_stats(d, "annual_income")),
+    "debt_normal_fit": _loans(lambda d: P.normal_fit(d, "debt_to_income", 50)),
     "zero_share": _loans(lambda d: P.zero_shares(_after_outliers(d),
                                                  [c for c in C.MOSTLY_ZERO_COLUMNS if c in d.columns])),
     "resolve_joint": _loans(lambda d: C.resolve_pairs(d, "application_type", C.INDIVIDUAL, C.SINGLE_COLUMNS,
