@@ -54,9 +54,8 @@ def main() -> None:
     print("Generated by `scripts/plan_report.py` from the final adaptive plan after one run.")
     print("Counts are taken in the `== Final Plan ==` parts; a scalar subquery is counted at each")
     print("reference but runs once. `jobs` is the number of Spark jobs the run started (model keys")
-    print("also count their fitting jobs). The loan keys read a persisted cleaning result: its plan")
-    print("is printed again under every cached scan and mode subquery, so their scan and exchange")
-    print("counts are inflated; for them `jobs` is the measure.\n")
+    print("also count their fitting jobs). Keys that write joined rows or statistics first, and those whose")
+    print("result is a small fitted table, show only their last step here; for them `jobs` is the measure.\n")
     print("| key | jobs | scans | shuffle exchanges | broadcasts | joins | windows |")
     print("| --- | --- | --- | --- | --- | --- | --- |")
     details = []
