@@ -241,8 +241,11 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, tex
     described = [(rank, name, len(own), size_bounds(len(whole), threshold)[1], size_bounds(len(own), threshold)[0], percent)
                  for rank, ((name, _), own, whole) in enumerate(zip(templates, sets, lists, strict=True))]
     # both as large as the templates, whatever the documents
-    bounds = F.broadcast(spark.createDataFrame(described, "rank int, licence string, n int, cap int, low int, percent int"))
-    owned = F.broadcast(spark.createDataFrame([(b, rank) for rank, own in enumerate(sets) for b in sorted(own)], "b string, rank int"))
+    table = spark.range(1).select(F.inline(F.array(*(F.struct(
+        *(F.lit(v).alias(c) for c, v in zip(("rank", "licence", "n", "cap", "low", "percent"), row)),
+        F.split(F.lit("|".join(sorted(own))), r"\|").alias("bigrams")) for row, own in zip(described, sets, strict=True)))))
+    bounds = F.broadcast(table.drop("bigrams"))
+    owned = F.broadcast(table.select(F.explode("bigrams").alias("b"), "rank"))
     # A text is looked at if it holds enough of some short template, or enough template bigrams for a long one.
     short = [(own, low) for own, (*_, low, _) in zip(sets, described, strict=True) if len(own) <= SHORT]
     least = min((low for own, (*_, low, _) in zip(sets, described, strict=True) if len(own) > SHORT), default=None)
