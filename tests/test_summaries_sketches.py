@@ -138,3 +138,28 @@ def test_gram_rows_are_tasks_times_groups(spark):
     keep = x[:, 1] > 0
     assert np.allclose(linalg.grouped_gram(nulls, cols)[0], x[keep].T @ x[keep])
     assert linalg.grouped_gram(df.limit(0), cols) == {}
+
+
+def test_correlations_compute_their_input_once(spark):
+    """No pass before the sums looks for a shift; blocks of very different means, constants and columns without values."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rng = np.random.default_rng(7)
+    a = np.repeat([1e8, -3e7, 5.0, 2e8], 300) + rng.normal(0, 1, 1200)
+    frame = pd.DataFrame({"a": a, "b": a * 3 + rng.normal(0, 1e7, 1200), "c": np.where(np.arange(1200) < 600, np.nan, rng.normal(1e9, 1, 1200)),
+                          "one": 0.1, "none": np.nan})
+    rows = [tuple(None if np.isnan(v) else float(v) for v in r) for r in frame.to_numpy()]
+    df = spark.createDataFrame(rows, "a double, b double, c double, one double, none double").coalesce(4).mapInArrow(
+        counted, "a double, b double, c double, one double, none double")
+    got = P.correlations(df, list(frame.columns)).collect()
+    assert seen.value == len(rows)
+    want = frame.corr()
+    for r in got:
+        w = want.loc[r["var1"], r["var2"]]
+        constant = "one" in (r["var1"], r["var2"]) or np.isnan(w)
+        assert r["corr"] is None if constant else abs(r["corr"] - w) < 2e-6, r
