@@ -223,6 +223,18 @@ def _before_modes(raw: DataFrame) -> DataFrame:
     return split(clean.add_ratio(df, "satis_pr_cred_lines", "num_satisfactory_accounts", "open_credit_lines"))
 
 
+def filled_categories(raw: DataFrame) -> tuple[DataFrame, list]:
+    """Key, split flag and the text columns of the cleaned rows, and those columns' names.
+
+    Only these columns are written; the modes come from the written rows, so
+    that ``raw`` is computed once.
+    """
+    df = _before_modes(raw)
+    _, _, cats = feature_columns(df)
+    df = written(df.select(KEY, SPLIT_COLUMN, *cats))
+    return clean.impute_mode(df, [c for c in clean.MODE_FILL_COLUMNS if c in cats]), cats
+
+
 def fit_statistics(df: DataFrame, nums: list, cats: list, mode_cols: list) -> DataFrame:
     """All that the preparation is fitted from, in one scan: column_name, value, is_test, n, and the moments of ``nums``.
 

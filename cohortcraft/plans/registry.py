@@ -136,8 +136,7 @@ def _standardized(raw: DataFrame) -> DataFrame:
 
 
 def _shrunk(raw: DataFrame) -> DataFrame:
-    df = written(M.cleaned_split(raw))
-    _, _, cats = M.feature_columns(df)
+    df, cats = M.filled_categories(raw)
     shr = M.fit_shrink(df.filter(~F.col(M.SPLIT_COLUMN)), cats)
     return shr.transform(df).select(M.KEY, M.SPLIT_COLUMN, *cats)
 
@@ -168,8 +167,7 @@ def _prepared(raw: DataFrame) -> DataFrame:
 
 
 def _top_categories(raw: DataFrame) -> DataFrame:
-    df = M.cleaned_split(raw)
-    _, _, cats = M.feature_columns(df)
+    df, cats = M.filled_categories(raw)
     return P.top_values(df.filter(~F.col(M.SPLIT_COLUMN)), cats, M.TOP_CATEGORIES)
 
 

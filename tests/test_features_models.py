@@ -259,3 +259,22 @@ def test_fit_statistics_is_one_scan_with_ties_and_empty_columns(spark):
     assert shr.tops == {"c": ["a", "b"]} and shr.kept == {"c": 3}
     empty = M.fitted_from(M.fit_statistics(df.limit(0), ["x", "k"], ["c"], ["k", "c"]), ["x", "k"], ["c"], ["k", "c"])
     assert empty[0] == {"k": None, "c": None} and empty[1].stds == {"x": 0.0, "k": 0.0} and empty[2].tops == {"c": []}
+
+
+@pytest.mark.skipif(not os.path.exists(SF001), reason="test data")
+def test_shrunk_and_top_categories_compute_the_loans_once(spark):
+    from cohortcraft.plans import registry
+    from cohortcraft.sources import loan_like
+
+    raw = loan_like(spark, SF001).cache()
+    rows = raw.count()
+    for query in (registry._shrunk, registry._top_categories):
+        seen = spark.sparkContext.accumulator(0)
+
+        def counted(batches, seen=seen):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        assert query(raw.mapInArrow(counted, raw.schema)).collect() and seen.value == rows
+    raw.unpersist()
