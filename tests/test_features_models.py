@@ -278,3 +278,15 @@ def test_shrunk_and_top_categories_compute_the_loans_once(spark):
 
         assert query(raw.mapInArrow(counted, raw.schema)).collect() and seen.value == rows
     raw.unpersist()
+
+
+@pytest.mark.skipif(not os.path.exists(SF001), reason="test data")
+def test_rows_of_a_training_partition_are_bounded(spark, monkeypatch):
+    from cohortcraft.plans import loan_models as LM
+    from cohortcraft.sources import loan_like
+
+    monkeypatch.setattr(LM, "ROWS_PER_PARTITION", 100)
+    p = M.prepare_loans(loan_like(spark, SF001))
+    data = LM._assembled(p, ["sub_grade"])
+    sizes = data.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert sum(sizes) == p.df.count() and max(sizes) < 200
