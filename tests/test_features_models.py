@@ -1,6 +1,8 @@
 """Feature preparation and models: FIXTURES §3 (unseen category, encode
 order, ridge against the numpy closed form) and §5 properties."""
 
+import contextlib
+import io
 import os
 
 import numpy as np
@@ -280,6 +282,15 @@ def test_shrunk_and_top_categories_compute_the_loans_once(spark):
     raw.unpersist()
 
 
+def test_moments_are_not_carried_along_with_every_value(spark):
+    df = spark.createDataFrame([(1.0, "a", False)], "x double, c string, is_test boolean")
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        M.fit_statistics(df, ["x"], ["c"], []).explain("simple")
+    by_value = [line for line in buf.getvalue().splitlines() if "HashAggregate(keys=[column_name" in line]
+    assert by_value and not any("avg" in line for line in by_value)
+
+
 @pytest.mark.skipif(not os.path.exists(SF001), reason="test data")
 def test_rows_of_a_training_partition_are_bounded(spark, monkeypatch):
     from cohortcraft.plans import loan_models as LM
@@ -290,3 +301,9 @@ def test_rows_of_a_training_partition_are_bounded(spark, monkeypatch):
     data = LM._assembled(p, ["sub_grade"])
     sizes = data.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
     assert sum(sizes) == p.df.count() and max(sizes) < 200
+
+
+def test_tree_settings_fit_an_executor():
+    """Every task holds its own histograms, so four tasks stay near 1 GB; shallow boosting keeps no table of node ids."""
+    assert 4 * N.forest().getMaxMemoryInMB() <= 1024 and N.forest().getCacheNodeIds()
+    assert not N.gbt().getCacheNodeIds()
