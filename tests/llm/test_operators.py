@@ -187,6 +187,25 @@ def test_licences_in_wrapped_and_embedded_texts(spark):
     assert [got[i] for i in range(len(long))] == list(long)
 
 
+def test_licences_shuffle_and_write_the_texts_alone(spark, monkeypatch):
+    """Tables grow with the texts, not with the places marked for each template, and no marked place goes through a shuffle."""
+    whole = {f.stem: f.read_text() for f in license_scan.LICENCES.glob("*.txt")}
+    texts = [f"Copy {i} of A. {whole[k]} It ends with {i}." for i in range(8) for k in ("MIT", "BSD.2", "BSD.3", "ISC", "Unlicense")]
+    frames = {}
+
+    def kept_apart(df, name):
+        frames[name] = df
+        return written(df, name)
+
+    written = license_scan.written
+    monkeypatch.setattr(license_scan, "written", kept_apart)
+    got = {r["doc_id"]: r["licence"] for r in license_scan.scan(docs_of(spark, texts * 2)).collect()}
+    assert [got[i] for i in range(80)] == ["MIT", "BSD", "BSD", "ISC", "Unlicense"] * 16
+    assert sorted(frames) == ["licence-kept", "licence-texts"]
+    plan = frames["licence-kept"]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "Generate" not in plan
+
+
 # --- 5 n-gram Jaccard join ---------------------------------------------------
 def brute_components(texts):
     sets = []
